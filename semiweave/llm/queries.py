@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_sources
 from .sharding import assign_shards
+from .tokens import count_tokens
+from .warc import archive_round_trip
+
+
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +30,7 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_poisson_mix, op9_extendible_sharding)}
+    return {f.__name__: f for f in (op1_warc_archive, op6_token_counts, op8_poisson_mix, op9_extendible_sharding)}
 
 
 OP8_SQL = """
@@ -62,5 +73,25 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY d) = 1
 """
 
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, COALESCE(html, '') AS html, sha1(COALESCE(html, '')) AS hex FROM pages
+), bits AS (
+  SELECT page_id, html, hex, array_to_string(list_transform(range(1, 41), lambda i: list_extract(
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+    strpos('0123456789abcdef', substr(hex, i, 1)))), '') AS b FROM p
+), coded AS (
+  SELECT page_id, html, hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(substr(b, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INTEGER)
+    + 2 * CAST(substr(b, 5 * i + 4, 1) AS INTEGER) + CAST(substr(b, 5 * i + 5, 1) AS INTEGER), 1)), '') AS digest,
+    MIN(page_id) OVER (PARTITION BY hex) AS first FROM bits
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
