@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .sharding import assign_shards
 from .tokens import count_tokens
@@ -17,6 +18,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
@@ -30,7 +35,7 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op6_token_counts, op8_poisson_mix, op9_extendible_sharding)}
+    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op6_token_counts, op8_poisson_mix, op9_extendible_sharding)}
 
 
 OP8_SQL = """
@@ -93,5 +98,35 @@ FROM coded
 """
 
 
+OP3_SQL = """
+WITH l AS (
+  SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+), b AS (
+  SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t\\r\\f\\v\\x{00A0}]+', ' ', 'g')) AS line FROM l
+), w AS (
+  SELECT doc_id, line_no, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM b
+), d AS (
+  SELECT line, ANY_VALUE(words) AS words, ANY_VALUE(n) AS n, MIN((doc_id, line_no)) AS pos FROM w WHERE line <> '' AND n >= 5 GROUP BY line
+), pairs AS (
+  SELECT x.line AS line, y.pos AS pos, x.words AS a, y.words AS b, x.n AS n, y.n AS m FROM d x JOIN d y ON x.words[1] = y.words[1] AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
+  UNION
+  SELECT x.line, y.pos, x.words, y.words, x.n, y.n FROM d x JOIN d y ON x.words[-1] = y.words[-1] AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
+), near AS (
+  SELECT line, MIN(pos) AS near_pos FROM pairs
+  WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i])) <= 1
+             WHEN n < m THEN len(list_filter(range(0, n + 1), lambda i: a[1:i] = b[1:i] AND a[i + 1:n] = b[i + 2:m])) > 0
+             ELSE len(list_filter(range(0, m + 1), lambda i: a[1:i] = b[1:i] AND b[i + 1:m] = a[i + 2:n])) > 0 END
+  GROUP BY line
+), f AS (
+  SELECT d.line, d.pos, CASE WHEN near.near_pos IS NULL OR d.pos < near.near_pos THEN d.pos ELSE near.near_pos END AS first FROM d LEFT JOIN near USING (line)
+)
+SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, NOT COALESCE(f.first < (w.doc_id, w.line_no), FALSE) AS kept,
+       CASE WHEN f.first < (w.doc_id, w.line_no) THEN f.first[1] END AS first_doc_id,
+       CAST(CASE WHEN f.first < (w.doc_id, w.line_no) THEN f.first[2] END AS INTEGER) AS first_line_no,
+       CASE WHEN f.first < (w.doc_id, w.line_no) THEN CASE WHEN f.first = f.pos THEN 0 ELSE 1 END END AS edits
+FROM w LEFT JOIN f ON w.line = f.line AND w.n >= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
