@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import find_leaks
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .sharding import assign_shards
@@ -34,8 +35,12 @@ def op9_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "shard_depth", "shard_prefix", "shard_page")
 
 
+def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op6_token_counts, op8_poisson_mix, op9_extendible_sharding)}
+    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
 
 
 OP8_SQL = """
