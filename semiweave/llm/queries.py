@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_leaks
+from .langid import held_out, identify, train_on
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .sharding import assign_shards
@@ -23,6 +24,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op4_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), train_on(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
@@ -40,7 +47,7 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
+    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
 
 
 OP8_SQL = """
