@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_leaks
+from .jaccard import jaccard_classes
 from .langid import held_out, identify, train_on
 from .lines import dedup_lines
 from .mixing import mix_sources
@@ -30,6 +31,10 @@ def op4_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
@@ -47,7 +52,7 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
+    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
 
 
 OP8_SQL = """
