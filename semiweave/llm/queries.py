@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import find_leaks
 from .jaccard import jaccard_classes
 from .langid import held_out, identify, train_on
+from .licenses import SHINGLE, TEMPLATES, scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .sharding import assign_shards
@@ -39,6 +40,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
+    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
 
 
 OP8_SQL = """
@@ -145,5 +150,50 @@ FROM w LEFT JOIN f ON w.line = f.line AND w.n >= 5
 """
 
 
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, UNNEST(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON p.x = nx.doc_id JOIN n ny ON p.y = ny.doc_id WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.a, l.y FROM reach JOIN l ON reach.b = l.x
+)
+SELECT doc_id, (SELECT MIN(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT COUNT(*) FROM l WHERE x = doc_id) AS n_links FROM documents
+"""
+
+OP7_SQL = (
+    "WITH t(license_id, variant, text) AS (VALUES "
+    + ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in row)) for row in TEMPLATES)
+    + f"""), tw AS (
+  SELECT license_id, variant, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM t
+), tk AS (
+  SELECT *, least(len(w), {SHINGLE}) AS k FROM tw
+), ts AS (
+  SELECT DISTINCT license_id, variant, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, UNNEST(range(1, len(w) - k + 2)) AS i FROM tk)
+), dw AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents
+), ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, UNNEST(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM tk) WHERE len(w) >= k)
+), n AS (
+  SELECT license_id, variant, COUNT(*) AS n FROM ts GROUP BY ALL
+), held AS (
+  SELECT doc_id, license_id, variant, COUNT(*) AS c FROM ds JOIN ts USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, license_id, variant, CAST(n AS INTEGER) AS n_shingles, c / n AS containment
+FROM held JOIN n USING (license_id, variant) WHERE c / n >= 0.8 - 1e-12
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
