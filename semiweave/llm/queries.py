@@ -12,6 +12,7 @@ from .langid import held_out, identify, train_on
 from .licenses import SHINGLE, TEMPLATES, scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
+from .neardup import near_duplicates
 from .sharding import assign_shards
 from .tokens import count_tokens
 from .warc import archive_round_trip
@@ -22,6 +23,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
+    return {f.__name__: f for f in (op1_warc_archive, op2_nn_descent, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
 
 
 OP8_SQL = """
@@ -120,6 +125,24 @@ FROM coded
 """
 
 
+OP2_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), good AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (
+  SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT COUNT(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
 OP3_SQL = """
 WITH l AS (
   SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
@@ -196,4 +219,4 @@ FROM held JOIN n USING (license_id, variant) WHERE c / n >= 0.8 - 1e-12
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
