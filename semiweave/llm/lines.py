@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLANKS = " \t\r\f\x0b\xa0"
+BLANKS = "\t\r\f\x0b\xa0"
+#: Tables of more rows than this are joined by shuffle, not broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words, n, k1, k2): all lines; two hashes stand for the words."""
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    bare = F.btrim("line", F.lit(BLANKS))
-    each = each.select("doc_id", "line_no", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{BLANKS}]+")).alias("words"))
-    return each.select("doc_id", "line_no", "words", F.size("words").alias("n"), F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), F.reverse("words")).alias("k2"))
+def _small(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast if its rows, a few numbers each, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+
+
+def _words() -> Column:
+    return F.array_remove(F.split(F.translate("line", BLANKS, " " * len(BLANKS)), " "), "")
+
+
+def _line_keys() -> list[Column]:
+    """k1 and k2: two hashes of 64 bits that stand for a line's words."""
+    return [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(7), F.col("words")).alias("k2")]
 
 
 def _halves() -> Column:
@@ -23,12 +35,14 @@ def _halves() -> Column:
 
     One edit leaves the first or the last half as it was. Of lines with n and
     n + 1 words these are floor(n / 2) words, so a line has keys of floor(n / 2)
-    and of floor((n - 1) / 2) words, which for odd n are the same.
+    and of floor((n - 1) / 2) words, which for odd n are the same. The lowest
+    bit of a key tells the first half (1) from the last (0).
     """
     n, words = F.col("n"), F.col("words")
 
     def keys(m: Column) -> list[Column]:
-        return [F.struct(F.lit(True).alias("front"), F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), m)).alias("half")), F.struct(F.lit(False).alias("front"), F.xxhash64(F.lit(2), m, F.slice(words, n - m + 1, m)).alias("half"))]
+        front, back = F.xxhash64(m, F.slice(words, F.lit(1), m)), F.xxhash64(m, F.slice(words, n - m + 1, m))
+        return [front.bitwiseOR(F.lit(1)), back.bitwiseAND(F.lit(-2))]
 
     m = F.expr("n div 2").cast("int")
     return F.when(n % 2 == 0, F.array(*keys(m), *keys(m - 1))).otherwise(F.array(*keys(m)))
@@ -72,8 +86,9 @@ def _hashed(lines: DataFrame) -> DataFrame:
     )
 
 
-def _one_edit(a: str, b: str) -> Column:
-    """Whether word lists a and b differ in one word, or one has a word more."""
+def _one_edit(a: str, b: str) -> tuple[Column, Column]:
+    """The length of the common start (to be named same_) of word lists a and b,
+    and whether they differ in one word, or one has a word more."""
     same = F.expr(f"coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false), 0) - 1, least(size({a}), size({b})))").cast("int")
     rest = lambda c, skip: F.slice(F.col(c), F.col("same_") + 1 + skip, F.greatest(F.size(c) - F.col("same_") - skip, F.lit(0)))
     equal = F.when(F.size(a) == F.size(b), rest(a, 1) == rest(b, 1)).when(F.size(a) < F.size(b), rest(a, 0) == rest(b, 1)).otherwise(rest(a, 1) == rest(b, 0))
@@ -99,36 +114,44 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     one document: lines in one place of it are not repeats of each other. Any
     other columns are ignored.
     """
+    lines = _texts(docs).withColumn("words", _words()).withColumn("n", F.size("words"))
+    usable = F.col("n") >= min_words
+    lines = lines.select("doc_id", "line_no", "n", *[F.when(usable, k).alias(k_name) for k, k_name in zip(_line_keys(), ("k1", "k2"))], F.when(usable, _halves()).alias("halves"))
+    lines = written(lines, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    lines = _lines(docs)
-    long_lines = lines.where(F.col("n") >= min_words)
-    unique = written(long_lines.select("k1", "k2", "n", place.alias("at"), _halves().alias("halves")).groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines-unique")
+    unique = lines.where(usable).groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("times"))
+    unique = written(unique, "lines-unique")
 
-    halves = unique.select("k1", "k2", F.explode("halves").alias("h")).select("k1", "k2", "h.front", "h.half")
-    shared = halves.groupBy("front", "half").agg(F.count("*").alias("times")).where("times > 1").select("front", "half")
+    halves = lines.where(usable).select("k1", "k2", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
+    shared = written(shared, "lines-shared")
     # a front in common leaves the edit to the back, and the other way round
-    flagged = halves.join(shared, ["front", "half"]).groupBy("k1", "k2").agg(F.bool_or("front").alias("back"), F.bool_or(~F.col("front")).alias("front"))
-    flagged = unique.select("k1", "k2", "at").join(flagged, ["k1", "k2"])
-    own = long_lines.select("doc_id", "line_no", "words", "n", F.col("k1").alias("l1"), F.col("k2").alias("l2"))
-    own = own.join(flagged, (F.col("l1") == F.col("k1")) & (F.col("l2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("line_no") == F.col("at.line_no")))
-    texts = written(own.select("k1", "k2", "at", "n", "words", "front", "back"), "lines-flagged")
-
-    keys = _hashed(texts).select("k1", "k2", "at", F.explode(F.array_distinct(_variants())).alias("v")).select("k1", "k2", "at", "v.kind", "v.key")
-    keys = written(keys, "lines-variants")
+    front = F.col("half").bitwiseAND(F.lit(1)) == 1
+    flagged = halves.join(_small(shared), "half").groupBy("k1", "k2").agg(F.bool_or(front).alias("back"), F.bool_or(~front).alias("front"))
+    flagged = written(unique.select("k1", "k2", "at").join(flagged, ["k1", "k2"]), "lines-flagged")
+    few = flagged.count() <= BROADCAST_ROWS
+    texts_of = docs.join(F.broadcast(flagged.select(F.col("at.doc_id").alias("at_doc")).distinct()), F.col("doc_id").eqNullSafe(F.col("at_doc")), "left_semi") if few else docs
+    wanted = _small(flagged.select("k1", "k2", "front", "back", "at", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line")))
+    own = _texts(texts_of).join(wanted, F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
+    own = own.withColumn("words", _words()).withColumn("n", F.size("words")).withColumns(dict(zip(("l1", "l2"), _line_keys()))).where("l1 = k1 and l2 = k2")
+    texts = written(own.select("k1", "k2", "at", "n", "words", "front", "back"), "lines-texts")
+
+    keys = _hashed(texts).select("k1", "k2", "at", F.explode(_variants()).alias("v")).select("k1", "k2", "at", "v.kind", "v.key")
+    twice = written(keys.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("key"), "lines-variants")
+    keys = written(keys.join(_small(twice), "key"), "lines-variants")
     who = F.struct("at", "k1", "k2")
-    heads = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(f"head{k}") for k in (0, 1, 2)], F.count("*").alias("times")).where("times > 1")
+    heads = keys.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, who)).alias(f"head{k}") for k in (0, 1, 2)])
     head = F.when(F.col("kind") == 0, F.col("head1")).when(F.col("kind") == 1, F.col("head0")).otherwise(F.col("head2"))
     pairs = keys.join(heads, "key").withColumn("head", head).where("head.at < at").select("k1", "k2", F.col("head.k1").alias("h1"), F.col("head.k2").alias("h2"), F.col("head.at").alias("head_at")).distinct()
-    words = texts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("words"))
+    words = texts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "words")
     both = pairs.join(words.withColumnRenamed("words", "own"), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).drop("w1", "w2")
     both = both.join(words.withColumnRenamed("words", "others"), (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
     same, equal = _one_edit("own", "others")
-    near = both.withColumn("same_", same).where(equal).groupBy("k1", "k2").agg(F.min("head_at").alias("near"))
-    near = written(near, "lines-near")
+    near = written(both.withColumn("same_", same).where(equal).groupBy("k1", "k2").agg(F.min("head_at").alias("near")), "lines-near")
 
-    firsts = unique.select("k1", "k2", "at").join(near, ["k1", "k2"], "left").select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.least("at", F.coalesce("near", "at")).alias("first"), F.col("at").alias("exact"))
-    every = lines.select("doc_id", "line_no", F.when(F.col("n") >= min_words, F.col("k1")).alias("k1"), "k2")
-    out = every.join(firsts, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
+    firsts = unique.join(near, ["k1", "k2"], "left").where("times > 1 or near is not null")
+    firsts = firsts.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.least("at", F.coalesce("near", "at")).alias("first"), F.col("at").alias("exact"))
+    out = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
     repeat = F.coalesce(F.col("first") < place, F.lit(False))
     return out.select(
         "doc_id", "line_no", (~repeat).alias("kept"), F.when(repeat, F.col("first.doc_id")).alias("first_doc_id"), F.when(repeat, F.col("first.line_no")).alias("first_line_no"),
