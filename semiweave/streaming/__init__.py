@@ -1,0 +1 @@
+"""Empty on purpose: sparse algebra has no streaming operators, and matrices read any batch DataFrame."""

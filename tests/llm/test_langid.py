@@ -4,8 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from semiweave.llm import langid
-from semiweave.llm.langid import Crf, blockwise, forward_backward, held_out, identify, train, train_on
+from semiweave.llm.langid import blockwise, forward_backward, grams, held_out, identify, letters, train, train_on
 
 WORDS = {"aa": ["the", "wharing", "andshed", "tionly", "with"], "bb": ["der", "schkeit", "ungen", "für", "pflich"]}
 
@@ -44,6 +43,13 @@ def test_blocks_change_nothing(monkeypatch):
         assert not len(s) or np.allclose(got, whole[len(s)])
 
 
+def test_grams():
+    word, code = grams([letters("Äb!"), letters("x")])
+    own = lambda t: sum(ord(c) << 16 * (len(t) - 1 - k) for k, c in enumerate(t))
+    assert sorted(zip(word.tolist(), code.tolist())) == sorted([(0, own(t)) for t in ("<äb", "äb>", "<ä", "b>", "<äb>", "<äb>")] + [(1, own(t)) for t in ("<x>", "<x", "x>")])
+    assert [len(x) for x in grams([])] == [0, 0]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = np.random.default_rng(3)
@@ -81,4 +87,3 @@ def test_nothing_learned(spark, docs):
     assert model.labels == []
     assert {r.lang_pred for r in identify(docs, model).collect()} == {"und"}
     assert identify(docs.limit(0), train_on(docs)).count() == 0
-    assert isinstance(Crf([], {}, np.zeros((0, 0)), np.zeros((0, 0))), langid.Crf)
