@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import packed
+
 #: Documents that training takes at most, those of the smallest hashes, and words of each run cut from them.
 TRAIN_DOCS = 800
 RUN_WORDS = 48
@@ -23,30 +24,50 @@ BLOCK = 256
 UNKNOWN = "und"
 
 
-def features(word: str) -> list[str]:
-    """Affixes, trigrams and the word itself, of its letters in lower case.
+def letters(word: str) -> str:
+    """A word's letters in lower case."""
+    w = word.lower()
+    return w if w.isalpha() else "".join(filter(str.isalpha, w))
+
 
-    "<" and ">" mark the word's ends. The word alone, after "=", is the
-    lexicon feature: training keeps those it has seen.
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, code) of the affixes and trigrams of words made of letters.
+
+    "<" and ">" mark a word's ends. Trigrams, and the first and last two and
+    four characters, are numbers of 16 bits a character.
     """
-    w = word.lower()
-    if not w.isalpha():
-        w = "".join(filter(str.isalpha, w))
-        if not w:
-            return []
-    e = f"<{w}>"
-    return [e[k : k + 3] for k in range(len(e) - 2)] + [e[:2], e[:4], e[-2:], e[-4:], "=" + w]
+    c = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.uint64)
+    first, last = c == ord("<"), c == ord(">")
+    word = np.cumsum(first) - 1
+    s, e = np.flatnonzero(first), np.flatnonzero(last)
+    code = lambda at, n: sum(c[at + k] << np.uint64(16 * (n - 1 - k)) for k in range(n))
+    inside = np.flatnonzero(~last[:-2] & ~last[1:-1]) if len(c) > 2 else s[:0]
+    long = e - s >= 3
+    at = [inside, s, e - 1, s[long], e[long] - 3]
+    return np.concatenate([word[x] for x in at]), np.concatenate([code(x, n) for x, n in zip(at, (3, 2, 2, 4, 4))])
+
+
+def features(words: list[str], codes: np.ndarray, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) of words made of letters: their grams in codes, and themselves in the lexicon."""
+    word_of, code = grams(words)
+    at = np.searchsorted(codes, code)
+    at[at == len(codes)] = 0
+    known = codes[at] == code if len(codes) else np.zeros(len(at), dtype=bool)
+    own = np.fromiter((lexicon.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    listed = np.flatnonzero(own >= 0)
+    return np.concatenate([word_of[known], listed]), np.concatenate([at[known], own[listed] + len(codes)])
 
 
 class Crf:
-    """weights[k] are the label scores of the feature numbered k, moves[a, b] that of label b after a.
+    """weights[k] are the label scores of feature k, moves[a, b] that of label b after a.
 
-    Words without letters have no features and take the labels around them.
-    The scores of words met are kept, up to CACHE_WORDS and the words of a batch.
+    Features are the sorted codes of grams, then the words of the lexicon.
+    Words without letters have none and take the labels around them. The
+    scores of words met are kept, up to CACHE_WORDS and the words of a batch.
     """
 
-    def __init__(self, labels: list[str], feature: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.labels, self.feature, self.weights, self.moves = labels, feature, weights, moves
+    def __init__(self, labels: list[str], codes: np.ndarray, lexicon: dict[str, int], weights: np.ndarray, moves: np.ndarray):
+        self.labels, self.codes, self.lexicon, self.weights, self.moves = labels, codes, lexicon, weights, moves
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(labels)))
         self.heavy = np.zeros(0)
@@ -58,14 +79,15 @@ class Crf:
             if len(self.known) >= CACHE_WORDS:
                 self.known, self.scores, self.heavy = {}, self.scores[:0], self.heavy[:0]
             new = [w for w in dict.fromkeys(words) if w not in self.known]
-            lists = [features(w) for w in new]
-            rows = [[k for f in x if (k := self.feature.get(f)) is not None] for x in lists]
-            word_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            found = self.weights[np.array([k for r in rows for k in r], dtype=np.int64)]
-            total = np.stack([np.bincount(word_of, weights=found[:, k], minlength=len(rows)) for k in range(len(self.labels))], axis=1)
+            bare = [letters(w) for w in new]
+            heavy = np.fromiter(map(bool, bare), dtype=bool, count=len(bare))
+            word_of, rows = features([w for w in bare if w], self.codes, self.lexicon)
+            total, found = np.zeros((len(new), len(self.labels))), self.weights[rows]
+            for k in range(len(self.labels)):
+                total[heavy, k] = np.bincount(word_of, weights=found[:, k], minlength=int(heavy.sum()))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.scores = np.concatenate([self.scores, total])
-            self.heavy = np.concatenate([self.heavy, np.array([float(bool(x)) for x in lists])])
+            self.heavy = np.concatenate([self.heavy, heavy.astype(float)])
             ids = list(map(self.known.get, words))
         return np.array(ids, dtype=np.int64)
 
@@ -196,41 +218,43 @@ def train(docs: list[tuple[str, str]], *, rounds: int = 25, rate: float = 0.25,
     """Fit weights and moves to (text, label) by AdaGrad on the log-likelihood."""
     labels = sorted({lang for _, lang in docs})
     if not labels:
-        return Crf([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
+        return Crf([], np.zeros(0, dtype=np.uint64), {}, np.zeros((0, 0)), np.zeros((0, 0)))
     index = {x: k for k, x in enumerate(labels)}
     data = sorted(runs_of(docs), key=lambda x: -len(x[0]))
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]) for words, _ in data]
-    lists = [features(w) for w in vocabulary]
-    counts = Counter(f for x in lists for f in x)
-    feature = {f: k for k, f in enumerate(sorted(f for f, n in counts.items() if n >= least_count or f[0] == "="))}
-    rows = [[feature[f] for f in x if f in feature] for x in lists]
-    word_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature_of = np.array([f for r in rows for f in r], dtype=np.int64)
+    bare = [letters(w) for w in vocabulary]
+    heavy = np.array([k for k, w in enumerate(bare) if w], dtype=np.int64)
+    bare = [w for w in bare if w]
+    codes, counts = np.unique(grams(bare)[1], return_counts=True)
+    codes = codes[counts >= least_count]
+    lexicon = {w: k for k, w in enumerate(sorted(set(bare)))}
+    word_of, feature_of = features(bare, codes, lexicon)
+    word_of, size = heavy[word_of], len(codes) + len(lexicon)
     flat = np.concatenate(ids)
     gold = np.array([index[x] for _, langs in data for x in langs])
     observed = np.zeros((len(vocabulary), len(labels)))
     np.add.at(observed, (flat, gold), 1.0)
     seen = np.zeros((len(labels), len(labels)))
     for _, langs in data:
-        codes = np.array([index[x] for x in langs])
-        np.add.at(seen, (codes[:-1], codes[1:]), 1.0)
-    w, m = np.zeros((len(feature), len(labels))), np.zeros((len(labels), len(labels)))
+        path = np.array([index[x] for x in langs])
+        np.add.at(seen, (path[:-1], path[1:]), 1.0)
+    w, m = np.zeros((size, len(labels))), np.zeros((len(labels), len(labels)))
     hw, hm = np.full_like(w, 1e-8), np.full_like(m, 1e-8)
     spread = lambda x: np.stack([np.bincount(word_of, weights=x[feature_of, k], minlength=len(vocabulary)) for k in range(len(labels))], axis=1)
-    gather = lambda x: np.stack([np.bincount(feature_of, weights=x[word_of, k], minlength=len(feature)) for k in range(len(labels))], axis=1)
+    gather = lambda x: np.stack([np.bincount(feature_of, weights=x[word_of, k], minlength=size) for k in range(len(labels))], axis=1)
     for _ in range(rounds):
         scores = spread(w)
         gamma, moved = forward_backward([scores[x] for x in ids], m)
         gamma = np.concatenate(gamma)
         hoped = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=len(vocabulary)) for k in range(len(labels))], axis=1)
-        gw = gather(observed - hoped) / len(flat) - decay / len(feature) * w
+        gw = gather(observed - hoped) / len(flat) - decay / size * w
         gm = (seen - moved) / len(flat) - decay * m
         hw += gw * gw
         hm += gm * gm
         w += rate * gw / np.sqrt(hw)
         m += rate * gm / np.sqrt(hm)
-    return Crf(labels, feature, w.astype(np.float32), m)
+    return Crf(labels, codes, lexicon, w.astype(np.float32), m)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -244,14 +268,20 @@ def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     Takes the train_docs of the smallest hash of doc_id, an equal part of it
     for each lang; a documented bound, which the model's size follows.
     """
-    rank = F.xxhash64(F.lit(5), "doc_id")
+    rank = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in usable.select("lang").distinct().sort("lang").collect()]
-    out: list[tuple[str, str]] = []
-    for lang in langs:
-        part = usable.where(F.col("lang") == lang).select("text", "lang", rank.alias("rank"), "doc_id")
-        out += [(r.text, r.lang) for r in part.sort("rank", "doc_id", "text").limit(max(1, train_docs // len(langs))).collect()]
-    return train(out)
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return train([])
+    each, reach = max(1, train_docs // len(counts)), 2.0
+    while True:
+        # so low a rank that about reach * each documents have it
+        most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 40) * min(1.0, reach * each / n + 1e-9)))])
+        rows = usable.select("text", "lang", rank.alias("rank"), F.col("doc_id").cast("string").alias("doc_id")).where(F.col("rank") <= most[F.col("lang")]).collect()
+        by = {lang: sorted((r.rank, r.doc_id, r.text) for r in rows if r.lang == lang)[:each] for lang in sorted(counts)}
+        if all(len(by[lang]) >= min(each, n) for lang, n in counts.items()):
+            return train([(text, lang) for lang, x in by.items() for _, _, text in x])
+        reach *= 2
 
 
 _models: dict[str, Crf] = {}
@@ -267,7 +297,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     alphabetical order. Rows and other columns pass through; input columns
     lang_pred and score are replaced.
     """
-    shipped, name = docs.sparkSession.sparkContext.broadcast((model.labels, model.feature, model.weights, model.moves)), uuid.uuid4().hex
+    shipped, name = docs.sparkSession.sparkContext.broadcast((model.labels, model.codes, model.lexicon, model.weights, model.moves)), uuid.uuid4().hex
 
     def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
         if not model.labels:
@@ -301,3 +331,12 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     found = docs.select(*kept, predicted(F.col("text")).alias("found_"))
     return found.select(*kept, F.col("found_.l").alias("lang_pred"), F.col("found_.s").alias("score"))
+
+
+def keep_identified(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
+    """docs without those that are "und" or whose language has less than least of their words.
+
+    All columns stay as they are.
+    """
+    rows = packed(docs, {"text": F.col("text").cast("string")})
+    return identify(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row_.*")
