@@ -16,6 +16,17 @@ from ..operators.containers import Matrix
 from .iterate import changed, settled
 
 
+#: Built-in semirings whose products may be bracketed anyhow.
+DISTRIBUTIVE = {"plus_times", "plus_times_fp64", "max_plus", "max_plus_fp64", "min_plus", "min_plus_fp64", "max_min", "max_min_fp64", "lor_land", "land_lor"}
+
+
+def _joined_rows(a: Matrix, b: Matrix) -> int:
+    """Rows of the join that a product is made of, from the counts of its inner index."""
+    left = a.df.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("x"))
+    right = b.df.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("y"))
+    return left.join(right, "k").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+
+
 @dataclass(frozen=True)
 class Relation:
     """size entities, and an adjacency matrix for each predicate."""
@@ -58,15 +69,22 @@ class Relation:
         return self.with_matrix(predicate, new)
 
     def traverse(self, path: list[str], semiring: str | Semiring = "lor_land") -> Matrix:
-        """The product of the path's matrices from left to right: one lazy plan.
+        """The product of the path's matrices, as one lazy plan.
 
         A single predicate gives its matrix; bool becomes 0 and 1 where the
-        semiring counts, and an empty one is then of int64.
+        semiring counts. Of three hops or more the last two are multiplied
+        first if that joins fewer rows and multiply distributes over add, so
+        that the order changes nothing but rounding.
         """
         if not path:
             raise GraphError("empty_predicate_path")
         sr = resolve_semiring(semiring)
         matrices = [self.matrix(p) for p in path]
+        if len(path) > 2 and sr.name in DISTRIBUTIVE and _joined_rows(matrices[-2], matrices[-1]) < _joined_rows(matrices[0], matrices[1]):
+            out = matrices[-1]
+            for m in reversed(matrices[:-1]):
+                out = m.mxm(out, sr)
+            return out
         out = matrices[0]
         for m in matrices[1:]:
             out = out.mxm(m, sr)

@@ -148,3 +148,14 @@ def test_generators(spark):
     e = {(i, j): v for i, j, v in g.entries()}
     assert all(e[(j, i)] == v for (i, j), v in e.items())
     assert algorithms.degree(graphs.chain(spark, 0))["out_degree"].nvals() == 0
+
+
+@pytest.mark.parametrize("semiring", ["plus_times", "min_plus", "lor_land", "plus_min"])
+def test_long_paths_in_any_order(spark, semiring):
+    rng = random.Random(semiring)
+    rel = Relation.new(9)
+    for name, count in (("a", 40), ("b", 30), ("c", 5)):
+        rel = rel.add_weighted_triples(spark, name, [(rng.randrange(9), rng.randrange(9), rng.randrange(1, 6)) for _ in range(count)])
+    a, b, c = (rel.matrix(x) for x in "abc")
+    assert rel.traverse(["a", "b", "c"], semiring).entries() == a.mxm(b, semiring).mxm(c, semiring).entries()
+    assert rel.traverse(["c", "b", "a"], semiring).entries() == c.mxm(b, semiring).mxm(a, semiring).entries()
