@@ -19,11 +19,14 @@ FIRST, LATER = 1.25, 3.0
 #: Buckets of more sets are split on another token, MAX_DEPTH times at most.
 BUCKET = 128
 MAX_DEPTH = 5
+#: Minima of a set's signature, by which paths go on and pairs are judged first.
+SIGNATURE = 64
 #: Sets of a block; larger buckets that don't split are compared block by block.
 BLOCK = 128
 #: Words whose hashes a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
+_FACTORS = np.random.default_rng(17).integers(0, 2**63, size=SIGNATURE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,34 +78,77 @@ def choose(shingles: np.ndarray, salts: np.ndarray, expected: float) -> np.ndarr
     return (mix(salts[path] * np.uint64(31) + drawn[path, token]) >> np.uint64(1)).astype(np.int64)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """SIGNATURE minima of multiplied hashes, 32 bits each.
+
+    Two sets agree in a place with their Jaccard similarity as probability.
+    """
+    least = np.full(SIGNATURE, 2**32 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, ((shingles[None, at : at + 4096] * _FACTORS[:, None]) >> np.uint64(32)).min(axis=1))
+    return least.astype(np.uint32)
+
+
 def _first_paths(runs: int):
     salts = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, owners = [], []
+            out = []
             for v, text in zip(batch["v"], batch["text"]):
                 if len(s := shingle_hashes(text)):
-                    keys.append(np.unique(choose(s, salts, FIRST)))
-                    owners.append(np.full(len(keys[-1]), v))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "v": np.concatenate(owners), "above": np.int64(0)})
+                    out.append((v, np.unique(choose(s, salts, FIRST)), signature(s).tobytes()))
+            yield pd.DataFrame(out, columns=["v", "keys", "sig"])
 
     return paths
 
 
 def _later_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paths extended by places of the signature, each one a token with its value."""
     for batch in batches:
         out = []
-        for v, text, keys, sizes in zip(batch["v"], batch["text"], batch["keys"], batch["sizes"]):
-            s = shingle_hashes(text)
+        for v, sig, keys, sizes in zip(batch["v"], batch["sig"], batch["keys"], batch["sizes"]):
+            tokens = mix(np.frombuffer(sig, dtype=np.uint32).astype(np.uint64) | (np.arange(SIGNATURE, dtype=np.uint64) << np.uint64(32)))
             for key, size in zip(keys, sizes):
-                found = np.unique(choose(s, np.array([key], dtype=np.uint64), LATER))
+                found = np.unique(choose(tokens, np.array([key], dtype=np.uint64), LATER))
                 out.append(pd.DataFrame({"key": found, "v": v, "above": size}))
         if out:
             yield pd.concat(out, ignore_index=True)
 
 
+def _hopeful(least: int):
+    def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The members of a small bucket that may have a partner there.
+
+        The partner's signature agrees in least places or more, and no earlier
+        common bucket compares the two.
+        """
+        out = []
+        for group in sorted_groups(batches, ["key"]):
+            key, group = int(group["key"].iloc[0]), group.drop_duplicates("v")
+            if len(group) < 2:
+                continue
+            sigs = np.stack([np.frombuffer(x, dtype=np.uint32) for x in group["sig"]])
+            left, right = [], []
+            for a in range(len(sigs) - 1):
+                near = np.flatnonzero((sigs[a + 1 :] == sigs[a]).sum(axis=1) >= least) + a + 1
+                left += [a] * len(near)
+                right += near.tolist()
+            if left:
+                own = [set(k) for k in group["keys"]]
+                chosen = sorted({x for a, b in zip(left, right) if min(own[a] & own[b]) == key for x in (a, b)})
+                if chosen:
+                    out.append(pd.DataFrame({"key": key, "v": group["v"].to_numpy()[chosen]}))
+            if len(out) >= 500:
+                yield pd.concat(out, ignore_index=True)
+                out = []
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return hopeful
+
+
+BASE = "v long, keys array<long>, sig binary"
 PATHS = "key long, v long, above long"
 ROWS = "key long, i int, j int, block int, v long, copies long, keys array<long>, shingles array<long>"
 LINKS = "v long, head long, links long"
@@ -112,9 +158,8 @@ def _ship(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each set, once for each pair of blocks of its buckets that it is part of."""
     for batch in batches:
         out, held = [], 0
-        for v, text, copies, keys, blocks in zip(batch["v"], batch["text"], batch["copies"], batch["keys"], batch["blocks"]):
+        for v, text, copies, own, keys, blocks in zip(batch["v"], batch["text"], batch["copies"], batch["own"], batch["keys"], batch["blocks"]):
             s = shingle_hashes(text).view(np.int64)
-            own = np.sort(keys)
             for key, n in zip(keys, blocks):
                 mine = int(mix(np.array([v], dtype=np.int64).view(np.uint64) ^ np.uint64(key & 0xFFFFFFFF))[0] % np.uint64(n))
                 for other in range(n):
@@ -242,6 +287,11 @@ def runs_for(recall: float, threshold: float) -> int:
     return int(np.ceil(np.log(1 - recall) / -(FIRST * share * alive)))
 
 
+def agreeing(threshold: float) -> int:
+    """Places in which two signatures at the threshold agree, six deviations left out."""
+    return max(1, int(SIGNATURE * threshold - 6 * np.sqrt(SIGNATURE * threshold * (1 - threshold))))
+
+
 def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame, int]:
     """(docs with v, classes, v's salt).
 
@@ -249,12 +299,11 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
     document), n_links and repeats (rows of one doc_id at most).
     """
     numbered, texts, salt = _distinct_texts(docs)
-    one = texts.select(F.col("v").alias("one_v"), "first", "copies")
-    paths = numbered.select("v", "text").mapInPandas(_first_paths(runs_for(recall, threshold)), PATHS).dropDuplicates(["key", "v"])
+    base = written(numbered.select("v", "text").mapInPandas(_first_paths(runs_for(recall, threshold)), BASE).dropDuplicates(["v"]), "jaccard-base")
+    paths = base.select(F.explode("keys").alias("key"), "v", F.lit(0).cast("long").alias("above"))
     ready: DataFrame | None = None
     dense: DataFrame | None = None
     for depth in range(1, MAX_DEPTH + 1):
-        paths = written(paths, "jaccard-paths")
         sizes = paths.groupBy("key").agg(F.count("*").alias("size"), F.max("above").alias("above"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("members"), F.min("v").alias("least")).where("size > 1")
         sizes = written(sizes, "jaccard-buckets")
         # of small buckets with the same members one is enough
@@ -265,11 +314,10 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
         stays = (F.lit(depth) == MAX_DEPTH) | ((F.col("above") > 0) & (F.col("size") * 2 > F.col("above")))
         kept = paths.select("key", "v").join(large.where(stays).select("key", "least"), "key").select(F.col("v").alias("a"), F.col("least").alias("b"))
         dense = kept if dense is None else dense.union(kept)
-        splitting = written(paths.select("key", "v").join(large.where(~stays).select("key", "size"), "key").groupBy("v").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes")), "jaccard-split")
-        if not splitting.limit(1).count():
+        if not large.where(~stays).limit(1).count():
             break
-        wanted = splitting.join(one, F.col("v") == F.col("one_v")).select("one_v", "first", "keys", "sizes")
-        paths = numbered.join(wanted, (F.col("v") == F.col("one_v")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text", "keys", "sizes").mapInPandas(_later_paths, PATHS).dropDuplicates(["key", "v"])
+        splitting = paths.select("key", "v").join(large.where(~stays).select("key", "size"), "key").groupBy("v").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"))
+        paths = written(splitting.join(base.select("v", "sig"), "v").mapInPandas(_later_paths, PATHS), "jaccard-paths")
 
     # buckets that no token splits hold sets that are mostly alike; where they
     # meet they are one bucket, so that no pair is compared in several
@@ -277,10 +325,17 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
     merged = connected_components(dense)
     merged = merged.select((-F.shiftrightunsigned(F.xxhash64("component"), 1) - 1).alias("key"), F.col("id").alias("v"))
     members = written(ready.union(merged), "jaccard-members")
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    lists = members.join(blocks, "key").groupBy("v").agg(F.collect_list(F.struct("key", "blocks")).alias("k"))
-    wanted = lists.join(one, F.col("v") == F.col("one_v")).select("one_v", "first", "copies", F.col("k.key").alias("keys"), F.col("k.blocks").alias("blocks"))
-    sets = numbered.join(wanted, (F.col("v") == F.col("one_v")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text", "copies", "keys", "blocks")
+    # pairs in small buckets are first judged by their signatures
+    lists = members.groupBy("v").agg(F.sort_array(F.collect_list("key")).alias("own"))
+    lists = written(lists, "jaccard-lists")
+    judged = lists.join(base.select("v", "sig"), "v").select("v", "sig", F.col("own").alias("keys"), F.explode("own").alias("key")).where("key >= 0")
+    judged = judged.select("key", "v", "keys", "sig").repartition("key").sortWithinPartitions("key").mapInPandas(_hopeful(agreeing(threshold)), "key long, v long")
+    pairs = written(judged.union(members.where("key < 0").select("key", "v")), "jaccard-pairs")
+
+    blocks = pairs.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sent = pairs.join(blocks, "key").groupBy("v").agg(F.collect_list(F.struct("key", "blocks")).alias("k")).join(lists, "v").select(F.col("v").alias("one_v"), "own", F.col("k.key").alias("keys"), F.col("k.blocks").alias("blocks"))
+    one = texts.select("v", "first", "copies").join(sent, F.col("v") == F.col("one_v")).drop("v")
+    sets = numbered.join(one, (F.col("v") == F.col("one_v")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text", "copies", "own", "keys", "blocks")
     shipped = sets.mapInPandas(_ship, ROWS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = written(shipped.mapInPandas(_compare(threshold), LINKS), "jaccard-links")
     roots = connected_components(links.select(F.col("v").alias("a"), F.col("head").alias("b")))
@@ -305,8 +360,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     In each of runs_for(recall) runs every text chooses tokens; texts that
     share one meet in a bucket, and buckets of more than BUCKET texts are split
-    on further tokens. Small buckets are compared by exact intersections;
-    large ones that no token splits are compared block by block, so no task
+    on further tokens, minima of their signatures. Pairs in small buckets whose
+    signatures agree in all but improbably few places are compared by exact
+    intersections; large ones that no token splits are compared block by block, so no task
     gets a whole bucket and nothing is capped. Pairs aren't emitted: a block
     returns each text's number of links and its least partner.
 
