@@ -165,8 +165,8 @@ def write_warc(pages: DataFrame, path: str, *, file_bytes: int = 8 << 20, shard_
     files are in place; read_warc takes only what it lists.
 
     A null html has an empty payload; a null url gives no target header; rows
-    without page_id come last, in shard 0's place of their own, and are only
-    the response if no page with an id has their payload; of rows with one
+    without page_id make a last shard of their own and are responses only if
+    no page with an id has their payload; of rows with one
     page_id and one payload the first is written as the response. An empty
     table gives an empty manifest.
     """
