@@ -38,6 +38,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df as the side of a join: broadcast below so many rows of a few numbers each.
+
+    df should be a written table, as its rows are counted.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh_path, packed, sorted_groups, written
+from .common import broadcast_if_few, connected_components, fresh_path, packed, sorted_groups, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -22,7 +22,7 @@ MAX_DEPTH = 5
 #: Minima of a set's signature, by which paths go on and pairs are judged first.
 SIGNATURE = 64
 #: Sets of a block; larger buckets that don't split are compared block by block.
-BLOCK = 128
+BLOCK = 384
 #: Words whose hashes a Python worker keeps.
 CACHE_WORDS = 100_000
 _MULTIPLY = np.uint64(0xD6E8FEB86659FD93)
@@ -307,10 +307,10 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
         sizes = paths.groupBy("key").agg(F.count("*").alias("size"), F.max("above").alias("above"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("members"), F.min("v").alias("least")).where("size > 1")
         sizes = written(sizes, "jaccard-buckets")
         # of small buckets with the same members one is enough
-        small = sizes.where(F.col("size") <= BUCKET).groupBy("size", "members", "least").agg(F.min("key").alias("key")).select("key")
-        here = paths.select("key", "v").join(small, "key")
+        small = written(sizes.where(F.col("size") <= BUCKET).groupBy("size", "members", "least").agg(F.min("key").alias("key")).select("key"), "jaccard-small")
+        here = paths.select("key", "v").join(broadcast_if_few(small), "key")
         ready = here if ready is None else ready.union(here)
-        large = sizes.where(F.col("size") > BUCKET)
+        large = broadcast_if_few(written(sizes.where(F.col("size") > BUCKET), "jaccard-large"))
         stays = (F.lit(depth) == MAX_DEPTH) | ((F.col("above") > 0) & (F.col("size") * 2 > F.col("above")))
         kept = paths.select("key", "v").join(large.where(stays).select("key", "least"), "key").select(F.col("v").alias("a"), F.col("least").alias("b"))
         dense = kept if dense is None else dense.union(kept)
@@ -334,8 +334,12 @@ def link_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
 
     blocks = pairs.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sent = pairs.join(blocks, "key").groupBy("v").agg(F.collect_list(F.struct("key", "blocks")).alias("k")).join(lists, "v").select(F.col("v").alias("one_v"), "own", F.col("k.key").alias("keys"), F.col("k.blocks").alias("blocks"))
-    one = texts.select("v", "first", "copies").join(sent, F.col("v") == F.col("one_v")).drop("v")
-    sets = numbered.join(one, (F.col("v") == F.col("one_v")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text", "copies", "own", "keys", "blocks")
+    one = written(texts.select("v", "first", "copies").join(sent, F.col("v") == F.col("one_v")).drop("v"), "jaccard-sent")
+    # if they are few, the texts that nobody needs aren't shuffled
+    same = (F.col("v") == F.col("some_v")) & F.col("doc_id").eqNullSafe(F.col("some_first"))
+    some = broadcast_if_few(one.select(F.col("one_v").alias("some_v"), F.col("first").alias("some_first")))
+    needed = numbered.join(some, same, "left_semi")
+    sets = needed.join(one, (F.col("v") == F.col("one_v")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("v", "text", "copies", "own", "keys", "blocks")
     shipped = sets.mapInPandas(_ship, ROWS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = written(shipped.mapInPandas(_compare(threshold), LINKS), "jaccard-links")
     roots = connected_components(links.select(F.col("v").alias("a"), F.col("head").alias("b")))
