@@ -17,9 +17,9 @@ from .common import packed
 TRAIN_DOCS = 800
 RUN_WORDS = 48
 #: Words whose scores a task keeps; beyond it the store starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Characters of texts that are labelled together, and words of a block of one text.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 BLOCK = 256
 UNKNOWN = "und"
 
