@@ -22,7 +22,11 @@ PIECE = 48
 SLICE_PIECES = 1000
 #: Pieces of a block, which share one upper bound for each term.
 BLOCK = 4
-WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana and Han, written without spaces: each letter is a word.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
+WORD = re.compile(rf"[^\W{SPACELESS}]+|(?=\w)[{SPACELESS}]")
+#: Words of a shingle.
+SHINGLE = 5
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -31,16 +35,39 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def shingles(words: list[str], n: int = 5) -> set[tuple[str, ...]]:
-    """All runs of n words; all of a shorter text is one run."""
-    if not words:
-        return set()
-    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+class Shingles:
+    """All runs of n words of a text; all of a shorter text is one run.
+
+    a & b are the runs of a that the text of b holds: b's runs are taken as
+    long as those of a.
+    """
+
+    def __init__(self, words: list[str], n: int = SHINGLE):
+        self.words, self.length = words, min(n, len(words))
+        self.by_length = {self.length: self._cut(self.length)}
+
+    def _cut(self, length: int) -> set[tuple[str, ...]]:
+        return {tuple(self.words[k : k + length]) for k in range(len(self.words) - length + 1)} if length else set()
+
+    def runs(self, length: int) -> set[tuple[str, ...]]:
+        if length not in self.by_length:
+            self.by_length[length] = self._cut(length)
+        return self.by_length[length]
+
+    def __len__(self) -> int:
+        return len(self.runs(self.length))
+
+    def __and__(self, other: Shingles) -> set[tuple[str, ...]]:
+        return self.runs(self.length) & other.runs(self.length)
+
+
+def shingles(words: list[str], n: int = SHINGLE) -> Shingles:
+    return Shingles(words, n)
 
 
 def halves(words: list[str]) -> tuple[list[str], list[str]]:
-    """(question, answer): an item's first two thirds, and the rest."""
-    cut = math.ceil(len(words) * 2 / 3)
+    """(question, answer): an item's first two thirds, and the rest; one shorter than a shingle is all question."""
+    cut = math.ceil(len(words) * 2 / 3) if len(words) >= SHINGLE else len(words)
     return words[:cut], words[cut:]
 
 
@@ -187,9 +214,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.6, ove
     pieces. Items with a piece that scores least of its own largest score or
     more are candidates. One is a leak if the document holds at least overlap
     of the five-word shingles of its question (the first two thirds of its
-    words) and of its answer (the rest). score is the best piece's BM25.
+    words) and of its answer (the rest). A question or answer of fewer words
+    is one run, looked for as it is; an item of fewer than five words is all
+    question. score is the best piece's BM25.
 
-    Words are compared in lower case without punctuation. Null and empty texts
+    Words are compared in lower case without punctuation; in scripts without
+    spaces each letter is a word. Null and empty texts
     and items match nothing; a null doc_id or item_id is reported as null;
     repeated rows give repeated results, items of one id one result; other
     columns are ignored. The broadcast index has SLICE_PIECES pieces or so; a

@@ -65,3 +65,15 @@ def test_empty_tables(spark, tables):
     assert find_leaks(docs.limit(0), benchmark).count() == 0
     assert find_leaks(docs, benchmark.limit(0)).count() == 0
     assert list(build_indexes(benchmark.limit(0))) == []
+
+
+def test_copies_of_short_items_are_found(spark):
+    words = [f"k{k}" for k in range(14)]
+    items = [(n, " ".join(words[:n])) for n in range(1, 15)] + [(20, "今天天气怎么样？很好。")]
+    docs = [(n, f"Before it, {text} and after.") for n, text in items] + [(30, " ".join(reversed(words))), (31, "他问今天天气怎么样很好他说"), (32, "天气今天怎么样"), (33, "k0 and k1"), (34, " ".join([*words[:9], "and", *words[10:14]]))]
+    expected = {(n, m) for n in range(1, 15) for m in range(1, n + 1)} | {(20, 20), (31, 20), (30, 1), (33, 1)}
+    # of document 34, ten words and more lack their answer: 'k7 k8 k9', 'k8 k9 k10', ...; item 14 has its answer 'k10 k11 k12 k13' and five of six runs of its question
+    expected |= {(34, m) for m in (*range(1, 10), 14)}
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert all((r.question_overlap, r.answer_overlap) == (1.0, 1.0) for r in found if r.doc_id == r.item_id)
