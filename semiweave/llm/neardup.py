@@ -20,7 +20,12 @@ TABLES, BUCKET = 6, 24
 BLOCK = 256
 #: Vectors that the audit compares with all others.
 AUDIT = 256
+#: Local joins between two looks at the components.
+DESCENTS = 2
 FOUND = "v long, u long, sim double"
+#: kind: a neighbour, a neighbour outside v's component, a link between components
+NEAR, FAR, LINK = 0, 1, 2
+JOINED = FOUND + ", kind int"
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -32,48 +37,100 @@ def cosines(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.
     return (x @ y.T) / (nx[:, None] * ny[None, :])
 
 
-def _local_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compare the members of each group; each member's better partners.
+def _forest(alike: np.ndarray, known: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the pairs in alike, as few as connect what all of them and the known connections connect."""
+    a, b, left = [], [], np.ones(len(alike), dtype=bool)
+    near = alike | known
+    for start in np.flatnonzero((alike & ~known).any(axis=1)).tolist():
+        stack = [start] if left[start] else []
+        left[start] = False
+        while stack:
+            p = stack.pop()
+            new = np.flatnonzero(near[p] & left)
+            left[new] = False
+            stack += new.tolist()
+            new = new[~known[p, new]]
+            a += [p] * len(new)
+            b += new.tolist()
+    return a, b
+
+
+def _local_join(threshold: float):
+    """Compare the members of each group; each member's better partners, and links.
 
     A partner counts if it is more similar than the worst of the member's list.
+    All pairs of the group that reach threshold count as links, whether lists
+    have place for them or not; of these, a forest that connects the same
+    components is returned.
     """
-    out = []
-    for group in sorted_groups(batches, ["g", "part"]):
-        group = group.drop_duplicates("v")
-        if len(group) < 2:
-            continue
-        x, n = _matrix(group["vec"])
-        sims = cosines(x, n, x, n)
-        np.fill_diagonal(sims, -2.0)
-        k = min(NEIGHBOURS, len(group) - 1)
-        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(group)), k)
-        cols = best.ravel()
-        better = sims[rows, cols] > group["worst"].to_numpy()[rows]
-        v = group["v"].to_numpy()
-        out.append(pd.DataFrame({"v": v[rows[better]], "u": v[cols[better]], "sim": sims[rows[better], cols[better]]}))
-        if len(out) >= 200:
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for group in sorted_groups(batches, ["g", "part"]):
+            group = group.drop_duplicates("v")
+            if len(group) < 2:
+                continue
+            x, n = _matrix(group["vec"])
+            sims = cosines(x, n, x, n)
+            np.fill_diagonal(sims, -2.0)
+            v, c, k = group["v"].to_numpy(), group["c"].to_numpy(), min(NEIGHBOURS, len(group) - 1)
+            own = c[:, None] == c[None, :]
+            for kind, name in ((NEAR, "worst"), (FAR, "worst_far")):
+                worst = group[name].to_numpy()
+                if (worst >= 2.0).all():
+                    continue
+                s = sims if kind == NEAR else np.where(own, -2.0, sims)
+                rows = np.repeat(np.arange(len(group)), k)
+                cols = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
+                better = s[rows, cols] > worst[rows]
+                out.append(pd.DataFrame({"v": v[rows[better]], "u": v[cols[better]], "sim": s[rows[better], cols[better]], "kind": kind}))
+            a, b = _forest(sims >= threshold, own)
+            if a:
+                out.append(pd.DataFrame({"v": v[a], "u": v[b], "sim": sims[a, b], "kind": LINK}))
+            if len(out) >= 200:
+                yield pd.concat(out, ignore_index=True)
+                out = []
+        if out:
             yield pd.concat(out, ignore_index=True)
-            out = []
-    if out:
-        yield pd.concat(out, ignore_index=True)
+
+    return compare
 
 
-def _joined(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """members (g, v, worst) with vectors, groups cut at random into parts of GROUP or so, compared."""
+def _joined(members: DataFrame, lists: DataFrame | None, at: DataFrame, threshold: float) -> DataFrame:
+    """members (g, v) with vectors, groups cut at random into parts of GROUP or so, compared.
+
+    at has v, vec and the component c. Only vectors whose list is saturated, so
+    that its worst entry reaches threshold, look for neighbours outside c.
+    """
     parts = members.groupBy("g").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    cut = members.join(parts, "g").select("g", "v", "worst", F.pmod(F.xxhash64("v", "g"), F.col("parts")).cast("int").alias("part"))
-    rows = cut.join(nodes.select("v", "vec"), "v").repartition("g", "part").sortWithinPartitions("g", "part")
-    return rows.mapInPandas(_local_join, FOUND)
+    cut = members.join(parts, "g").select("g", "v", F.pmod(F.xxhash64("v", "g"), F.col("parts")).cast("int").alias("part"))
+    if lists is None:
+        at = at.withColumns({"worst": F.lit(-2.0), "worst_far": F.lit(2.0)})
+    else:
+        worst = lists.groupBy("v").agg(*[F.max(F.when(F.col("kind") == k, F.col("worst"))).alias(name) for k, name in ((NEAR, "worst"), (FAR, "worst_far"))])
+        far = F.when(F.col("searched") & (F.col("worst") >= threshold), F.coalesce("worst_far", F.lit(-2.0))).otherwise(2.0)
+        at = at.join(worst, "v", "left").withColumns({"worst": F.coalesce("worst", F.lit(-2.0)), "worst_far": far})
+    rows = cut.join(at.select("v", "vec", "c", "worst", "worst_far"), "v").repartition("g", "part").sortWithinPartitions("g", "part")
+    return written(rows.mapInPandas(_local_join(threshold), JOINED), "near-found")
+
+
+def _entries(lists: DataFrame) -> DataFrame:
+    return lists.select("v", F.explode("nn").alias("n"), "kind").select("v", F.col("n.u").alias("u"), F.col("n.sim").alias("sim"), "kind")
 
 
-def _merged(lists: DataFrame | None, found: DataFrame) -> DataFrame:
-    """(v, nn, worst): the NEIGHBOURS best of old lists and new pairs; worst is -2 while a list is not full."""
-    if lists is not None:
-        found = found.union(lists.select("v", F.explode("nn").alias("n")).select("v", F.col("n.u").alias("u"), F.col("n.sim").alias("sim")))
+def _merged(found: DataFrame) -> DataFrame:
+    """(v, kind, nn, worst): the NEIGHBOURS best of each kind; worst is -2 while a list is not full."""
     nn = F.slice(F.sort_array(F.collect_set(F.struct("sim", "u")), asc=False), 1, NEIGHBOURS)
     worst = F.when(F.size("nn") == NEIGHBOURS, F.element_at("nn", -1).getField("sim")).otherwise(-2.0)
-    return found.groupBy("v").agg(nn.alias("nn")).select("v", "nn", worst.alias("worst"))
+    lists = found.where(F.col("kind") != LINK).groupBy("v", "kind").agg(nn.alias("nn")).select("v", "kind", "nn", worst.alias("worst"))
+    return written(lists, "near-lists")
+
+
+def _outside(entries: DataFrame, at: DataFrame) -> DataFrame:
+    """entries without neighbours of kind FAR that are in v's component by now."""
+    of = lambda v, c: at.select(F.col("v").alias(v), F.col("c").alias(c))
+    far = entries.where(F.col("kind") == FAR).join(of("v", "cv"), "v").join(of("u", "cu"), "u").where("cv <> cu")
+    return entries.where(F.col("kind") == NEAR).union(far.select("v", "u", "sim", "kind"))
 
 
 def _seeds(nodes: DataFrame, seed: int) -> DataFrame:
@@ -122,6 +179,18 @@ def _audit(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
     return nodes.select("v", "kind", "vec").mapInPandas(compared, FOUND)
 
 
+def _connected(components: DataFrame, joins: DataFrame) -> DataFrame:
+    """components (id, component) with those that joins (v, u) connect made one."""
+    edges = components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(joins.select("v", "u"))
+    return written(connected_components(edges), "near-components")
+
+
+def _placed(nodes: DataFrame, components: DataFrame) -> DataFrame:
+    """nodes with the component c; one without links is a component of its own."""
+    rows = nodes.join(components.withColumnRenamed("id", "v"), "v", "left")
+    return written(rows.select("v", "kind", "vec", F.coalesce("component", "v").alias("c"), F.lit(True).alias("searched")), "near-placed")
+
+
 def _counted(threshold: float):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(batches, ["c", "i", "j"]):
@@ -162,15 +231,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
 
     Rows are linked if their labels are equal and not null and the cosine of
     their vectors, in double precision, is at least threshold. Equal vectors of
-    a label are one node with a number of copies. Groups of vectors with equal
-    signs on random planes seed lists of NEIGHBOURS neighbours. In each round
-    a vector's neighbours, and those that have it as theirs, are compared with
-    one another and the lists take what is better. Rounds go on until no more
-    list entries reach the threshold and an audit, AUDIT vectors compared with
-    all, finds that recall of their links lie in found components. The links
-    that an audit finds are kept too. Lists that are saturated, and all others
-    with a link, are then enlarged to their component, which is compared
-    exactly block by block for n_links.
+    a label are one node with a number of copies. In each round, groups of
+    vectors with equal signs on random planes seed lists of NEIGHBOURS
+    neighbours; then, DESCENTS times, a vector's neighbours, and those that have
+    it as theirs, are compared with one another and the lists take what is
+    better. Every compared pair that reaches the threshold joins components,
+    whether or not it is in a list. A list that is saturated, as its worst entry
+    reaches the threshold, is enlarged by the NEIGHBOURS best outside the
+    vector's component, anew in each round. Rounds go on until saturated lists
+    lead to no other component and an audit, AUDIT vectors compared with all,
+    finds that recall of their links lie in found components. The links that an
+    audit finds are kept too. All of a vector's links then lie in its component,
+    which is compared exactly block by block for n_links.
 
     component_id is the smallest vec_id that links reach, kept is vec_id =
     component_id. A null or empty vector, one of zeros, with a null or
@@ -185,37 +257,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("v"), F.xxhash64("label", F.size("embedding")).alias("kind"), "label", F.col("embedding").alias("vec"), "first", "copies"), "near-nodes")
 
-    pairs = spark.createDataFrame([], FOUND)
-    lists, reached, checked = None, -1, 0
+    at = nodes.select("v", "kind", "vec", F.col("v").alias("c"), F.lit(False).alias("searched"))
+    lists, components = None, spark.createDataFrame([], "id long, component long")
     for turn in range(max_rounds):
-        if lists is None or checked:
-            found = _joined(_seeds(nodes, seed + turn).withColumn("worst", F.lit(-2.0)), nodes)
-            lists, checked = written(_merged(lists, found), "near-lists"), 0
-        edges = lists.select("v", "worst", F.explode("nn").alias("n"))
-        worst = lists.select("v", "worst")
-        around = edges.select(F.col("v").alias("g"), F.col("n.u").alias("v")).union(edges.select(F.col("n.u").alias("g"), "v")).distinct().join(worst, "v").select("g", "v", "worst")
-        lists = written(_merged(lists, _joined(around, nodes)), "near-lists")
-        close = lists.select("v", F.explode("nn").alias("n")).select("v", F.col("n.u").alias("u"), F.col("n.sim").alias("sim")).where(F.col("sim") >= threshold)
-        now = close.count()
-        if now > reached or turn == 0:
-            reached = now
+        found = _joined(_seeds(nodes, seed + turn), lists, at, threshold)
+        joins = found.where(F.col("kind") == LINK)
+        lists = _merged(found if lists is None else _outside(_entries(lists), at).union(found))
+        for _ in range(DESCENTS):
+            edges = _entries(lists).select("v", "u")
+            around = edges.select(F.col("v").alias("g"), F.col("u").alias("v")).union(edges.select(F.col("u").alias("g"), "v")).distinct()
+            found = _joined(around, lists, at, threshold)
+            joins = joins.union(found.where(F.col("kind") == LINK))
+            lists = _merged(_entries(lists).union(found))
+        more = joins.limit(1).count()
+        if more:
+            components = _connected(components, joins)
+            at = _placed(nodes, components)
+            if turn == 0:
+                more = lists.where((F.col("kind") == NEAR) & (F.col("worst") >= threshold)).limit(1).count()
+        if more and turn < max_rounds - 1:
             continue
-        edges = written(close.union(pairs), "near-edges").select(F.col("v").alias("a"), F.col("u").alias("b"))
-        components = written(connected_components(edges), "near-components")
         audit = written(_audit(nodes, threshold, seed + turn), "near-audit")
         of = lambda c, name: components.select(F.col("id").alias(c), F.col("component").alias(name))
         judged = audit.join(of("v", "cv"), "v", "left").join(of("u", "cu"), "u", "left")
         every, missed = judged.agg(F.count("*"), F.count(F.when(~F.coalesce(F.col("cv") == F.col("cu"), F.lit(False)), 1))).first()
         if missed:
-            pairs = pairs.union(audit)
-            edges = edges.union(audit.select(F.col("v").alias("a"), F.col("u").alias("b")))
-            components = written(connected_components(edges), "near-components")
+            components = _connected(components, audit)
+            at = _placed(nodes, components)
         if missed <= (1 - recall) * every:
             break
-        checked = 1
-    else:
-        edges = written(close.union(pairs), "near-edges").select(F.col("v").alias("a"), F.col("u").alias("b"))
-        components = written(connected_components(edges), "near-components")
 
     links = _component_links(nodes, components, threshold)
     state = nodes.select("v", "label", "vec", "first", "copies").join(components.withColumnRenamed("id", "v"), "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("component", "v"))

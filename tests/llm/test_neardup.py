@@ -60,3 +60,13 @@ def test_equals_brute_force(spark, rows, monkeypatch):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_clumps_that_fill_their_lists_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AUDIT", 0)
+    rng = np.random.default_rng(3)
+    a, b, c = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    centres = (a, 0.94 * a + np.sqrt(1 - 0.94**2) * b, c)
+    rows = [(20 * k + m, (x + rng.normal(size=64) * 0.001).tolist(), 1) for k, x in enumerate(centres) for m in range(20)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(v, 39, 0) for v in range(40)} | {(v, 19, 40) for v in range(40, 60)}
