@@ -14,11 +14,11 @@ from .common import connected_components, sorted_groups, written
 #: Length of a neighbour list, and members of a group that is compared at once.
 NEIGHBOURS = 8
 GROUP = 64
-#: Hash tables that seed the graph; a bucket has about so many vectors.
+#: Hash tables that seed the graph, at least; a bucket has about so many vectors.
 TABLES, BUCKET = 6, 24
 #: Vectors of a block, of which large components are compared two at a time.
 BLOCK = 256
-#: Vectors that the audit compares with all others.
+#: Vectors that the audit compares with all others, of those with full lists of links and of the rest.
 AUDIT = 256
 #: Local joins between two looks at the components.
 DESCENTS = 2
@@ -134,9 +134,11 @@ def _outside(entries: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def _seeds(nodes: DataFrame, seed: int) -> DataFrame:
-    """Groups of vectors with the same signs on random planes, TABLES times.
+    """Groups of vectors with the same signs on random planes, TABLES times or more.
 
     A label's buckets use as many planes as leave about BUCKET vectors in each.
+    Two vectors agree on all of these the more rarely the more they are, so a
+    label has at least as many tables as planes.
     """
     counts = nodes.groupBy("kind").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BUCKET))).cast("int").alias("bits"))
 
@@ -145,38 +147,45 @@ def _seeds(nodes: DataFrame, seed: int) -> DataFrame:
             for dim, part in batch.groupby(batch["vec"].map(len)):
                 x, _ = _matrix(part["vec"])
                 bits = part["bits"].to_numpy()
-                for t in range(TABLES):
+                tables = np.maximum(TABLES, bits)
+                for t in range(int(tables.max())):
                     planes = np.random.default_rng([seed, t, int(dim)]).normal(size=(int(dim), 40))
                     signs = (x @ planes[:, : max(1, int(bits.max()))] > 0).astype(np.int64)
                     use = np.arange(signs.shape[1])[None, :] < bits[:, None]
                     code = (np.where(use, signs, 0) << np.arange(signs.shape[1])).sum(axis=1)
-                    yield pd.DataFrame({"v": part["v"], "kind": part["kind"], "t": t, "code": code})
+                    yield pd.DataFrame({"v": part["v"], "kind": part["kind"], "t": t, "code": code})[t < tables]
 
     keys = nodes.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, "kind").select("v", "kind", "vec", "bits").mapInPandas(coded, "v long, kind long, t int, code long")
     return keys.select(F.xxhash64("kind", "t", "code").alias("g"), "v")
 
 
-def _audit(nodes: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """(v, u, sim): all links of AUDIT vectors, found by comparing them with every vector."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "v")).limit(AUDIT).select("v", "kind", "vec").collect()
+def _audit(nodes: DataFrame, full: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(v, u, sim, full): all links of vectors, found by comparing them with every vector.
+
+    AUDIT of the vectors are from full, whose lists are saturated, and AUDIT
+    are others, as groups too small to fill a list are lost more easily.
+    """
+    sample, kinds = [], nodes.select("v", "kind", "vec").join(full.select("v", F.lit(True).alias("full")), "v", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+    for which in (False, True):
+        sample += kinds.where(F.col("full") == which).orderBy(F.xxhash64(F.lit(seed), "v")).limit(AUDIT).collect()
     by: dict[int, list] = {}
     for r in sample:
-        by.setdefault(r.kind, []).append((r.v, r.vec))
-    shipped = nodes.sparkSession.sparkContext.broadcast({k: (np.array([v for v, _ in x]), np.array([e for _, e in x], dtype=np.float64)) for k, x in by.items()})
+        by.setdefault(r.kind, []).append((r.v, r.vec, r.full))
+    shipped = nodes.sparkSession.sparkContext.broadcast({k: (np.array([r[0] for r in x]), np.array([r[1] for r in x], dtype=np.float64), np.array([r[2] for r in x])) for k, x in by.items()})
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for kind, part in batch.groupby("kind"):
                 if kind not in shipped.value:
                     continue
-                ids, y = shipped.value[kind]
+                ids, y, full = shipped.value[kind]
                 x, n = _matrix(part["vec"])
                 sims = cosines(y, np.sqrt((y * y).sum(axis=1)), x, n)
                 v = part["v"].to_numpy()
                 a, b = np.nonzero((sims >= threshold) & (ids[:, None] != v[None, :]))
-                yield pd.DataFrame({"v": ids[a], "u": v[b], "sim": sims[a, b]})
+                yield pd.DataFrame({"v": ids[a], "u": v[b], "sim": sims[a, b], "full": full[a]})
 
-    return nodes.select("v", "kind", "vec").mapInPandas(compared, FOUND)
+    return nodes.select("v", "kind", "vec").mapInPandas(compared, FOUND + ", full boolean")
 
 
 def _connected(components: DataFrame, joins: DataFrame) -> DataFrame:
@@ -239,10 +248,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
     whether or not it is in a list. A list that is saturated, as its worst entry
     reaches the threshold, is enlarged by the NEIGHBOURS best outside the
     vector's component, anew in each round. Rounds go on until saturated lists
-    lead to no other component and an audit, AUDIT vectors compared with all,
-    finds that recall of their links lie in found components. The links that an
-    audit finds are kept too. All of a vector's links then lie in its component,
-    which is compared exactly block by block for n_links.
+    lead to no other component and an audit compares AUDIT vectors with
+    saturated lists, and AUDIT others, with all. Of either sort, recall of the
+    vectors with links must have every link in their component, so large groups
+    don't outweigh small ones; the links that an audit finds are kept too. If
+    max_rounds rounds do not reach this, RuntimeError is raised. All of a
+    vector's links then lie in its component, which is compared exactly block
+    by block for n_links.
 
     component_id is the smallest vec_id that links reach, kept is vec_id =
     component_id. A null or empty vector, one of zeros, with a null or
@@ -277,15 +289,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
                 more = lists.where((F.col("kind") == NEAR) & (F.col("worst") >= threshold)).limit(1).count()
         if more and turn < max_rounds - 1:
             continue
-        audit = written(_audit(nodes, threshold, seed + turn), "near-audit")
+        full = lists.where((F.col("kind") == NEAR) & (F.col("worst") >= threshold))
+        audit = written(_audit(nodes, full, threshold, seed + turn), "near-audit")
         of = lambda c, name: components.select(F.col("id").alias(c), F.col("component").alias(name))
-        judged = audit.join(of("v", "cv"), "v", "left").join(of("u", "cu"), "u", "left")
-        every, missed = judged.agg(F.count("*"), F.count(F.when(~F.coalesce(F.col("cv") == F.col("cu"), F.lit(False)), 1))).first()
-        if missed:
-            components = _connected(components, audit)
+        judged = audit.join(of("v", "cv"), "v", "left").join(of("u", "cu"), "u", "left").withColumn("missed", ~F.coalesce(F.col("cv") == F.col("cu"), F.lit(False)))
+        sorts = judged.groupBy("full", "v").agg(F.bool_or("missed").alias("missed")).groupBy("full").agg(F.count("*").alias("every"), F.count_if("missed").alias("missed")).collect()
+        if any(r.missed for r in sorts):
+            components = _connected(components, judged.where("missed"))
             at = _placed(nodes, components)
-        if missed <= (1 - recall) * every:
+        if all(r.missed <= (1 - recall) * r.every for r in sorts):
             break
+    else:
+        raise RuntimeError(f"vectors with all links found stayed below {recall} in {max_rounds} rounds")
 
     links = _component_links(nodes, components, threshold)
     state = nodes.select("v", "label", "vec", "first", "copies").join(components.withColumnRenamed("id", "v"), "v", "left").join(links, "v", "left").withColumn("root", F.coalesce("component", "v"))

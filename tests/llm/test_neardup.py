@@ -70,3 +70,13 @@ def test_clumps_that_fill_their_lists_are_linked(spark, monkeypatch):
     rows = [(20 * k + m, (x + rng.normal(size=64) * 0.001).tolist(), 1) for k, x in enumerate(centres) for m in range(20)]
     got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(v, 39, 0) for v in range(40)} | {(v, 19, 40) for v in range(40, 60)}
+
+
+def test_lost_pairs_fail_the_audit(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    big, small = rng.normal(size=(2, 16))
+    rows = [(v, (x + rng.normal(size=16) * 0.001).tolist(), label) for v, (x, label) in enumerate([(big, 1)] * 60 + [(small, 2)] * 2)]
+    seeds = neardup._seeds
+    monkeypatch.setattr(neardup, "_seeds", lambda nodes, seed: seeds(nodes.where("label = 1"), seed))
+    with pytest.raises(RuntimeError):
+        near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), max_rounds=1)
