@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,21 +12,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at once, where the session sets no limit of its own.
+BATCH_BYTES = "16m"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder is made once and set as the checkpoint folder of the session.
+    Where the setting is absent, a local session (as in tests) gets a
+    temporary folder, set once as its checkpoint folder; on a cluster, whose
+    executors would not see it, that is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes too, as ten thousand rows of long texts may be gigabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in (None, "-1", "0") or int(re.sub(r"\D", "", spark.conf.get(name)) or 0) >= 64 << 20:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -38,8 +53,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_few(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df as the side of a join: broadcast below so many rows of a few numbers each.
+def broadcast_if_few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df as the side of a join: broadcast below so many rows of a few numbers each (20 MB or so).
 
     df should be a written table, as its rows are counted.
     """
