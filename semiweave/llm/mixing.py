@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import packed, uniform, written
 
-#: More sources than this are not broadcast; they are joined through salted keys.
-BROADCAST_SOURCES = 50_000
+#: Numbers of all sources' distributions that are broadcast at most (16 MB); more are joined through salted keys.
+BROADCAST_NUMBERS = 2_000_000
 SALTS = 64
 
 
@@ -39,7 +39,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None, al
 
     A source's size is its number of characters over all documents. With
     weights, source s gets weights[s] of the output (sources not named get
-    nothing); without, it gets size^alpha divided by the sum of these. The
+    nothing, and if none that is named has documents, none gets anything);
+    without, it gets size^alpha divided by the sum of these. The
     output has repeat times the characters of the input on average. A source
     without any characters keeps rate 1 when weights are derived.
     """
@@ -51,7 +52,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None, al
         sizes = sizes.join(given.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")), "left").select("source", "size", F.coalesce("share", F.lit(0.0)).alias("share"))
     sizes = written(sizes, "mix-sizes")
     whole = sizes.agg(F.sum("size").alias("all_size"), F.sum("share").alias("all_share"))
-    rate = F.col("share") / F.col("all_share") * F.col("all_size") * F.lit(float(repeat)) / F.col("size")
+    # where no named source has a document, nothing has a share
+    rate = F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share") * F.col("all_size") * F.lit(float(repeat)) / F.col("size")).otherwise(0.0)
     empty = F.lit(1.0) if weights is None else F.when(F.col("share") > 0, 1.0).otherwise(0.0)
     return sizes.crossJoin(F.broadcast(whole)).select("source", F.when(F.col("size") > 0, rate).otherwise(empty).alias("rate"))
 
@@ -68,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     of its own; null text counts as no characters; a null doc_id hashes as
     "null"; rows with one doc_id get one count; an input column copy_no is
     replaced; an empty table gives an empty table. Only the table of sources
-    is broadcast, and only below BROADCAST_SOURCES rows; past that the join is
+    is broadcast, and only below BROADCAST_NUMBERS numbers; past that the join is
     salted, since one source may hold a third of all rows.
     """
     keyed = docs.select("source", "text")
@@ -76,7 +78,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     rates = written(rates.select(F.col("source").alias("rate_source"), _poisson_cdf("rate").alias("p")).select("rate_source", "p.least", "p.cdf"), "mix-rates")
     rows = packed(docs, {"source_": F.col("source"), "u_": uniform(seed, F.col("doc_id")), "id_": F.col("doc_id").cast("string")})
     same = F.col("source_").eqNullSafe(F.col("rate_source"))
-    if rates.count() <= BROADCAST_SOURCES:
+    # a source's distribution has about 18 * sqrt(rate) + 80 numbers
+    if (rates.agg(F.sum(F.size("cdf") + 10)).first()[0] or 0) <= BROADCAST_NUMBERS:
         joined = rows.join(F.broadcast(rates), same)
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -38,7 +38,7 @@ def test_equals_plain_inversion(spark, rows, options, monkeypatch):
     df = spark.createDataFrame([(*r, "k", 0.5) for r in rows], "doc_id long, text string, source string, copy_no string, rate double")
     got = sorted(((r.doc_id, r.text, r.source, r.copy_no) for r in mix_sources(df, **options).collect()), key=str)
     assert got == brute(rows, **options)
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
     assert mix_sources(df, **options).count() == len(got)
 
 
@@ -53,3 +53,9 @@ def test_shuffled_and_empty(spark, rows):
     order = [r.doc_id for r in mix_sources(df).collect() if r.doc_id is not None]
     assert order != sorted(order)
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_weights_that_name_no_source(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mix_sources(df, {"elsewhere": 1.0}).count() == 0
+    assert mix_sources(df, {"s0": 0.0}).count() == 0
