@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from semiweave.llm import decontaminate
 from semiweave.llm.decontaminate import Index, build_indexes, drop_contaminated, find_leaks, halves, shingles, words_of
 
 
@@ -10,7 +12,9 @@ def corpus(rng, n):
     return " ".join(words)
 
 
-def test_wand_finds_what_exhaustive_scoring_finds():
+@pytest.mark.parametrize("long", [decontaminate.LONG, 0])
+def test_wand_finds_what_exhaustive_scoring_finds(monkeypatch, long):
+    monkeypatch.setattr(decontaminate, "LONG", long)
     rng = random.Random(5)
     items = [(k, corpus(rng, rng.randrange(3, 90))) for k in range(300)]
     frequency = {}
@@ -26,7 +30,7 @@ def test_wand_finds_what_exhaustive_scoring_finds():
             terms = sorted({index.term[w] for w in corpus(rng, 60).split() if w in index.term})
             scores = {}
             for t in terms:
-                for p, w in zip(index.pieces[t], index.weights[t]):
+                for p, w in zip(*map(np.ndarray.tolist, index.postings(t))):
                     scores[p] = scores.get(p, 0.0) + w
             exact = sorted((p, round(s, 9)) for p, s in scores.items() if s >= least - 1e-9)
             assert sorted((p, round(s, 9)) for p, s in index.search(terms, least)) == exact
@@ -60,6 +64,17 @@ def test_leaks_equal_brute_force(tables):
     assert kept.count() == len(d) - len({(k, x[0]) for k, x in enumerate(d) if x[0] in {g[0] for g in got}})
 
 
+def test_slices_change_nothing(spark, tables, monkeypatch):
+    """Also with several rows of one item_id."""
+    docs, benchmark, _, items = tables
+    benchmark = benchmark.union(spark.createDataFrame([(3, items[4][1]), (3, items[5][1] + " and more"), (None, items[6][1])], "item_id long, text string"))
+    whole = sorted(map(tuple, find_leaks(docs, benchmark).collect()), key=str)
+    assert len({r[:2] for r in whole if r[0] is not None and r[0] != 101}) == sum(1 for r in whole if r[0] is not None and r[0] != 101)
+    monkeypatch.setattr(decontaminate, "SLICE_PIECES", 12)
+    assert sorted(map(tuple, find_leaks(docs, benchmark).collect()), key=str) == whole
+    assert drop_contaminated(docs, benchmark).count() == docs.count() - len({(r[0], 0) for r in whole if r[0] not in (None, 101)}) - 2 - len({1 for r in whole if r[0] is None})
+
+
 def test_empty_tables(spark, tables):
     docs, benchmark, _, _ = tables
     assert find_leaks(docs.limit(0), benchmark).count() == 0
