@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLANKS = "\t\r\f\x0b\xa0"
-#: Tables of more rows than this are joined by shuffle, not broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Tables of more rows than this, of a few numbers each (20 MB or so), are joined by shuffle, not broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -100,26 +100,28 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
     Lines are cut at newlines into words at blanks; an edit inserts, deletes
     or replaces a word. Order is by (doc_id, line_no). A line is kept if no
-    earlier line equals it or is one edit away. Equal lines become one line
-    with its earliest place. Of these, lines with a half in common with
+    earlier line equals it or, for lines of min_words words and more, is one
+    edit away from it; of a shorter line an edit leaves so little that it
+    would not be a copy, so these are compared exactly. Equal lines become one
+    line with its earliest place. Of these, lines with a half in common with
     another emit their variants with one word deleted, as hashed keys; a key's
     earliest line, taken by aggregation and not by pairs, is the candidate for
     all others, and the pair's words are compared.
 
     Returns doc_id, line_no (from 0), kept, first_doc_id, first_line_no and
     edits (0 or 1) for every line; the last three are null for kept lines and
-    else name the earliest line within the bound. Lines under min_words words,
-    blank ones too, are always kept. A null text has no lines, an empty text one
+    else name the earliest line within the bound. Blank lines are always kept.
+    A null text has no lines, an empty text one
     blank line. A null doc_id comes after all others. Rows of one doc_id are
     one document: lines in one place of it are not repeats of each other. Any
     other columns are ignored.
     """
     lines = _texts(docs).withColumn("words", _words()).withColumn("n", F.size("words"))
-    usable = F.col("n") >= min_words
-    lines = lines.select("doc_id", "line_no", "n", *[F.when(usable, k).alias(k_name) for k, k_name in zip(_line_keys(), ("k1", "k2"))], F.when(usable, _halves()).alias("halves"))
+    usable, worded = F.col("n") >= min_words, F.col("n") > 0
+    lines = lines.select("doc_id", "line_no", "n", *[F.when(worded, k).alias(k_name) for k, k_name in zip(_line_keys(), ("k1", "k2"))], F.when(usable, _halves()).alias("halves"))
     lines = written(lines, "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    unique = lines.where(usable).groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("times"))
+    unique = lines.where(worded).groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("times"))
     unique = written(unique, "lines-unique")
 
     halves = lines.where(usable).select("k1", "k2", F.explode("halves").alias("half"))

@@ -151,11 +151,11 @@ WITH l AS (
 ), w AS (
   SELECT doc_id, line_no, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM b
 ), d AS (
-  SELECT line, ANY_VALUE(words) AS words, ANY_VALUE(n) AS n, MIN((doc_id, line_no)) AS pos FROM w WHERE line <> '' AND n >= 5 GROUP BY line
+  SELECT line, ANY_VALUE(words) AS words, ANY_VALUE(n) AS n, MIN((doc_id, line_no)) AS pos FROM w WHERE line <> '' GROUP BY line
 ), pairs AS (
-  SELECT x.line AS line, y.pos AS pos, x.words AS a, y.words AS b, x.n AS n, y.n AS m FROM d x JOIN d y ON x.words[1] = y.words[1] AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
+  SELECT x.line AS line, y.pos AS pos, x.words AS a, y.words AS b, x.n AS n, y.n AS m FROM d x JOIN d y ON x.words[1] = y.words[1] AND x.n >= 5 AND y.n >= 5 AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
   UNION
-  SELECT x.line, y.pos, x.words, y.words, x.n, y.n FROM d x JOIN d y ON x.words[-1] = y.words[-1] AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
+  SELECT x.line, y.pos, x.words, y.words, x.n, y.n FROM d x JOIN d y ON x.words[-1] = y.words[-1] AND x.n >= 5 AND y.n >= 5 AND abs(x.n - y.n) <= 1 AND y.pos < x.pos
 ), near AS (
   SELECT line, MIN(pos) AS near_pos FROM pairs
   WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i])) <= 1
@@ -169,7 +169,7 @@ SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, NOT COALESCE(f.first < (
        CASE WHEN f.first < (w.doc_id, w.line_no) THEN f.first[1] END AS first_doc_id,
        CAST(CASE WHEN f.first < (w.doc_id, w.line_no) THEN f.first[2] END AS INTEGER) AS first_line_no,
        CASE WHEN f.first < (w.doc_id, w.line_no) THEN CASE WHEN f.first = f.pos THEN 0 ELSE 1 END END AS edits
-FROM w LEFT JOIN f ON w.line = f.line AND w.n >= 5
+FROM w LEFT JOIN f ON w.line = f.line AND w.line <> ''
 """
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from semiweave.llm import lines
 from semiweave.llm.lines import dedup_lines, remove_lines
 
 
@@ -18,7 +19,8 @@ def brute(rows, least=5):
     lines = sorted(((doc is None, doc or 0, no), line.split()) for doc, text in rows if text is not None for no, line in enumerate(text.split("\n")))
     out = {}
     for k, (at, words) in enumerate(lines):
-        first = next((other for other, w in lines[:k] if len(words) >= least and len(w) >= least and other < at and one_edit(words, w)), None)
+        near = lambda w: words == w or len(words) >= least and len(w) >= least and one_edit(words, w)  # noqa: B023, E731
+        first = next((other for other, w in lines[:k] if words and other < at and near(w)), None)
         out[(None if at[0] else at[1], at[2])] = (first is None, None if first is None or first[0] else first[1], None if first is None else first[2])
     return out
 
@@ -44,16 +46,27 @@ def rows():
     return docs + [(60, None), (61, ""), (62, "\n\n"), (None, docs[3][1]), (63, "a b c d e"), (64, "a b c d x"), (65, "a b c d y")]
 
 
-def test_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_equals_brute_force(spark, rows, monkeypatch, broadcast):
+    """By broadcast joins, and by shuffle joins alone."""
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", broadcast)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, k1 string, at int")
     assert got(dedup_lines(df)) == brute(rows)
-    assert got(dedup_lines(df, min_words=3)) == brute(rows, 3)
+    if broadcast:
+        assert got(dedup_lines(df, min_words=3)) == brute(rows, 3)
+
+
+def test_short_lines_are_compared_exactly(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["all rights reserved\nhome", "all rights  reserved\nabout", "all rights granted\nhome", "\n\n"])], "doc_id long, text string")
+    kept = {(r.doc_id, r.line_no): (r.kept, r.first_doc_id, r.edits) for r in dedup_lines(df).collect()}
+    assert {k for k, v in kept.items() if not v[0]} == {(1, 0), (2, 1)}
+    assert kept[1, 0] == (False, 0, 0) and kept[2, 1] == (False, 0, 0)
 
 
 def test_removed_lines(spark):
     df = spark.createDataFrame([(1, "one two three four five\nkept", "k"), (2, "one two three four SIX\nkept", "k"), (None, "x", "k"), (3, None, "k")], "doc_id long, text string, gone string")
     left = {r.doc_id: r.text for r in remove_lines(df.drop("gone"), dedup_lines(df)).collect()}
-    assert left == {1: "one two three four five\nkept", 2: "kept", None: "x", 3: None}
+    assert left == {1: "one two three four five\nkept", 2: "", None: "x", 3: None}
 
 
 def test_empty(spark):
