@@ -9,18 +9,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, written
+from .common import bounded_batches, fresh_path, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Range cells counted at once when shards are cut; the driver holds so many sums.
-CELLS = 8192
+#: Cells that a range of ids is cut into when shards are cut.
+CELLS = 4096
+#: Writer tasks at most; beyond it a task writes several shards.
+MAX_TASKS = 50_000
 MANIFEST = T.StructType([T.StructField("file", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("file_digest", T.StringType())])
 RECORDS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("file", T.StringType()), T.StructField("offset", T.LongType())])
 
@@ -77,26 +78,25 @@ def _id(page_id) -> int | None:
 def _writer(root: str, file_bytes: int, date: str, least_revisit: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roll = None
-        now, seen, refers, ordinal = object(), {}, {}, 0
+        # rows of one page and payload come together: a note of whom to refer to, if any, then the records
+        now, target, ordinal = None, None, 0
         for batch in batches:
-            for shard, page, kind, url, html, digest, first in zip(*(batch[c] for c in ("shard", "page", "kind", "url", "html", "digest", "first"))):
+            for shard, page, digest, kind, url, html, first in zip(*(batch[c] for c in ("shard", "page", "digest", "kind", "url", "html", "first"))):
                 page, first = _id(page), _id(first)
                 if roll is None or roll.shard != shard:
                     if roll:
                         roll.close()
                         yield pd.DataFrame(roll.done, columns=MANIFEST.names)
                     roll = _Roll(root, int(shard), file_bytes, date)
-                if page != now:
-                    now, seen, refers, ordinal = page, {}, {}, 0
+                if (page, digest) != now:
+                    now, target, ordinal = (page, digest), None, 0
                 if kind == 0:
-                    refers[digest] = first
+                    target = first
                     continue
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 own = b32(hashlib.sha1(payload).digest())
-                target = refers.get(own) if own in refers else page if own in seen else None
-                revisit = own in refers or own in seen
-                revisit = revisit and len(payload) >= least_revisit
-                seen[own] = True
+                refers = target if target is not None else page
+                revisit = (target is not None or ordinal > 0) and len(payload) >= least_revisit
                 address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
                 headers = [("WARC-Target-URI", address)] if url else []
                 headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{own}"), ("X-Payload-Length", str(len(payload)))]
@@ -104,11 +104,11 @@ def _writer(root: str, file_bytes: int, date: str, least_revisit: int):
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 identity = f"page:{page}:{own}"
                 if revisit:
-                    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{target}:{own}')}>")]
-                    headers += [("X-Refers-To-Page", str(target))] if target is not None else []
+                    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers}:{own}')}>")]
+                    headers += [("X-Refers-To-Page", str(refers))] if refers is not None else []
                     roll.add(_record("revisit", f"{identity}:{ordinal}", headers, http, date))
                 else:
-                    roll.add(_record("response", identity if not ordinal or least_revisit == 0 else f"{identity}:{ordinal}", headers, http + payload, date))
+                    roll.add(_record("response", f"{identity}:{ordinal}" if ordinal else identity, headers, http + payload, date))
                 ordinal += 1
         if roll:
             roll.close()
@@ -117,44 +117,62 @@ def _writer(root: str, file_bytes: int, date: str, least_revisit: int):
     return write
 
 
-def _starts(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First page_id of each shard but the first: runs of ids of about shard_bytes.
+def _leaves(sizes: DataFrame, shard_bytes: int) -> tuple[list[tuple[int, DataFrame]], int, int]:
+    """([(bits, leaves of cells of so many low bits)], shards of ids, shards of rows without one).
 
-    Counts bytes in CELLS equal ranges of ids, and again inside a range that
-    holds more than a shard, down to single ids. Depends on the data alone.
+    A cell is a range of ids with equal high bits; one of more than a shard is
+    cut into CELLS at the next level, down to single ids, all such cells of a
+    level by one aggregate. The leaves in order of ids, with a running sum of
+    their bytes, are dealt to shards; a single id of more than a shard gets parts
+    shards of its own. Depends on the data alone.
     """
-    low, high, total = sizes.agg(F.min("page"), F.max("page"), F.sum("bytes")).first()
-    if low is None or total <= shard_bytes:
-        return []
-
-    def counted(a: int, b: int) -> Iterator[tuple[int, int, int]]:
-        width = -(-(b - a + 1) // CELLS)
-        inside = sizes.where(F.col("page").between(a, b))
-        if a < -(1 << 62) or b > (1 << 62):
-            cell = F.floor((F.col("page").cast("decimal(38,0)") - F.lit(a)) / F.lit(width))
-        else:
-            cell = F.expr(f"(page - {a}L) div {width}L")
-        for c, n in sorted(tuple(r) for r in inside.groupBy(cell.cast("long").alias("c")).agg(F.sum("bytes")).collect()):
-            x, y = a + c * width, min(b, a + (c + 1) * width - 1)
-            if n > shard_bytes and y > x:
-                yield from counted(x, y)
-            else:
-                yield x, y, n
-
-    starts, held = [], 0
-    for x, _, n in counted(low, high):
-        if held and held + n > shard_bytes:
-            starts.append(x)
-            held = 0
-        held += n
-    return starts
+    low, high, total, known = sizes.agg(F.min("page"), F.max("page"), F.sum("bytes"), F.sum(F.when(F.col("page").isNotNull(), F.col("bytes")))).first()
+    levels, shards = [], 0
+    if low is not None:
+        # some cells for each shard, if the ids are dealt evenly
+        cells = max(CELLS, 16 * known // shard_bytes)
+        bits = max(0, (high - low).bit_length() - cells.bit_length())
+        left = sizes.where("page is not null")
+        while True:
+            found = written(left.groupBy(F.shiftright("page", bits).alias("cell")).agg(F.sum("bytes").alias("bytes")), "warc-cells")
+            heavy = found.where(F.col("bytes") > shard_bytes) if bits else found.limit(0)
+            levels.append((bits, found if not bits else found.where(F.col("bytes") <= shard_bytes)))
+            if not bits or not heavy.limit(1).count():
+                break
+            left = left.join(near(heavy.select("cell")), F.shiftright("page", bits) == F.col("cell"), "left_semi")
+            bits = max(0, bits - CELLS.bit_length() + 1)
+        leaves = None
+        for bits, found in levels:
+            rows = found.select(F.shiftleft("cell", bits).alias("start"), F.lit(bits).alias("bits"), "cell", "bytes")
+            leaves = rows if leaves is None else leaves.union(rows)
+        # a running sum in two steps, so that no task gets all leaves but only a sum for every few thousand
+        block = F.shiftright("start", max(0, (high - low).bit_length() - 13))
+        leaves = leaves.withColumn("block", block).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("bytes") / shard_bytes)).cast("long"))
+        leaves = leaves.withColumn("own", F.when(F.col("parts") > 1, F.col("parts") * shard_bytes).otherwise(F.col("bytes")))
+        sums = leaves.groupBy("block").agg(F.sum("own").alias("own"))
+        before = sums.select(F.col("block").alias("b"), F.coalesce(F.sum("own").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        within = F.coalesce(F.sum("own").over(Window.partitionBy("block").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        leaves = leaves.withColumn("within", within).join(before, F.col("block") == F.col("b"))
+        at = F.col("before") + F.col("within")
+        # one that is split starts at the next whole shard
+        shard = F.when(F.col("parts") > 1, F.ceil(at / shard_bytes)).otherwise(F.floor(at / shard_bytes)).cast("long")
+        leaves = written(leaves.select("bits", "cell", shard.alias("shard"), "parts"), "warc-leaves")
+        shards = (leaves.agg(F.max(F.col("shard") + F.col("parts"))).first()[0] or 0) + 1
+        levels = [(bits, leaves.where(F.col("bits") == bits).select("cell", "shard", "parts")) for bits, _ in levels]
+    return levels, shards, max(1, -(-((total or 0) - (known or 0)) // shard_bytes))
+
+
+def near(df: DataFrame) -> DataFrame:
+    """df of three numbers a row for a join: broadcast up to 2 million rows (80 MB or so)."""
+    return F.broadcast(df) if df.count() <= 2_000_000 else df
 
 
 def write_warc(pages: DataFrame, path: str, *, file_bytes: int = 8 << 20, shard_bytes: int = 24 << 20, least_revisit: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages (page_id, url, html) as WARC files under path; return the manifest.
 
     Records are sorted by page_id over ranges cut from the byte counts of all
-    ids, so the files' names, records and bytes depend on the table alone.
+    ids, those of one page_id by digest, url and html, so the files' names,
+    records and bytes depend on the table alone.
     Payload and headers are written anew with their digests. Of pages with
     equal payloads (of least_revisit bytes at least) the smallest page_id is a
     response and the others are revisits of it.
@@ -165,35 +183,35 @@ def write_warc(pages: DataFrame, path: str, *, file_bytes: int = 8 << 20, shard_
     files are in place; read_warc takes only what it lists.
 
     A null html has an empty payload; a null url gives no target header; rows
-    without page_id make a last shard of their own and are responses only if
+    without page_id make last shards of their own and are responses only if
     no page with an id has their payload; of rows with one
-    page_id and one payload the first is written as the response. An empty
-    table gives an empty manifest.
+    page_id and one payload the first is written as the response. A page_id of
+    more than a shard, and the rows without one, are dealt to several by their
+    digests, so no task gets them all. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
-    text = F.coalesce(F.col("html"), F.lit(""))
-    sizes = written(pages.select(F.col("page_id").cast("long").alias("page"), F.unhex(F.sha1(text.cast("binary"))).alias("sha"), F.octet_length(text).cast("long").alias("bytes")), "warc-digests")
-    starts = np.array(_starts(sizes.where("page is not null").select("page", (F.col("bytes") + 600).alias("bytes")), shard_bytes), dtype=np.int64)
-    count = len(starts) + 2
-
-    @F.pandas_udf("int")
-    def shard_of(page: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, page.fillna(0).to_numpy(dtype=np.int64), side="right").astype("int32"))
-
-    shard = F.when(F.col("page").isNull(), F.lit(count - 1)).otherwise(shard_of(F.col("page")))
-    first = sizes.where(F.col("bytes") >= least_revisit).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    refers = sizes.join(first, "sha").where("page is null or page > first").select("page", "sha", "first").distinct()
-
-    @F.pandas_udf("string")
-    def in_base32(sha: pd.Series) -> pd.Series:
-        return sha.map(b32)
-
-    notes = refers.select("page", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), in_base32("sha").alias("digest"), "first")
-    whole = pages.select(F.col("page_id").cast("long").alias("page"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
-    rows = notes.union(whole).withColumn("shard", shard)
+    bounded_batches(spark)
+    text = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    digest = F.sha1(text.cast("binary"))
+    sizes = written(pages.select(F.col("page_id").cast("long").alias("page"), digest.alias("digest"), F.octet_length(text).cast("long").alias("bytes")), "warc-digests")
+    levels, shards, bare = _leaves(sizes.select("page", (F.col("bytes") + 600).alias("bytes")), shard_bytes)
+
+    first = sizes.where(F.col("bytes") >= least_revisit).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    refers = sizes.join(first, "digest").where("page is null or page > first").select("page", "digest", "first").distinct()
+    notes = refers.select("page", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first")
+    whole = pages.select(F.col("page_id").cast("long").alias("page"), digest.alias("digest"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("long").alias("first"))
+    rows, shard = notes.union(whole), F.lit(None).cast("long")
+    drawn = F.xxhash64("digest")
+    for k, (bits, leaves) in enumerate(levels):
+        rows = rows.join(near(leaves.select(F.col("cell").alias(f"c{k}"), F.col("shard").alias(f"s{k}"), F.col("parts").alias(f"p{k}"))), F.shiftright("page", bits) == F.col(f"c{k}"), "left")
+        shard = F.coalesce(shard, F.col(f"s{k}") + F.pmod(drawn, F.col(f"p{k}")))
+    shard = F.when(F.col("page").isNull(), F.lit(shards) + F.pmod(drawn, F.lit(bare))).otherwise(shard)
+    rows = rows.select("page", "digest", "kind", "url", "html", "first", shard.cast("long").alias("shard"))
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(f"{root}/_temporary", recursive=True)
-    laid = rows.repartitionById(count, "shard").sortWithinPartitions("shard", "page", "kind", "url")
+    # each task gets a run of shards, one alone where they are not too many
+    each = -(-(shards + bare) // MAX_TASKS)
+    laid = rows.withColumn("task", (F.col("shard") / each).cast("int")).repartitionById(-(-(shards + bare) // each), "task").drop("task").sortWithinPartitions("shard", "page", "digest", "kind", "url", "html")
     laid.mapInPandas(_writer(path, file_bytes, date, least_revisit), MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 

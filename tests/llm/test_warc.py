@@ -45,9 +45,11 @@ def test_round_trip(spark, rows):
 
 
 def test_files_are_the_same_again(spark, rows, tmp_path):
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    """Whatever the partitions, also for rows of one page_id and url, more of them than a shard takes."""
+    ties = [(4000, "tie", f"text {k % 20} " * 300) for k in range(40)] + [(None, "tie", f"bare {k % 9} " * 500) for k in range(30)]
+    df = spark.createDataFrame(rows + ties, "page_id long, url string, html string")
     found = []
-    for k, parts in enumerate((2, 5)):
+    for k, parts in enumerate((2, 5, 3)):
         path = f"file://{tmp_path}/w{k}"
         manifest = write_warc(df.repartition(parts), path, file_bytes=3000, shard_bytes=20000)
         listed = sorted(map(tuple, manifest.collect()))
@@ -58,7 +60,8 @@ def test_files_are_the_same_again(spark, rows, tmp_path):
             assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
         assert not [f for f in store.get_file_info(fs.FileSelector(f"{root}/_temporary"))]
         found.append(listed)
-    assert found[0] == found[1] and len(found[0]) > 5
+    assert found[0] == found[1] == found[2] and len(found[0]) > 5
+    assert len({f[1] for f in found[0]}) > 8
 
 
 def test_least_revisit_and_empty(spark, rows):
@@ -76,3 +79,14 @@ def test_broken_files_are_noticed(spark, rows, tmp_path):
     file.write_bytes(file.read_bytes()[:-10])
     with pytest.raises(Exception, match="cut off|digest|invalid|incomplete"):
         read_warc(manifest, path).count()
+
+
+def test_jobs_do_not_grow_with_shards(spark, tmp_path):
+    df = spark.range(0, 3000).selectExpr("id * 7 as page_id", "cast(id as string) as url", "repeat(cast(id as string), 20) as html")
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for k, shard_bytes in enumerate((10**9, 20_000)):
+        spark.sparkContext.setJobGroup(f"warc-{k}", "")
+        write_warc(df, f"file://{tmp_path}/{k}", shard_bytes=shard_bytes)
+        counts.append(len(tracker.getJobIdsForGroup(f"warc-{k}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert counts[1] <= counts[0] + 6, counts
