@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Words of a shingle; a shorter template is one shingle of all its words.
 SHINGLE = 5
-#: Templates of more shingles than this in all are joined by shuffle, not broadcast.
+#: Templates of more shingles, and tables of more rows, are joined by shuffle, not broadcast.
 BROADCAST_SHINGLES = 200_000
 
 # Wordings of license notices, as their stewards publish them.
@@ -60,6 +61,83 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "short", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("unlicense", "first", "This is free and unencumbered software released into the public domain."),
+    ("bsd", "short", "Released under the BSD License."),
+    (
+        "bsd-3-clause",
+        "conditions",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "bsd",
+        "disclaimer",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+        "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "gpl-2.0-or-later",
+        "header",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details.",
+    ),
+    ("gpl-2.0", "short", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "lgpl-2.1-or-later",
+        "header",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "lgpl-3.0-or-later",
+        "header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+    ),
+    (
+        "agpl-3.0-or-later",
+        "header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "bsl-1.0",
+        "grant",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ),
+    (
+        "zlib",
+        "grant",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ),
+    ("epl-2.0", "notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("cc-by-sa-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-sa-3.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("cc-by-nc-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-nd-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by-sa-4.0", "short", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-4.0", "short", "Licensed under CC BY 4.0."),
+    (
+        "cc0-1.0",
+        "notice",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
+    ("wtfpl", "grant", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    ("unlicense", "grant", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    (
+        "gpl-3.0",
+        "preamble",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. "
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    ),
     ("all-rights-reserved", "short", "All rights reserved."),
 ]
 
@@ -70,17 +148,16 @@ def _words(text: str) -> Column:
 
 
 def _shingles(width: int) -> Column:
-    """(at, h): each run of width words of the column words, hashed."""
-    return F.expr(f"if(size(words) < {width}, cast(array() as array<struct<at: int, h: bigint>>), transform(sequence(0, size(words) - {width}), i -> struct(cast(i as int) as at, xxhash64({width}, slice(words, cast(i as int) + 1, {width})) as h)))")
+    """Hashes of the runs of width words of the column words, in order; none of fewer words."""
+    return F.expr(f"if(size(words) < {width}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {width}), i -> xxhash64({width}, slice(words, cast(i as int) + 1, {width}))))")
 
 
-def _windows(level: str) -> Column:
-    """Numbers of the windows that hold the shingle at position at.
-
-    Windows of a level are 2 * 2^level shingles long and start every 2^level / 2
-    (at least 1). A run of 1.25 * 2^level shingles lies whole in one of them.
-    """
-    return F.expr(f"sequence(greatest(0L, (at - 2 * shiftleft(1L, {level})) div greatest(1L, shiftleft(1L, {level}) div 2) + if(at >= 2 * shiftleft(1L, {level}), 1, 0)), at div greatest(1L, shiftleft(1L, {level}) div 2))")
+#: Numbers of the windows that hold the shingle at position at. Windows of a level are 2 * 2^level shingles
+#: long and start every 2^level / 2 (at least 1); a run of 1.25 * 2^level shingles lies whole in one of them.
+_WINDOWS = (
+    "sequence(greatest(0L, (at - 2 * shiftleft(1L, level)) div greatest(1L, shiftleft(1L, level) div 2) + if(at >= 2 * shiftleft(1L, level), 1, 0)),"
+    " at div greatest(1L, shiftleft(1L, level) div 2))"
+)
 
 
 def bands_for(containment: float, probability: float) -> int:
@@ -93,64 +170,86 @@ def bands_for(containment: float, probability: float) -> int:
     return math.ceil(math.log(1 - probability) / math.log(1 - least))
 
 
-def template_table(docs: DataFrame, templates: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(template, license_id, variant, h, n, level): a row for each shingle of each template."""
-    spark = docs.sparkSession
-    rows = [(k, *t) for k, t in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, license_id string, variant string, text string").withColumn("words", _words("text"))
-    pieces = [table.where(F.size("words") >= SHINGLE).withColumn("s", _shingles(SHINGLE))]
-    pieces += [table.where(F.size("words") == k).withColumn("s", _shingles(k)) for k in range(1, SHINGLE)]
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.union(p)
-    sized = out.withColumn("n", F.size(F.array_distinct("s.h"))).withColumn("level", F.ceil(F.log2("n")).cast("int"))
-    return written(sized.select("template", "license_id", "variant", "n", "level", F.size("words").alias("n_words"), F.explode(F.array_distinct("s.h")).alias("h")), "license-templates")
-
-
-def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, *, containment: float = 0.8, probability: float = 0.9999) -> DataFrame:
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(license_id, variant, text) of a folder of full texts, a file for each license named by its id."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return files.select(F.regexp_extract("file", r"([^/]+?)(\.txt)?$", 1).alias("license_id"), F.lit("full").alias("variant"), F.col("value").alias("text"))
+
+
+def template_table(spark: SparkSession, templates: DataFrame | Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(template, license_id, variant, width, n, level, hs): a row for each template, hs its distinct shingles.
+
+    Shingles have width words, SHINGLE or as many as a shorter template has;
+    templates without a word are left out.
+    """
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(list(templates), "license_id string, variant string, text string")
+    words = templates.where("text is not null").select("license_id", "variant", _words("text").alias("words")).where(F.size("words") > 0)
+    width = F.least(F.size("words"), F.lit(SHINGLE))
+    whens = fold(lambda w, k: w.when(width == k, _shingles(k)), range(1, SHINGLE), F.when(width == SHINGLE, _shingles(SHINGLE)))
+    rows = words.select(F.xxhash64("license_id", "variant", "words").alias("template"), "license_id", "variant", width.alias("width"), F.array_distinct(whens).alias("hs")).distinct()
+    return written(rows.withColumn("n", F.size("hs")).withColumn("level", F.ceil(F.log2("n")).cast("int")), "license-templates")
+
+
+def _retrieved(hits: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, row, template) where the MinHash of a window is that of a template in a band.
+
+    A window and a template agree in a band only if the window holds the
+    template's shingle of the least hash, its anchor, so windows around hits
+    of anchors are all that can; there the least hash of the whole window is
+    taken and compared.
+    """
+    around = hits.join(anchors, ["width", "h"]).join(texts, ["doc_id", "row", "width"])
+    window = "slice(hs, cast(w * greatest(1L, shiftleft(1L, level) div 2) as int) + 1, cast(2 * shiftleft(1L, level) as int))"
+    same = F.expr(f"exists({_WINDOWS}, w -> array_min(transform({window}, x -> xxhash64(band, x))) = low)")
+    return around.where(same).select("doc_id", "row", "template").distinct()
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str, str]] = TEMPLATES, *, containment: float = 0.8, probability: float = 0.9999) -> DataFrame:
     """(doc_id, license_id, variant, n_shingles, containment) of templates in (doc_id, text).
 
     Words are runs of letters and digits in lower case. A text's shingles of
-    five words that are in no template can match none, so only the others, its
-    hits, are kept; the rest runs on these. Hits fall into overlapping windows
-    of each length that templates need. The MinHash of a window, over
-    bands_for(containment, probability) hash functions of a band each, meets
-    that of templates; a retrieved template is reported if the text holds at
-    least containment of its distinct shingles, counted exactly.
-
-    A template of fewer than five words is a single shingle of all its words.
-    A text is taken whole. Null and empty texts match nothing; a null doc_id
+    five words fall into overlapping windows of each length that templates
+    need, over the whole text. The MinHash of a window, over
+    bands_for(containment, probability) hash functions of a band each,
+    retrieves the templates that agree in a band (see _retrieved); of these
+    alone the distinct shingles that the text holds are counted, and one is
+    reported if they are at least containment of its own.
+
+    templates are rows (license_id, variant, text), also as a DataFrame (see
+    read_templates). One of fewer than five words is a single shingle of all
+    its words; one without words is left out. A text is taken whole. Null and empty texts match nothing; a null doc_id
     is reported as null; rows with the same doc_id and text are reported once;
     other columns are ignored; without templates the result is empty.
     """
-    shingles = template_table(docs, templates)
-    facts = shingles.groupBy("level").agg(F.countDistinct("h").alias("hs")).collect()
-    widths = [SHINGLE] + [k for k in range(1, SHINGLE) if any(True for _ in shingles.where(F.col("n_words") == k).limit(1).collect())]
-    small = sum(r.hs for r in facts) <= BROADCAST_SHINGLES
-    near = F.broadcast if small else lambda df: df
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    hits = None
-    for width in widths:
-        own = shingles.where(F.col("n_words") >= SHINGLE if width == SHINGLE else F.col("n_words") == width).select(F.col("h").alias("known")).distinct()
-        # the words of a text once, its shingles one after the other
-        each = plain.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _words("text").alias("words")).select("doc_id", "row", F.explode(_shingles(width)).alias("s"))
-        found = each.select("doc_id", "row", "s.at", "s.h").join(near(own), F.col("h") == F.col("known"), "left_semi")
-        hits = found if hits is None else hits.union(found)
-    hits = written(hits.distinct(), "license-hits")
-
+    spark = docs.sparkSession
+    table = template_table(spark, templates)
     bands = bands_for(containment, probability)
-    levels = [r.level for r in facts]
-    if not levels:
-        return docs.sparkSession.createDataFrame([], "doc_id long, license_id string, variant string, n_shingles int, containment double")
-    least = [F.min(F.xxhash64(F.lit(k), "h")).alias(f"m{k}") for k in range(bands)]
-    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"m{k}").alias("low")) for k in range(bands)])).alias("b")
-    windows = hits.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("window", F.explode(_windows("level")))
-    windows = windows.groupBy("row", "level", "window").agg(*least).select("row", "level", spread).select("row", "level", "b.band", "b.low").distinct()
-    keys = shingles.groupBy("template", "level").agg(*least).select("template", "level", spread).select("template", "level", "b.band", "b.low")
-    candidates = written(windows.join(near(keys), ["level", "band", "low"]).select("row", "template").distinct(), "license-candidates")
-
-    inside = hits.select("doc_id", "row", "h").distinct().join(near(shingles.select("template", "h")), "h").groupBy("doc_id", "row", "template").agg(F.count("*").alias("held"))
-    facts = shingles.select("template", "license_id", "variant", "n").distinct()
-    share = F.col("held") / F.col("n")
-    found = inside.join(candidates, ["row", "template"]).join(F.broadcast(facts) if small else facts, "template").where(share >= containment - 1e-12)
-    return found.select("doc_id", "license_id", "variant", F.col("n").alias("n_shingles"), share.alias("containment"))
+    least = [F.expr(f"array_min(transform(hs, x -> struct(xxhash64({k}, x) as low, x as h)))") for k in range(bands)]
+    anchors = table.select("template", "width", "level", F.posexplode(F.array(*least)).alias("band", "a")).select("template", "width", "level", "band", "a.low", "a.h")
+    anchors = written(anchors, "license-anchors")
+    widths, rows = [r.width for r in table.select("width").distinct().orderBy("width").collect()], table.agg(F.sum("n")).first()[0] or 0
+    if not widths:
+        return spark.createDataFrame([], "doc_id long, license_id string, variant string, n_shingles int, containment double")
+    near = F.broadcast if max(rows, anchors.count()) <= BROADCAST_SHINGLES else lambda df: df
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    worded = plain.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _words("text").alias("words"))
+    placed = lambda k: F.transform(_shingles(k), lambda h, at: F.struct(F.lit(k).alias("width"), at.cast("long").alias("at"), h.alias("h")))
+    shingles = F.flatten(F.array(*map(placed, widths)))
+    each = worded.select("doc_id", "row", F.explode(shingles).alias("s")).select("doc_id", "row", "s.width", "s.at", "s.h")
+    known = anchors.select(F.col("width").alias("own_width"), F.col("h").alias("known")).distinct()
+    hits = written(each.join(near(known), (F.col("h") == F.col("known")) & (F.col("width") == F.col("own_width")), "left_semi").distinct(), "license-hits")
+
+    # the texts that have any, and their shingles in order
+    some = hits.select(F.col("row").alias("some_row")).distinct()
+    some = F.broadcast(some) if hits.count() <= BROADCAST_SHINGLES else some
+    held = worded.join(some, F.col("row") == F.col("some_row"), "left_semi").dropDuplicates(["doc_id", "row"])
+    texts = held.select("doc_id", "row", F.explode(F.array(*[F.struct(F.lit(k).alias("width"), _shingles(k).alias("hs")) for k in widths])).alias("s")).select("doc_id", "row", "s.width", "s.hs")
+    texts = written(texts, "license-texts")
+    # a null doc_id joins as a number that no row of another text has beside the same row
+    key = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
+    found = _retrieved(key(hits), near(anchors), key(texts)).join(near(table.select("template", "license_id", "variant", "width", "n", F.col("hs").alias("own"))), "template")
+    ids = texts.select(F.col("doc_id").alias("true_id"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"), "row", "width", F.array_distinct("hs").alias("hs"))
+    share = F.size(F.array_intersect("hs", "own")) / F.col("n")
+    found = found.join(ids, ["doc_id", "row", "width"]).withColumn("containment", share).where(F.col("containment") >= containment - 1e-12)
+    return found.select(F.col("true_id").alias("doc_id"), "license_id", "variant", F.col("n").alias("n_shingles"), "containment")

@@ -61,3 +61,20 @@ def test_settings_and_empty(spark, rows):
     assert scan_licenses(df.limit(0)).count() == 0
     assert scan_licenses(df, [("x", "y", "software copyright notice")]).count() == len(brute(rows, [("x", "y", "software copyright notice")]))
     assert scan_licenses(df, []).count() == 0
+
+
+def test_bands_retrieve(spark, rows, monkeypatch):
+    """With a single band some templates are missed, and then not reported, however much of them a text holds."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(licenses, "bands_for", lambda *a: 1)
+    got = {(r.doc_id, r.license_id, r.variant) for r in scan_licenses(df).collect()}
+    every = {x[:3] for x in brute(rows)}
+    assert got < every and len(got) > len(every) / 5
+
+
+def test_templates_of_files(spark, tmp_path):
+    (tmp_path / "own-1.0.txt").write_text(" ".join(f"word{k}" for k in range(3000)))
+    (tmp_path / "empty.txt").write_text("")
+    docs = spark.createDataFrame([(1, "before " + " ".join(f"WORD{k}," for k in range(100, 3000)) + " after"), (2, " ".join(f"word{k}" for k in range(0, 3000, 2)))], "doc_id long, text string")
+    found = scan_licenses(docs, licenses.read_templates(spark, f"file://{tmp_path}")).collect()
+    assert [(r.doc_id, r.license_id, r.variant, r.n_shingles) for r in found] == [(1, "own-1.0", "full", 2996)]
