@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed
+from .common import bounded_batches, packed
 
-#: Documents that training takes at most, those of the smallest hashes, and words of each run cut from them.
-TRAIN_DOCS = 800
+#: Documents that training takes at most, those of the smallest hashes; longer ones aren't among them, nor are
+#: languages beyond the TRAIN_LANGS of most documents. And words of each run cut from them.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_LANGS = 800, 100_000, 400
 RUN_WORDS = 48
 #: Words whose scores a task keeps; beyond it the store starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 #: Characters of texts that are labelled together, and words of a block of one text.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -97,14 +97,15 @@ class Crf:
         cuts = np.cumsum([len(t) for t in texts])[:-1]
         return blockwise([self.scores[x] for x in np.split(flat, cuts)], self.moves)
 
-    def shares(self, texts: list[list[str]]) -> np.ndarray:
-        """For each text, the mean label probabilities of its words with letters."""
-        out = np.zeros((len(texts), len(self.labels)))
+    def shares(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the mean label probabilities of its words with letters, and the mean of each word's largest."""
+        out, sure = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         for k, (words, m) in enumerate(zip(texts, self.marginals(texts))):
             if len(words):
                 heavy = self.heavy[self._look_up(words)]
                 out[k] = heavy @ m / max(heavy.sum(), 1.0)
-        return out
+                sure[k] = heavy @ m.max(axis=1) / max(heavy.sum(), 1.0)
+        return out, sure
 
 
 def forward_backward(scores: list[np.ndarray], moves: np.ndarray, prior: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -266,11 +267,14 @@ def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     """Train on documents that aren't held out and have text and lang.
 
     Takes the train_docs of the smallest hash of doc_id, an equal part of it
-    for each lang; a documented bound, which the model's size follows.
+    for each lang; a documented bound, which the model's size follows. Texts of
+    more than TRAIN_CHARS are not learned from, and of more than TRAIN_LANGS
+    languages those of most documents (of equal ones the first by name) are.
     """
     rank = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, TRAIN_CHARS) & ~held_out(F.col("doc_id")))
+    most_used = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS)
+    counts = {r[0]: r[1] for r in most_used.collect()}
     if not counts:
         return train([])
     each, reach = max(1, train_docs // len(counts)), 2.0
@@ -284,9 +288,6 @@ def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
         reach *= 2
 
 
-_models: dict[str, Crf] = {}
-
-
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
     """docs with lang_pred (string) and score (double).
 
@@ -297,27 +298,29 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     alphabetical order. Rows and other columns pass through; input columns
     lang_pred and score are replaced.
     """
-    shipped, name = docs.sparkSession.sparkContext.broadcast((model.labels, model.codes, model.lexicon, model.weights, model.moves)), uuid.uuid4().hex
+    return _identified(docs, model).drop("sure_")
+
+
+def _identified(docs: DataFrame, model: Crf) -> DataFrame:
+    """identify's columns and sure_, the mean probability of the likeliest label of each word."""
+    bounded_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.labels, model.codes, model.lexicon, model.weights, model.moves))
 
-    def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(model: Crf, texts: list[str | None]) -> list[tuple[str, float, float]]:
         if not model.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        words = [t.split() if t else [] for t in texts]
-        shares = model.shares(words)
+            return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         out = []
-        for share in shares:
+        for share, sure in zip(*model.shares([t.split() if t else [] for t in texts])):
             best = int(share.argmax())
-            out.append((model.labels[best], min(1.0, float(share[best]))) if share[best] > 0 else (UNKNOWN, 0.0))
+            out.append((model.labels[best], min(1.0, float(share[best])), min(1.0, float(sure))) if share[best] > 0 else (UNKNOWN, 0.0, 0.0))
         return out
 
-    @F.pandas_udf(T.StructType([T.StructField("l", T.StringType()), T.StructField("s", T.DoubleType())]))
+    @F.pandas_udf(T.StructType([T.StructField("l", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("u", T.DoubleType())]))
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Crf(*shipped.value)
-        model = _models[name]
+        # the model's store of words is the task's own and goes with it
+        model = Crf(*shipped.value)
         for batch in batches:
-            out: list[tuple[str, float]] = []
+            out: list[tuple[str, float, float]] = []
             part: list[str | None] = []
             size = 0
             for text in batch:
@@ -326,17 +329,18 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
                 if size > BATCH_CHARS:
                     out += predict(model, part)
                     part, size = [], 0
-            yield pd.DataFrame(out + predict(model, part), columns=["l", "s"])
+            yield pd.DataFrame(out + predict(model, part), columns=["l", "s", "u"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     found = docs.select(*kept, predicted(F.col("text")).alias("found_"))
-    return found.select(*kept, F.col("found_.l").alias("lang_pred"), F.col("found_.s").alias("score"))
+    return found.select(*kept, F.col("found_.l").alias("lang_pred"), F.col("found_.s").alias("score"), F.col("found_.u").alias("sure_"))
 
 
 def keep_identified(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
-    """docs without those that are "und" or whose language has less than least of their words.
+    """docs without those that are "und" or whose words have no sure label (a mean probability below least).
 
-    All columns stay as they are.
+    A text that shares its words among known languages is kept. All columns
+    stay as they are; an empty table stays empty.
     """
     rows = packed(docs, {"text": F.col("text").cast("string")})
-    return identify(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row_.*")
+    return _identified(rows, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("sure_") >= least)).select("row_.*")

@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from semiweave.llm.langid import blockwise, forward_backward, grams, held_out, identify, letters, train, train_on
+from semiweave.llm import langid
+from semiweave.llm.langid import blockwise, forward_backward, grams, held_out, identify, keep_identified, letters, train, train_on
 
 WORDS = {"aa": ["the", "wharing", "andshed", "tionly", "with"], "bb": ["der", "schkeit", "ungen", "für", "pflich"]}
 
@@ -87,3 +88,28 @@ def test_nothing_learned(spark, docs):
     assert model.labels == []
     assert {r.lang_pred for r in identify(docs, model).collect()} == {"und"}
     assert identify(docs.limit(0), train_on(docs)).count() == 0
+
+
+def test_ties_take_the_first_label(spark):
+    model = langid.Crf(["aa", "bb"], np.zeros(0, dtype=np.uint64), {}, np.zeros((0, 2)), np.zeros((2, 2)))
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (2, "12 34")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in identify(docs, model).collect()) == [(1, "aa", 0.5), (1, "aa", 0.5), (2, "und", 0.0)]
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """However many values lang has, and however long texts are."""
+    monkeypatch.setattr(langid, "TRAIN_LANGS", 3)
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 100)
+    rows = [(k, f"text {k} of language l{k % 9}", f"l{k % 9}") for k in range(180)] + [(1000 + k, "long " * 100, "l8") for k in range(60)]
+    model = train_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_docs=12)
+    assert len(model.labels) == 3 and "long" not in model.lexicon
+
+
+def test_texts_of_several_languages_stay(spark):
+    words = {"aa": "alpha beta gamma delta", "bb": "uno due tre quattro", "cc": "eins zwei drei vier"}
+    train = [(k, " ".join([words[x]] * 12), x) for k, x in enumerate(list(words) * 20)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    mixed = spark.createDataFrame([(1, " ".join(" ".join([words[x]] * 12) for x in words), "x"), (2, None, "x"), (3, "123 ...", "x"), (None, words["aa"] * 5, "x")], "doc_id long, text string, lang_pred string")
+    kept = keep_identified(mixed, train_on(df))
+    assert kept.columns == mixed.columns
+    assert sorted(((r.doc_id or 0) for r in kept.collect())) == [0, 1]
