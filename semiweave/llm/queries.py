@@ -14,10 +14,14 @@ from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .sharding import assign_shards
-from .tokens import count_tokens
+from .tokens import count_tokens, load_vocabulary
 from .warc import archive_round_trip
 
 
+#: Vocabulary of the token counts, a parameter of theirs; read where it is and never copied.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,7 +46,7 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "score")
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), load_vocabulary(MODEL_FILE)).select("doc_id", "n_tokens", "score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

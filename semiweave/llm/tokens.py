@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Default vocabulary file, a parameter everywhere; never copied.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+from .common import bounded_batches
+
 SPACE = "▁"
 #: A character that no piece covers costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -20,12 +21,33 @@ UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 400_000
 
 
-def load_vocabulary(path: str = MODEL_FILE) -> list[tuple[str, float]]:
-    """(piece, score) in id order from a sentencepiece model file."""
+def load_vocabulary(path: str) -> list[tuple[str, float]]:
+    """(piece, score) in id order from a sentencepiece model file.
+
+    A unigram model's scores are its log probabilities. A BPE model has ranks
+    instead, best first, and no probabilities; tokenizers aren't trained here,
+    so a piece of rank r gets that of Zipf's law, log(1 / (r * H)) with H the
+    sum of 1 / r. Control and unknown pieces get no share of it: their score
+    is 0, as in the file.
+    """
     import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    n = model.get_piece_size()
+    scores = [model.get_score(i) for i in range(n)]
+    proto = pb.ModelProto()
+    proto.ParseFromString(model.serialized_model_proto())
+    if proto.trainer_spec.model_type != pb.TrainerSpec.UNIGRAM:
+        ranked = sorted((i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))), key=lambda i: (-scores[i], i))
+        whole = sum(1 / r for r in range(1, len(ranked) + 1))
+        for r, i in enumerate(ranked, 1):
+            scores[i] = -math.log(r * whole)
+        # bytes stand in for what no piece covers; as pieces they are as rare as the rarest
+        for i in range(n):
+            if model.is_byte(i):
+                scores[i] = -math.log(len(ranked) * whole)
+    return [(model.id_to_piece(i), scores[i]) for i in range(n)]
 
 
 class CountOnlyViterbi:
@@ -121,17 +143,18 @@ class CountOnlyViterbi:
 _built: dict[str, CountOnlyViterbi] = {}
 
 
-def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]] | None = None, model_file: str = MODEL_FILE) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
     """docs with n_tokens (long) and score (double), the sum of its pieces' scores.
 
-    The vocabulary, whose size the model file fixes, is read on the driver and
+    The vocabulary, whose size a model file fixes (load_vocabulary), is
     broadcast; each Python worker builds its automaton once and keeps the
     counts of up to CACHE_WORDS words, so memory is bounded. Whole texts are
     counted, a text in one row however long. Null or empty text has 0 tokens
     and score 0; input columns n_tokens and score are replaced; rows, ties and
     other columns pass through.
     """
-    shipped, name = docs.sparkSession.sparkContext.broadcast(vocabulary or load_vocabulary(model_file)), uuid.uuid4().hex
+    bounded_batches(docs.sparkSession)
+    shipped, name = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.DoubleType())]))
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -3,7 +3,8 @@ import random
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from semiweave.llm.tokens import MODEL_FILE, CountOnlyViterbi, count_tokens, load_vocabulary
+from semiweave.llm.queries import MODEL_FILE
+from semiweave.llm.tokens import CountOnlyViterbi, count_tokens, load_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,6 @@ def test_ties_take_the_longest_last_piece():
 def test_rows_of_every_kind(spark, vocabulary, exact):
     rows = [(1, "the cat", "x"), (1, "the cat", "x"), (2, None, None), (None, "", "y"), (3, "word " * 30000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    got = sorted(map(tuple, count_tokens(df).select("doc_id", "n_tokens").collect()), key=str)
+    got = sorted(map(tuple, count_tokens(df, vocabulary).select("doc_id", "n_tokens").collect()), key=str)
     assert got == sorted([(1, exact("the cat"))] * 2 + [(2, 0), (None, 0), (3, exact("word " * 30000))], key=str)
-    assert count_tokens(df.limit(0)).count() == 0
+    assert count_tokens(df.limit(0), vocabulary).count() == 0
