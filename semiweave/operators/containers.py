@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import GraphError
-from ..functions.algebra import Monoid, Semiring, default_combine, resolve_monoid, resolve_semiring
+from ..functions.algebra import Monoid, Semiring, default_combine, resolve_monoid, resolve_semiring, summed
 from ..functions.scalar_ops import UnaryOp, unary
 from ..types import DEFAULTS, SPARK, recast, validate_type
-from .masks import Descriptor, Mask, masked
+from .masks import Descriptor, Mask, masked, positions
 
 PLAIN = Descriptor()
 
@@ -47,12 +47,34 @@ def _value(v: Any, dtype: str) -> Any:
 
 def _combined(df: DataFrame, keys: list[str], dtype: str, combine: str | Monoid | None) -> DataFrame:
     m = resolve_monoid(combine) if combine else default_combine(dtype)
-    return df.groupBy(*keys).agg(m.aggregate(F.col("v"), dtype).alias("v"))
+    return summed(df, keys, m, dtype)
+
+
+def _checked(df: DataFrame, sizes: dict[str, int], check: bool | None) -> DataFrame:
+    """df whose positions lie within sizes and that has no nulls.
+
+    With check=None rows are tested as they are read, without a job of its
+    own: an action on a wrong one fails. True tests by one aggregate at once
+    and raises GraphError. False trusts df, and lets later filters be pushed
+    below to its source.
+    """
+    if check is None:
+        inside = [F.col("v").isNotNull(), *[F.col(k).isNotNull() & (F.col(k) >= 0) & (F.col(k) < n) for k, n in sizes.items()]]
+        wrong = F.raise_error(F.concat(F.lit(f"index_out_of_bounds: of size {tuple(sizes.values())}, or null: "), F.to_json(F.struct(*df.columns))))
+        # rand makes the test one that Spark moves before no other filter, which may drop the rows it is about
+        ok = fold(lambda a, b: a & b, inside) | (F.rand() < 0)
+        return df.where(F.when(ok, F.lit(True)).otherwise(wrong.cast("boolean")))
+    if check:
+        _check_bounds(df, sizes)
+    return df
 
 
 def _check_bounds(df: DataFrame, sizes: dict[str, int]) -> None:
-    """Raise for the first row or column outside its size, by one aggregate."""
-    ends = df.agg(*[f(k).alias(f"{k}{n}") for k in sizes for n, f in enumerate((F.min, F.max))]).first()
+    """Raise for a null, or the first row or column outside its size, by one aggregate."""
+    nulls = F.count_if(fold(lambda a, b: a | b, [F.col(c).isNull() for c in df.columns]))
+    ends = df.agg(nulls.alias("nulls"), *[f(k).alias(f"{k}{n}") for k in sizes for n, f in enumerate((F.min, F.max))]).first()
+    if ends["nulls"]:
+        raise GraphError("invalid_argument", f"{ends['nulls']} rows hold nulls")
     for k, size in sizes.items():
         for x in (ends[f"{k}0"], ends[f"{k}1"]):
             if x is not None and not 0 <= x < size:
@@ -100,7 +122,7 @@ class _Container:
         m = resolve_monoid(monoid)
         rows = self.df.unionByName(other.cast(self.dtype).df)
         # associative and commutative, so a union and one aggregation do without a full join
-        df = rows.groupBy(*self.keys).agg(m.aggregate(F.col("v"), self.dtype).alias("v"))
+        df = summed(rows, self.keys, m, self.dtype)
         return replace(self, df=masked(df, self.keys, mask, descriptor, self.kind))
 
     def _ewise_mult(self, other, monoid: str | Monoid, mask: Mask | None, descriptor: Descriptor):
@@ -168,15 +190,14 @@ class Matrix(_Container):
         return Matrix(_combined(df, Matrix.keys, dtype, combine), nrows, ncols, dtype)
 
     @staticmethod
-    def from_df(df: DataFrame, nrows: int, ncols: int, row: str = "i", col: str = "j", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, check: bool = False) -> "Matrix":
-        """From a DataFrame. unique skips the combining aggregation; check runs one aggregate over the bounds."""
+    def from_df(df: DataFrame, nrows: int, ncols: int, row: str = "i", col: str = "j", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, check: bool | None = None) -> "Matrix":
+        """From a DataFrame without nulls; unique skips the combining aggregation. For check see _checked."""
         validate_type(dtype)
         if nrows < 0 or ncols < 0:
             raise GraphError("invalid_argument", "dimensions must not be negative")
         v = F.col(val) if isinstance(val, str) else val
-        df = df.select(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j"), v.cast(SPARK[dtype]).alias("v")).where("i is not null and j is not null and v is not null")
-        if check:
-            _check_bounds(df, {"i": nrows, "j": ncols})
+        df = df.select(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j"), v.cast(SPARK[dtype]).alias("v"))
+        df = _checked(df, {"i": nrows, "j": ncols}, check)
         return Matrix(df if unique else _combined(df, Matrix.keys, dtype, combine), nrows, ncols, dtype)
 
     def to_coo(self) -> DataFrame:
@@ -206,16 +227,27 @@ class Matrix(_Container):
     T = property(transpose)
 
     def mxm(self, other: "Matrix", semiring: str | Semiring = "plus_times", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Matrix":
-        """The product: a join on the inner index and a grouped aggregate."""
+        """The product: a join on the inner index and a grouped aggregate.
+
+        Rows and columns that a mask (not a complement) leaves out are dropped
+        before the join.
+        """
         sr = resolve_semiring(semiring)
+        products = self._terms(other, sr, mask, descriptor)
+        nrows, ncols = self.ncols if descriptor.inp0 else self.nrows, other.nrows if descriptor.inp1 else other.ncols
+        return Matrix(masked(summed(products, self.keys, sr.monoid, sr.type), self.keys, mask, descriptor, self.kind), nrows, ncols, sr.type)
+
+    def _terms(self, other: "Matrix", sr: Semiring, mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> DataFrame:
+        """(i, j, v): the terms that a product sums."""
         a, b = self.transpose() if descriptor.inp0 else self, other.transpose() if descriptor.inp1 else other
         if a.ncols != b.nrows:
             raise GraphError("dimension_mismatch", a.ncols, b.nrows)
         left = a.cast(sr.type).df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
         right = b.cast(sr.type).df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        products = left.join(right, "k").select("i", "j", sr.times(F.col("x"), F.col("y")).alias("v"))
-        df = products.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"))
-        return Matrix(masked(df, self.keys, mask, descriptor, self.kind), a.nrows, b.ncols, sr.type)
+        if mask is not None and not mask.complement:
+            at = positions(mask, descriptor, self.kind)
+            left, right = left.join(at.select("i").distinct(), "i", "left_semi"), right.join(at.select("j").distinct(), "j", "left_semi")
+        return left.join(right, "k").select("i", "j", sr.times(F.col("x"), F.col("y")).alias("v"))
 
     def mxv(self, vector: "Vector", semiring: str | Semiring = "plus_times", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Vector":
         sr = resolve_semiring(semiring)
@@ -225,7 +257,7 @@ class Matrix(_Container):
         left = a.cast(sr.type).df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
         right = vector.cast(sr.type).df.select(F.col("i").alias("k"), F.col("v").alias("y"))
         products = left.join(right, "k").select("i", sr.times(F.col("x"), F.col("y")).alias("v"))
-        df = products.groupBy("i").agg(sr.monoid.aggregate(F.col("v")).alias("v"))
+        df = summed(products, Vector.keys, sr.monoid, sr.type)
         return Vector(masked(df, Vector.keys, mask, descriptor, Vector.kind), a.nrows, sr.type)
 
     def ewise_add(self, other: "Matrix", monoid: str | Monoid = "plus", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Matrix":
@@ -240,7 +272,7 @@ class Matrix(_Container):
         """Rows (columns with descriptor.inp0) summed; empty ones are absent."""
         m = resolve_monoid(monoid)
         a = self.transpose() if descriptor.inp0 else self
-        df = a.df.groupBy("i").agg(m.aggregate(F.col("v"), self.dtype).alias("v"))
+        df = summed(a.df.select("i", "v"), Vector.keys, m, self.dtype)
         return Vector(masked(df, Vector.keys, mask, descriptor, Vector.kind), a.nrows, self.dtype)
 
     def set(self, row: int, col: int, value: Any) -> "Matrix":
@@ -282,12 +314,11 @@ class Vector(_Container):
         return Vector(_combined(spark.createDataFrame(rows, _schema(Vector.keys, dtype)), Vector.keys, dtype, combine), size, dtype)
 
     @staticmethod
-    def from_df(df: DataFrame, size: int, index: str = "i", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, check: bool = False) -> "Vector":
+    def from_df(df: DataFrame, size: int, index: str = "i", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, check: bool | None = None) -> "Vector":
         validate_type(dtype)
         v = F.col(val) if isinstance(val, str) else val
-        df = df.select(F.col(index).cast("long").alias("i"), v.cast(SPARK[dtype]).alias("v")).where("i is not null and v is not null")
-        if check:
-            _check_bounds(df, {"i": size})
+        df = df.select(F.col(index).cast("long").alias("i"), v.cast(SPARK[dtype]).alias("v"))
+        df = _checked(df, {"i": size}, check)
         return Vector(df if unique else _combined(df, Vector.keys, dtype, combine), size, dtype)
 
     @staticmethod
@@ -321,7 +352,7 @@ class Vector(_Container):
         left = self.cast(sr.type).df.select(F.col("i").alias("k"), F.col("v").alias("x"))
         right = b.cast(sr.type).df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
         products = left.join(right, "k").select(F.col("j").alias("i"), sr.times(F.col("x"), F.col("y")).alias("v"))
-        df = products.groupBy("i").agg(sr.monoid.aggregate(F.col("v")).alias("v"))
+        df = summed(products, self.keys, sr.monoid, sr.type)
         return Vector(masked(df, self.keys, mask, descriptor, self.kind), b.ncols, sr.type)
 
     def ewise_add(self, other: "Vector", monoid: str | Monoid = "plus", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Vector":
@@ -333,7 +364,7 @@ class Vector(_Container):
     def reduce_df(self, monoid: str | Monoid = "plus") -> DataFrame:
         """One row with the column v: all values summed, the identity if there are none."""
         m = resolve_monoid(monoid)
-        return self.df.agg(F.coalesce(m.aggregate(F.col("v"), self.dtype), F.lit(m.identity).cast(SPARK[self.dtype])).alias("v"))
+        return summed(self.df.select("v"), [], m, self.dtype).select(F.coalesce("v", F.lit(m.identity).cast(SPARK[self.dtype])).alias("v"))
 
     def reduce(self, monoid: str | Monoid = "plus") -> Scalar:
         return Scalar(self.reduce_df(monoid).first()[0], self.dtype)

@@ -49,6 +49,14 @@ class Descriptor:
         return replace(self, output="replace")
 
 
+def positions(mask: Mask, descriptor: Descriptor, kind: str) -> DataFrame:
+    """Rows of the mask's source that count as set."""
+    if mask.source.kind != kind:
+        raise GraphError("mask_type_mismatch", mask.source.kind, kind)
+    at = mask.source.df
+    return at.where(truthy(F.col("v"), mask.source.dtype)) if descriptor.mask == "value" else at
+
+
 def masked(df: DataFrame, keys: list[str], mask: Mask | None, descriptor: Descriptor, kind: str) -> DataFrame:
     """df at the mask's positions: a semi or anti join on its keys.
 
@@ -58,9 +66,5 @@ def masked(df: DataFrame, keys: list[str], mask: Mask | None, descriptor: Descri
     """
     if mask is None:
         return df
-    if mask.source.kind != kind:
-        raise GraphError("mask_type_mismatch", mask.source.kind, kind)
-    at = mask.source.df
-    if descriptor.mask == "value":
-        at = at.where(truthy(F.col("v"), mask.source.dtype))
+    at = positions(mask, descriptor, kind)
     return df.join(at.select(*keys), keys, "left_anti" if mask.complement else "left_semi")

@@ -7,12 +7,12 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import settled
 from ..config import config
 from ..errors import GraphError
 from ..operators.containers import Matrix, Vector
 from ..operators.masks import Descriptor
 from ..types import recast
-from .iterate import changed, settled
 
 
 def _source(adj: Matrix, source: int) -> None:
@@ -20,54 +20,97 @@ def _source(adj: Matrix, source: int) -> None:
         raise GraphError("index_out_of_bounds", source, "source", adj.nrows)
 
 
-def _edges(adj: Matrix, *columns: str | Column) -> DataFrame:
-    """Edges laid out by their start and kept for the loop, so that rounds shuffle the frontier alone."""
-    return adj.df.select("i", *columns).repartition("i").persist()
+#: Edges of one vertex that share a partition; a vertex with more is dealt to several.
+HEAVY = 1_000_000
+
+
+class _Edges:
+    """Edges laid out by their start and kept for a loop, so that its rounds shuffle the frontier alone.
+
+    A vertex of more than HEAVY edges has several parts, and what it sends is
+    copied to each.
+    """
+
+    def __init__(self, df: DataFrame, heavy: int | None = None):
+        heavy = HEAVY if heavy is None else heavy
+        parts = settled(df.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("i", F.ceil(F.col("n") / heavy).alias("parts")))
+        few = parts.count()
+        self.parts = (F.broadcast(parts) if few <= 200_000 else parts) if few else None
+        if self.parts is None:
+            self.by, self.df = ["i"], df.repartition("i").persist()
+        else:
+            salted = df.join(self.parts, "i", "left").withColumn("part", F.pmod(F.xxhash64("j"), F.coalesce("parts", F.lit(1))))
+            self.by, self.df = ["i", "part"], salted.drop("parts").repartition("i", "part").persist()
+
+    def ahead(self, frontier: DataFrame) -> DataFrame:
+        """frontier (with i) joined to the edges that start there."""
+        if self.parts is not None:
+            copies = frontier.join(self.parts, "i", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+            frontier = copies.drop("parts")
+        return frontier.join(self.df, self.by)
 
 
 def bfs_levels(adj: Matrix, source: int, *, max_iter: int | None = None) -> Vector:
-    """Hops from source (0) to each vertex within max_iter hops; others are absent.
+    """Hops from source (0) to each vertex within max_iter hops, or all; others are absent.
 
     Edges count by being stored, whatever their value. A round joins the last
-    level to the edges and drops vertices seen before by an anti join.
+    level to the edges and drops vertices seen before by an anti join; levels
+    are put together every few rounds.
     """
     _source(adj, source)
-    edges = _edges(adj, "j")
+    edges = _Edges(adj.df.select("i", "j"))
     levels = [settled(adj.spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("v")))]
-    for k in range(config.max_iter if max_iter is None else max_iter):
+    last, k = levels[0], 0
+    while max_iter is None or k < max_iter:
+        k += 1
         seen = fold(DataFrame.union, levels)
-        ahead = levels[-1].select("i").join(edges, "i").select(F.col("j").alias("i")).distinct()
-        new = settled(ahead.join(seen.select("i"), "i", "left_anti").select("i", F.lit(k + 1).cast("long").alias("v")))
-        if new.isEmpty():
+        ahead = edges.ahead(last.select("i")).select(F.col("j").alias("i")).distinct()
+        last = settled(ahead.join(seen.select("i"), "i", "left_anti").select("i", F.lit(k).cast("long").alias("v")))
+        if last.isEmpty():
             break
-        levels.append(new)
-    edges.unpersist()
+        levels = [settled(fold(DataFrame.union, [*levels, last]))] if len(levels) >= 8 else [*levels, last]
+    edges.df.unpersist()
     return Vector(fold(DataFrame.union, levels), adj.nrows, "int64")
 
 
 def bfs_reach(adj: Matrix, source: int, *, max_iter: int | None = None) -> Vector:
-    """true at source and every vertex within max_iter hops."""
+    """true at source and every vertex within max_iter hops, or at all that it reaches."""
     found = bfs_levels(adj, source, max_iter=max_iter)
     return Vector(found.df.select("i", F.lit(True).alias("v")), adj.nrows, "bool")
 
 
+def _least(start: DataFrame, edges: _Edges, offer: Column, limit: int) -> tuple[DataFrame, bool]:
+    """start (i, v) with each vertex's least offer over its in-edges, and whether it settled in limit rounds.
+
+    Only vertices improved in the last round make offers. One aggregate gives
+    a round's values and what they replace.
+    """
+    known = settled(start.select("i", "v", F.lit(None).cast(start.schema["v"].dataType).alias("old")))
+    better = F.col("old").isNull() | (F.col("v") < F.col("old"))
+    done = False
+    for _ in range(limit):
+        offers = edges.ahead(known.where(better).select("i", "v")).select(F.col("j").alias("i"), offer.alias("v"), F.lit(None).cast(start.schema["v"].dataType).alias("old"))
+        known = settled(known.select("i", "v", F.col("v").alias("old")).union(offers).groupBy("i").agg(F.min("v").alias("v"), F.min("old").alias("old")))
+        if not known.where(better).limit(1).count():
+            done = True
+            break
+    edges.df.unpersist()
+    return known.select("i", "v"), done
+
+
 def sssp(adj: Matrix, source: int, *, max_iter: int | None = None) -> Vector:
     """Least path weights from source; unreachable vertices are absent.
 
-    Bellman-Ford that relaxes only vertices improved in the last round.
+    Bellman-Ford that relaxes only vertices improved in the last round, until
+    none is; a cycle of negative weight, which never settles, is an error.
+    With max_iter paths have so many edges at most.
     """
     _source(adj, source)
-    edges = _edges(adj.cast("fp64"), "j", F.col("v").alias("w"))
-    known = settled(adj.spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v")))
-    ahead = known
-    for _ in range(config.max_iter if max_iter is None else max_iter):
-        offers = ahead.join(edges, "i").groupBy("j").agg(F.min(F.col("v") + F.col("w")).alias("offer"))
-        joined = offers.join(known.withColumnRenamed("i", "j"), "j", "left")
-        ahead = settled(joined.where("v is null or offer < v").select(F.col("j").alias("i"), F.col("offer").alias("v")))
-        if ahead.isEmpty():
-            break
-        known = settled(known.join(ahead.select("i"), "i", "left_anti").union(ahead))
-    edges.unpersist()
+    edges = _Edges(adj.cast("fp64").df.select("i", "j", F.col("v").alias("w")))
+    start = adj.spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
+    known, done = _least(start, edges, F.col("v") + F.col("w"), adj.nrows if max_iter is None else max_iter)
+    if max_iter is None and not done:
+        raise GraphError("invalid_argument", "a cycle of negative weight has no least path")
     return Vector(known, adj.nrows, "fp64")
 
 
@@ -78,7 +121,8 @@ def triangle_count_df(adj: Matrix) -> DataFrame:
     that counts each triangle once; loops add what they add to the product.
     """
     low = adj.df.where("i > j")
-    wedges = low.select("i", F.col("j").alias("k")).join(adj.df.select(F.col("i").alias("k"), "j"), "k")
+    # an end of a wedge lies below its start, which halves what is shuffled to the third edge
+    wedges = low.select("i", F.col("j").alias("k")).join(adj.df.select(F.col("i").alias("k"), "j"), "k").where("i > j")
     closed = wedges.join(low.select("i", "j"), ["i", "j"], "left_semi")
     return closed.agg(F.expr("count(*) div 2").cast("long").alias("triangles"))
 
@@ -110,9 +154,9 @@ def _stars(edges: DataFrame) -> DataFrame:
 def connected_components(adj: Matrix, *, undirected: bool = True) -> Vector:
     """The least vertex of each vertex's component; vertices without edges are their own.
 
-    With undirected=False edges are followed one way: the least vertex not yet
-    labelled labels all that it reaches, again and again, which is sequential
-    and meant for graphs of few components.
+    With undirected=False edges are followed one way, and a vertex gets the
+    least of itself and the vertices that reach it: labels spread along edges
+    from all vertices at once, as often as the longest of these paths has edges.
     """
     n, spark = adj.nrows, adj.spark
     ids = Vector.full(spark, n, F.col("i"), "int64")
@@ -121,13 +165,8 @@ def connected_components(adj: Matrix, *, undirected: bool = True) -> Vector:
         stars = _stars(settled(edges))
         labels = ids.df.select("i").join(stars.select(F.col("a").alias("i"), "b"), "i", "left").select("i", F.coalesce("b", "i").alias("v"))
         return Vector(labels, n, "int64")
-    left, labels = settled(ids.df.select("i")), ids
-    while (seed := left.agg(F.min("i")).first()[0]) is not None:
-        reached = bfs_reach(adj, seed, max_iter=max(1, n))
-        stamped = Vector(reached.df.select("i", F.lit(seed).cast("long").alias("v")), n, "int64")
-        labels = Vector(settled(labels.ewise_add(stamped, "min").df), n, "int64")
-        left = settled(left.join(reached.df.select("i"), "i", "left_anti"))
-    return labels
+    labels, _ = _least(ids.df, _Edges(adj.df.where("i <> j").select("i", "j")), F.col("v"), max(1, n))
+    return Vector(labels, n, "int64")
 
 
 def _counted(adj: Matrix) -> Matrix:
@@ -155,19 +194,23 @@ def pagerank(adj: Matrix, *, damping: float = 0.85, max_iter: int | None = None,
         return Vector.new(spark, 0, "fp64")
     whole = _counted(adj)
     out = whole.df.groupBy("i").agg(F.sum("v").alias("d")).where("d <> 0")
-    edges = whole.df.join(out, "i").select("i", "j", (F.col("v") / F.col("d")).alias("w")).repartition("i").persist()
-    starts = settled(out.select("i"))
-    ranks = settled(Vector.full(spark, n, F.lit(1.0 / n), "fp64").df)
+    edges = _Edges(whole.df.join(out, "i").select("i", "j", (F.col("v") / F.col("d")).alias("w")))
+    first = Vector.full(spark, n, F.lit(1.0 / n), "fp64").df
+    # a vertex without out-edges loses its rank, which a sum over the last round's rows gathers
+    ranks = settled(first.join(out.select("i", F.lit(False).alias("ends")), "i", "left").select("i", "v", F.coalesce("ends", F.lit(True)).alias("ends"), F.lit(None).cast("double").alias("old")))
     for _ in range(max_iter):
-        lost = ranks.join(starts, "i", "left_anti").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost"))
-        moved = ranks.join(edges, "i").groupBy("j").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
-        if teleport == "dense":
-            moved = spark.range(n).select(F.col("id").alias("j")).join(moved, "j", "left").select("j", F.coalesce("s", F.lit(0.0)).alias("s"))
+        lost = ranks.where("ends").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("lost"))
+        moved = edges.ahead(ranks.select("i", "v")).select(F.col("j").alias("i"), (F.col("v") * F.col("w")).alias("s"), F.lit(None).cast("boolean").alias("ends"), F.lit(None).cast("double").alias("old"))
+        stay = ranks.select("i", F.lit(None).cast("double").alias("s"), "ends", F.col("v").alias("old"))
+        sums = moved.union(stay).groupBy("i").agg(F.sum("s").alias("s"), F.max("ends").alias("ends"), F.max("old").alias("old"))
         shift = F.lit((1 - damping) / n) + F.lit(damping / n) * F.col("lost")
-        new = settled(moved.crossJoin(F.broadcast(lost)).select(F.col("j").alias("i"), (F.col("s") * damping + shift).alias("v")))
-        done = tol > 0 and not changed(ranks, new, ["i"], "fp64", tol)
-        ranks = new
-        if done:
+        value = F.coalesce("s", F.lit(0.0)) * damping + shift
+        if teleport != "dense":
+            # dropped vertices stay as rows without a rank, for where they end
+            value = F.when(F.col("s").isNotNull(), F.col("s") * damping + shift)
+        ranks = settled(sums.crossJoin(F.broadcast(lost)).select("i", value.alias("v"), "ends", "old"))
+        moves = F.abs(F.coalesce("v", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))) >= tol
+        if tol > 0 and not ranks.where(moves).limit(1).count():
             break
-    edges.unpersist()
-    return Vector(ranks, n, "fp64")
+    edges.df.unpersist()
+    return Vector(ranks.where("v is not null").select("i", "v"), n, "fp64")

@@ -1,38 +1,18 @@
-"""Loops: where lineage is cut, and when a loop has settled."""
+"""Loops: when one has settled."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import settled
 from ..config import config
 from ..operators.containers import Matrix, Vector
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, shared by all executors.
-
-    Set to a temporary folder only where the session names none, as in tests.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return context.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and written to the checkpoint folder; plans of a loop start from it.
-
-    A lost executor takes nothing with it, as it would with a local checkpoint.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def changed(old: DataFrame, new: DataFrame, keys: list[str], dtype: str, tol: float) -> bool:
     """Whether any position differs: by tol or more for numbers if tol > 0 (absent reads as 0), else at all."""
     a, b = old.withColumnRenamed("v", "x"), new.withColumnRenamed("v", "y")

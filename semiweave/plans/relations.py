@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import config
 from ..errors import GraphError
-from ..functions.algebra import Semiring, resolve_semiring
+from ..functions.algebra import SEMIRINGS, Semiring, resolve_semiring, summed
 from ..operators.containers import Matrix
-from .iterate import changed, settled
+from ..checkpoints import settled
+from .iterate import changed
 
 
-#: Built-in semirings whose products may be bracketed anyhow.
+#: Names of the built-in semirings whose products may be bracketed anyhow.
 DISTRIBUTIVE = {"plus_times", "plus_times_fp64", "max_plus", "max_plus_fp64", "min_plus", "min_plus_fp64", "max_min", "max_min_fp64", "lor_land", "land_lor"}
 
 
@@ -24,7 +25,7 @@ def _joined_rows(a: Matrix, b: Matrix) -> int:
     """Rows of the join that a product is made of, from the counts of its inner index."""
     left = a.df.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("x"))
     right = b.df.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("y"))
-    return left.join(right, "k").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    return left.join(right, "k").agg(F.sum(F.col("x").cast("decimal(38,0)") * F.col("y"))).first()[0] or 0
 
 
 @dataclass(frozen=True)
@@ -69,18 +70,18 @@ class Relation:
         return self.with_matrix(predicate, new)
 
     def traverse(self, path: list[str], semiring: str | Semiring = "lor_land") -> Matrix:
-        """The product of the path's matrices, as one lazy plan.
+        """The product of the path's matrices, as one plan.
 
         A single predicate gives its matrix; bool becomes 0 and 1 where the
         semiring counts. Of three hops or more the last two are multiplied
-        first if that joins fewer rows and multiply distributes over add, so
-        that the order changes nothing but rounding.
+        first if that joins fewer rows (two jobs count them) and multiply
+        distributes over add, so that the order changes nothing but rounding.
         """
         if not path:
             raise GraphError("empty_predicate_path")
         sr = resolve_semiring(semiring)
         matrices = [self.matrix(p) for p in path]
-        if len(path) > 2 and sr.name in DISTRIBUTIVE and _joined_rows(matrices[-2], matrices[-1]) < _joined_rows(matrices[0], matrices[1]):
+        if len(path) > 2 and sr.name in DISTRIBUTIVE and sr == SEMIRINGS[sr.name] and _joined_rows(matrices[-2], matrices[-1]) < _joined_rows(matrices[0], matrices[1]):
             out = matrices[-1]
             for m in reversed(matrices[:-1]):
                 out = m.mxm(out, sr)
@@ -94,27 +95,28 @@ class Relation:
         """P <- P + P * A from P = A until P stays: (P, {"iterations", "converged"}).
 
         The identity is not part of it. An idempotent sum only multiplies what
-        the last round changed. Any other sums anew each round, so counts grow
+        the last round changed, and a round's new values and what they replace
+        come from one aggregate. Any other sums anew each round, so counts grow
         until max_iter unless A * A is empty, and may overflow.
         """
         sr = resolve_semiring(semiring)
         a = self.matrix(predicate).cast(sr.type)
-        a = Matrix(a.df.repartition("i").persist(), a.nrows, a.ncols, a.dtype)
+        a = Matrix(a.df.persist(), a.nrows, a.ncols, a.dtype)
         limit = config.max_iter if max_iter is None else max_iter
-        now, delta, info = settled(a.df), None, {"iterations": limit, "converged": False}
+        now, info = settled(a.df.withColumn("old", F.lit(None).cast(a.df.schema["v"].dataType))), {"iterations": limit, "converged": False}
+        fresh = ~F.col("v").eqNullSafe(F.col("old"))
         for k in range(limit):
-            part = now if delta is None or not sr.idempotent else delta
-            paths = Matrix(part, a.nrows, a.ncols, sr.type).mxm(a, sr).df
-            new = settled(now.unionByName(paths).groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v")))
+            part = now.where(fresh) if sr.idempotent else now
+            terms = Matrix(part.select("i", "j", "v"), a.nrows, a.ncols, sr.type)._terms(a, sr)
             if sr.idempotent:
-                old = now.withColumnRenamed("v", "o")
-                delta = settled(new.join(old, ["i", "j"], "left").where(~F.col("v").eqNullSafe(F.col("o"))).select("i", "j", "v"))
-                stays = delta.isEmpty()
+                rows = now.select("i", "j", "v", F.col("v").alias("old")).unionByName(terms.withColumn("old", F.lit(None).cast(now.schema["v"].dataType)))
+                now = settled(rows.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"), sr.monoid.aggregate(F.col("old")).alias("old")))
+                stays = not now.where(fresh).limit(1).count()
             else:
-                stays = not changed(now, new, ["i", "j"], sr.type, 0.0)
-            now = new
+                new = settled(summed(now.select("i", "j", "v").unionByName(terms), ["i", "j"], sr.monoid, sr.type))
+                stays, now = not changed(now, new, ["i", "j"], sr.type, 0.0), new
             if stays:
                 info = {"iterations": k + 1, "converged": True}
                 break
         a.df.unpersist()
-        return Matrix(now, a.nrows, a.ncols, sr.type), info
+        return Matrix(now.select("i", "j", "v"), a.nrows, a.ncols, sr.type), info

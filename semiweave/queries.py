@@ -26,8 +26,8 @@ G4 = G2 + ", g4 AS (SELECT i, j FROM g2 WHERE i <> j UNION SELECT j, i FROM g2 W
 G5 = "g5 AS (SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS j FROM part)"
 A3 = "a3 AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL)"
 R3 = "r3 AS (SELECT l_suppkey AS i, l_partkey AS j, CAST(SUM(l_quantity) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"
-U3 = "u3 AS (SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_suppkey % 7 AS BIGINT) AS v FROM supplier WHERE s_suppkey % 3 <> 0)"
-W3 = "w3 AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS BIGINT) AS v FROM part WHERE p_partkey % 2 = 0)"
+U3 = "u3 AS (SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS v FROM supplier WHERE s_acctbal > 0)"
+W3 = "w3 AS (SELECT CAST(p_partkey AS BIGINT) AS i, CAST(p_size AS BIGINT) AS v FROM part WHERE p_size > 25)"
 
 # SQL of operators and of their aggregates.
 PAIR = {"plus": "{a} + {b}", "times": "{a} * {b}", "min": "LEAST({a}, {b})", "max": "GREATEST({a}, {b})", "land": "({a} AND {b})", "lor": "({a} OR {b})", "lxor": "({a} <> {b})"}
@@ -58,10 +58,10 @@ def _as(container, dtype: str):
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[Vector, Vector]:
-    """u3 over suppliers and w3 over parts."""
+    """u3 over suppliers (nations of those with a positive balance) and w3 over parts (sizes of the large ones)."""
     supplier, part = graphs.table(spark, sf_dir, "supplier"), graphs.table(spark, sf_dir, "part")
-    u = Vector.from_df(supplier.where("s_suppkey % 3 <> 0"), supplier.count(), "s_suppkey", F.col("s_suppkey") % 7, "int64", unique=True)
-    w = Vector.from_df(part.where("p_partkey % 2 = 0"), part.count(), "p_partkey", "p_size", "int64", unique=True)
+    u = Vector.from_df(supplier.where("s_acctbal > 0"), supplier.count(), "s_suppkey", "s_nationkey", "int64", unique=True)
+    w = Vector.from_df(part.where("p_size > 25"), part.count(), "p_partkey", "p_size", "int64", unique=True)
     return u, w
 
 
@@ -129,7 +129,7 @@ def mxm_custom_semiring(spark, sf_dir):
 
 
 # --- masks --------------------------------------------------------------------
-_PRODUCT = f"{G1}, p AS (SELECT a.i, b.j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM g1 a JOIN g1 b ON a.j = b.i GROUP BY a.i, b.j), m AS (SELECT i, j, (v % 3) AS v FROM g1 WHERE (i + j) % 2 = 0)"
+_PRODUCT = f"{G1}, p AS (SELECT a.i, b.j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM g1 a JOIN g1 b ON a.j = b.i GROUP BY a.i, b.j), m AS (SELECT i, j, (v % 3) AS v FROM g1 WHERE v > (SELECT AVG(v) FROM g1))"
 
 
 def _mask_query(name: str, complement: bool, by_value: bool) -> None:
@@ -138,7 +138,8 @@ def _mask_query(name: str, complement: bool, by_value: bool) -> None:
     @register(name, f"WITH {_PRODUCT} SELECT p.i, p.j, p.v FROM p WHERE {test} (SELECT 1 FROM m WHERE m.i = p.i AND m.j = p.j{' AND m.v <> 0' if by_value else ''})")
     def query(spark, sf_dir):
         g = graphs.nation_trade(spark, sf_dir)
-        at = Matrix(g.df.where("(i + j) % 2 = 0").withColumn("v", F.col("v") % 3), 25, 25, "int64")
+        mean = g.df.agg(F.avg("v").alias("mean"))
+        at = Matrix(g.df.crossJoin(F.broadcast(mean)).where("v > mean").select("i", "j", (F.col("v") % 3).alias("v")), 25, 25, "int64")
         return g.mxm(g, mask=Mask(at, complement), descriptor=Descriptor(mask="value" if by_value else "structural")).df
 
 
@@ -160,13 +161,12 @@ def transpose_mask(spark, sf_dir):
 # --- element-wise and reductions, for each monoid --------------------------------
 def _monoid_queries(name: str, m: Monoid) -> None:
     t, pair, op = CASTS[m.type], PAIR[m.operator], m.operator
-    # products of many quantities overflow; these of remainders don't
-    value = _value("v % 3", m.type) if op == "times" else _value("v", m.type)
+    value = _value("(1 + v % 3)", m.type) if op == "times" else _value("v", m.type)
     both = pair.format(a="a.v", b="b.v")
     sides = f"WITH {A3}, {R3}, a AS (SELECT i, j, {value} AS v FROM a3), b AS (SELECT i, j, {value} AS v FROM r3)"
 
     def prepared(matrix: Matrix) -> Matrix:
-        return _as(Matrix(matrix.df.withColumn("v", F.col("v") % 3), *matrix.shape) if op == "times" else matrix, m.type)
+        return _as(Matrix(matrix.df.withColumn("v", 1 + F.col("v") % 3), *matrix.shape) if op == "times" else matrix, m.type)
 
     def parts(spark, sf_dir):
         return [prepared(graphs.supplier_part(spark, sf_dir, f"l_returnflag = '{flag}'")) for flag in "AR"]
@@ -181,29 +181,28 @@ def _monoid_queries(name: str, m: Monoid) -> None:
         a, b = parts(spark, sf_dir)
         return a.ewise_mult(b, m).df
 
-    g = f"WITH {G1}, s AS (SELECT i, j, {_value('v % 3', m.type) if op == 'times' else _value('v', m.type)} AS v FROM g1 WHERE j < 20)"
+    # products of hundreds of quantities overflow; these of signs and a few twos don't
+    sign, part_sign = "CASE WHEN v % 50 = 0 THEN 2 WHEN v % 2 = 1 THEN -1 ELSE 1 END", "CASE WHEN p_partkey % 1000 = 7 THEN 2 WHEN p_size % 2 = 1 THEN -1 ELSE 1 END"
     total = f"CAST({SUMS[op].format(v='v')} AS {t})"
 
-    def small(spark, sf_dir) -> Matrix:
-        trade = graphs.nation_trade(spark, sf_dir)
-        return prepared(Matrix(trade.df.where("j < 20"), 25, 25))
-
-    @register(f"reduce_rows_{name}", f"{g} SELECT i, {total} AS v FROM s GROUP BY i")
+    @register(f"reduce_rows_{name}", f"WITH {G3}, s AS (SELECT i, {_value(f'({sign})' if op == 'times' else 'v', m.type)} AS v FROM g3) SELECT i, {total} AS v FROM s GROUP BY i")
     def reduce_rows(spark, sf_dir):
-        return small(spark, sf_dir).reduce(m).df
+        g = _dense_source(spark, sf_dir)
+        return _as(Matrix(g.df.withColumn("v", F.expr(sign).cast("long")), *g.shape) if op == "times" else g, m.type).reduce(m).df
 
-    @register(f"vector_reduce_{name}", f"{g} SELECT {total} AS v FROM s WHERE i = 3")
+    @register(f"vector_reduce_{name}", f"WITH s AS (SELECT {_value(f'({part_sign})' if op == 'times' else 'p_size', m.type)} AS v FROM part) SELECT {total} AS v FROM s")
     def vector_reduce(spark, sf_dir):
-        row = small(spark, sf_dir).df.where("i = 3").select(F.col("j").alias("i"), "v")
-        return Vector(row, 25, m.type).reduce_df(m)
+        part = graphs.table(spark, sf_dir, "part")
+        sizes = Vector.from_df(part, part.count(), "p_partkey", F.expr(part_sign if op == "times" else "p_size"), "int64", unique=True)
+        return _as(sizes, m.type).reduce_df(m)
 
-    v = f"WITH x AS (SELECT CAST(s_suppkey AS BIGINT) AS i, {_value('s_suppkey % 5', m.type)} AS v FROM supplier WHERE s_suppkey % 2 = 0), y AS (SELECT CAST(s_suppkey AS BIGINT) AS i, {_value('s_suppkey % 7', m.type)} AS v FROM supplier WHERE s_suppkey % 3 = 0)"
+    v = f"WITH x AS (SELECT CAST(s_suppkey AS BIGINT) AS i, {_value('s_nationkey', m.type)} AS v FROM supplier WHERE s_acctbal > 0), y AS (SELECT CAST(s_suppkey AS BIGINT) AS i, {_value('(1 + s_nationkey % 7)', m.type)} AS v FROM supplier WHERE s_acctbal < 5000)"
     vboth = pair.format(a="x.v", b="y.v")
 
     def vectors(spark, sf_dir):
         s = graphs.table(spark, sf_dir, "supplier")
         n = s.count()
-        return [_as(Vector.from_df(s.where(f"s_suppkey % {k} = 0"), n, "s_suppkey", F.col("s_suppkey") % r, "int64", unique=True), m.type) for k, r in ((2, 5), (3, 7))]
+        return [_as(Vector.from_df(s.where(rows), n, "s_suppkey", F.expr(value), "int64", unique=True), m.type) for rows, value in (("s_acctbal > 0", "s_nationkey"), ("s_acctbal < 5000", "1 + s_nationkey % 7"))]
 
     @register(f"vector_ewise_add_{name}", f"{v} SELECT i, CASE WHEN x.v IS NULL THEN y.v WHEN y.v IS NULL THEN x.v ELSE CAST({vboth} AS {t}) END AS v FROM x FULL JOIN y USING (i)")
     def vector_ewise_add(spark, sf_dir):
@@ -272,10 +271,10 @@ def to_coo(spark, sf_dir):
     return graphs.nation_trade(spark, sf_dir).to_coo()
 
 
-@register("to_dense", f"WITH {G1}, h AS (SELECT * FROM g1 WHERE (i + j) % 3 = 0) SELECT r.k AS i, c.k AS j, COALESCE(h.v, 0) AS v FROM range(25) r(k) CROSS JOIN range(25) c(k) LEFT JOIN h ON h.i = r.k AND h.j = c.k")
+@register("to_dense", f"WITH {G1} SELECT r.k AS i, c.k AS j, COALESCE(g1.v, 0) AS v FROM range(25) r(k) CROSS JOIN range(30) c(k) LEFT JOIN g1 ON g1.i = r.k AND g1.j = c.k")
 def to_dense(spark, sf_dir):
-    g = graphs.nation_trade(spark, sf_dir)
-    rows = Matrix(g.df.where("(i + j) % 3 = 0"), 25, 25).to_dense()
+    """The trade of nations with five more columns, which nothing is stored in."""
+    rows = Matrix(graphs.nation_trade(spark, sf_dir).df, 25, 30).to_dense()
     return rows.select("i", F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
 
 
@@ -306,10 +305,10 @@ def vector_set(spark, sf_dir):
     return _vectors(spark, sf_dir)[0].set(4, 99).df
 
 
-@register("vector_extract", f"WITH {U3} SELECT (SELECT COALESCE(MAX(v), 0) FROM u3 WHERE i = 4) AS stored, CAST(0 AS BIGINT) AS absent")
+@register("vector_extract", f"WITH {U3} SELECT (SELECT COALESCE(MAX(v), 0) FROM u3 WHERE i = 4) AS first, (SELECT COALESCE(MAX(v), 0) FROM u3 WHERE i = 3) AS second")
 def vector_extract(spark, sf_dir):
     u = _vectors(spark, sf_dir)[0]
-    return spark.createDataFrame([(u.extract(4), u.extract(3))], "stored long, absent long")
+    return spark.createDataFrame([(u.extract(4), u.extract(3))], "first long, second long")
 
 
 @register("dup", f"WITH {G1} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, v FROM g1")
@@ -331,11 +330,16 @@ for _name in UNARY:
 
 
 # --- algorithms -----------------------------------------------------------------
-_LEVELS = "lev(i, v) AS (SELECT {s}, CAST(0 AS BIGINT) UNION SELECT g.j, v + 1 FROM lev JOIN {g} g ON lev.i = g.i WHERE v < {n})"
+_LEVELS = "lev(i, v) AS (SELECT {s}, CAST(0 AS BIGINT) UNION SELECT g.j, lev.v + 1 FROM lev JOIN {g} g ON lev.i = g.i WHERE lev.v < {n})"
 
 
-@register("bfs_levels", f"WITH RECURSIVE {G5}, {_LEVELS.format(s='CAST(7 AS BIGINT)', g='g5', n=60)} SELECT i, MIN(v) AS v FROM lev GROUP BY i")
+@register("bfs_levels", f"WITH RECURSIVE {G2}, {_LEVELS.format(s='CAST(0 AS BIGINT)', g='g2', n=20)} SELECT i, MIN(v) AS v FROM lev GROUP BY i")
 def bfs_levels(spark, sf_dir):
+    return algorithms.bfs_levels(graphs.user_succession(spark, sf_dir), 0).df
+
+
+@register("bfs_levels_sparse", f"WITH RECURSIVE {G5}, {_LEVELS.format(s='CAST(7 AS BIGINT)', g='g5', n=60)} SELECT i, MIN(v) AS v FROM lev GROUP BY i")
+def bfs_levels_sparse(spark, sf_dir):
     return algorithms.bfs_levels(graphs.part_pointer(spark, sf_dir), 7).df
 
 
@@ -365,6 +369,12 @@ def connected_components(spark, sf_dir):
     return algorithms.connected_components(graphs.part_pointer(spark, sf_dir)).df
 
 
+@register("connected_components_directed", f"WITH RECURSIVE {G5}, c(i, j) AS (SELECT i, i FROM g5 UNION SELECT c.i, g5.j FROM c JOIN g5 ON c.j = g5.i) SELECT j AS i, MIN(i) AS v FROM c GROUP BY j")
+def connected_components_directed(spark, sf_dir):
+    """The least part that reaches each part."""
+    return algorithms.connected_components(graphs.part_pointer(spark, sf_dir), undirected=False).df
+
+
 @register("degree_out", f"WITH {G2} SELECT i, CAST(SUM(v) AS BIGINT) AS v FROM g2 GROUP BY i")
 def degree_out(spark, sf_dir):
     return algorithms.degree(graphs.user_succession(spark, sf_dir, "int64"))["out_degree"].df
@@ -381,19 +391,20 @@ def _ranks(rounds: int, dense: bool) -> str:
         moved = f"SELECT g2.j AS i, SUM(r{k}.v * g2.v / o.d) AS s FROM r{k} JOIN g2 ON r{k}.i = g2.i JOIN o ON o.i = g2.i GROUP BY g2.j"
         lost = f"(SELECT COALESCE(SUM(v), 0.0) FROM r{k} WHERE i NOT IN (SELECT i FROM o))"
         source = f"(SELECT r0.i, COALESCE(s, 0.0) AS s FROM r0 LEFT JOIN ({moved}) USING (i))" if dense else f"({moved})"
-        out += f", r{k + 1} AS (SELECT m.i, m.s * 0.85 + 0.15 / n + 0.85 / n * {lost} AS v FROM {source} m, n)"
+        out += f", r{k + 1} AS MATERIALIZED (SELECT m.i, m.s * 0.85 + 0.15 / n + 0.85 / n * {lost} AS v FROM {source} m, n)"
     return out + f" SELECT i, ROUND(v, 9) AS v FROM r{rounds}"
 
 
 for _mode in ("dense", "stored"):
 
-    @register("pagerank" if _mode == "dense" else "pagerank_stored", _ranks(8, _mode == "dense"))
+    @register("pagerank" if _mode == "dense" else "pagerank_stored", _ranks(60, _mode == "dense"))
     def pagerank(spark, sf_dir, mode=_mode):
-        found = algorithms.pagerank(graphs.user_succession(spark, sf_dir, "int64"), max_iter=8, tol=0.0, teleport=mode)
+        """Until no rank moves by 10^-13."""
+        found = algorithms.pagerank(graphs.user_succession(spark, sf_dir, "int64"), tol=1e-13, teleport=mode)
         return found.df.select("i", F.round("v", 9).alias("v"))
 
 
-@register("fixed_point_info")
+@register("fixed_point_info", f"WITH RECURSIVE {G5}, {_LEVELS.format(s='CAST(7 AS BIGINT)', g='g5', n=60)}, least AS (SELECT i, MIN(v) AS v FROM lev GROUP BY i) SELECT CAST(MAX(v) + 1 AS INTEGER) AS iterations, TRUE AS converged FROM least")
 def fixed_point_info(spark, sf_dir):
     """Rounds until the reach of part 7 stays."""
     g = graphs.part_pointer(spark, sf_dir)
@@ -405,24 +416,25 @@ def fixed_point_info(spark, sf_dir):
 # --- relations ------------------------------------------------------------------
 _B = "nc AS (SELECT COUNT(*) AS c FROM customer), np AS (SELECT COUNT(*) AS p FROM part), ns AS (SELECT COUNT(*) AS s FROM supplier)"
 _BOUGHT = "bought AS (SELECT o_custkey AS i, l_partkey AS j, SUM(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
+_SHIPPED = "shipped AS (SELECT l_partkey AS i, l_suppkey AS j, SUM(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY ALL)"
 _SUPPLIED = "supplied AS (SELECT DISTINCT l_partkey AS i, l_suppkey AS j FROM lineitem)"
 _END = "CAST(s.s_nationkey + c + p + s AS BIGINT)"
 
 
 def _path_query(name: str, path: list[str], semiring: str, dtype_sql: str, expression: str, where: str = "") -> None:
     third = len(path) == 3
-    join = "FROM bought b JOIN supplied u ON b.j = u.i" + (" JOIN supplier s ON u.j = s.s_suppkey" if third else "")
+    join = f"FROM bought b JOIN {'shipped' if path[1] == 'shipped' else 'supplied'} u ON b.j = u.i" + (" JOIN supplier s ON u.j = s.s_suppkey" if third else "")
     end = "CAST(s.s_nationkey + nc.c + np.p + ns.s AS BIGINT)" if third else "CAST(u.j + nc.c + np.p AS BIGINT)"
 
-    @register(name, f"WITH {_B}, {_BOUGHT}, {_SUPPLIED} SELECT b.i, {end} AS j, CAST({expression} AS {dtype_sql}) AS v {join}, nc, np, ns GROUP BY ALL")
+    @register(name, f"WITH {_B}, {_BOUGHT}, {_SUPPLIED}, {_SHIPPED} SELECT b.i, {end} AS j, CAST({expression} AS {dtype_sql}) AS v {join}, nc, np, ns GROUP BY ALL")
     def query(spark, sf_dir):
         return graphs.trade_relation(spark, sf_dir).traverse(path, semiring).df
 
 
 _path_query("traverse_exists", ["bought", "supplied_by", "located_in"], "lor_land", "BOOLEAN", "TRUE")
 _path_query("traverse_count", ["bought", "supplied_by", "located_in"], "plus_times", "BIGINT", "COUNT(*)")
-_path_query("traverse_widest", ["quantity", "supplied_by"], "max_min", "BIGINT", "MAX(LEAST(b.q, 1))")
-_path_query("traverse_cheapest", ["quantity", "supplied_by"], "min_plus", "BIGINT", "MIN(b.q + 1)")
+_path_query("traverse_widest", ["quantity", "shipped"], "max_min", "BIGINT", "MAX(LEAST(b.q, u.q))")
+_path_query("traverse_cheapest", ["quantity", "shipped"], "min_plus", "BIGINT", "MIN(b.q + u.q)")
 
 
 @register("closure_lor_land", f"WITH RECURSIVE {G5}, c(i, j) AS (SELECT i, j FROM g5 UNION SELECT c.i, g5.j FROM c JOIN g5 ON c.j = g5.i) SELECT i, j, TRUE AS v FROM c")
@@ -465,3 +477,40 @@ def relation_add_weighted(spark, sf_dir):
     for _ in range(2):
         rel = rel.add_df("p", line, "l_partkey", "l_suppkey", "l_quantity", "int64")
     return rel.matrix("p").df
+
+
+@register("relation_predicates", "SELECT * FROM (VALUES ('bought'), ('located_in'), ('quantity'), ('shipped'), ('supplied_by')) t(predicate)")
+def relation_predicates(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in graphs.trade_relation(spark, sf_dir).predicates()], "predicate string")
+
+
+# --- the rest of vectors, an own monoid, generators ----------------------------------
+@register("vector_nvals", f"WITH {U3} SELECT COUNT(*) AS nvals, (SELECT COUNT(*) FROM supplier) AS size FROM u3")
+def vector_nvals(spark, sf_dir):
+    u = _vectors(spark, sf_dir)[0]
+    return spark.createDataFrame([(u.nvals(), u.size)], "nvals long, size long")
+
+
+@register("vector_to_entries", f"WITH {W3} SELECT i, v FROM w3 ORDER BY i")
+def vector_to_entries(spark, sf_dir):
+    return _vectors(spark, sf_dir)[1].to_entries()
+
+
+@register("vector_dup", f"WITH {U3} SELECT i, v FROM u3")
+def vector_dup(spark, sf_dir):
+    u = _vectors(spark, sf_dir)[0]
+    copy = u.dup()
+    u.set(1, -1)
+    return copy.df
+
+
+@register("reduce_rows_own_monoid", f"WITH {G3} SELECT i, BIT_OR(v) AS v FROM g3 GROUP BY i")
+def reduce_rows_own_monoid(spark, sf_dir):
+    return _dense_source(spark, sf_dir).reduce(Monoid("bits", lambda a, b: a.bitwiseOR(b), 0, "int64")).df
+
+
+for _name, _edges in (("chain", "SELECT k AS i, k + 1 AS j FROM range(999) t(k)"), ("cycle", "SELECT k AS i, (k + 1) % 1000 AS j FROM range(1000) t(k)"), ("star", "SELECT 0 AS i, k AS j FROM range(1, 1000) t(k)")):
+
+    @register(f"generate_{_name}", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, TRUE AS v FROM ({_edges})")
+    def generate(spark, sf_dir, name=_name):
+        return getattr(graphs, name)(spark, 1000).df

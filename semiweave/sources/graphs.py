@@ -21,12 +21,12 @@ def cycle(spark: SparkSession, n: int) -> Matrix:
 def star(spark: SparkSession, n: int) -> Matrix:
     """0 to each other vertex."""
     edges = spark.range(1, max(1, n)).select(F.lit(0).alias("i"), F.col("id").alias("j"), F.lit(True).alias("v"))
-    return Matrix.from_df(edges, n, n, dtype="bool", unique=True)
+    return Matrix.from_df(edges, n, n, dtype="bool", unique=True, check=False)
 
 
 def _arith(spark: SparkSession, n: int, m: int, to) -> Matrix:
     edges = spark.range(max(0, m)).select(F.col("id").alias("i"), to.alias("j"), F.lit(True).alias("v"))
-    return Matrix.from_df(edges, n, n, dtype="bool", unique=True)
+    return Matrix.from_df(edges, n, n, dtype="bool", unique=True, check=False)
 
 
 def random_graph(spark: SparkSession, n: int, density: float, *, seed: int = 1, dtype: str = "bool", low: float = 1, high: float = 10, undirected: bool = False) -> Matrix:
@@ -40,7 +40,7 @@ def random_graph(spark: SparkSession, n: int, density: float, *, seed: int = 1,
     if undirected:
         draws = draws.union(draws.select("j", "i", "v"))
     value = F.lit(True) if dtype == "bool" else F.col("v")
-    return Matrix.from_df(draws, n, n, val=value, dtype=dtype, combine="lor" if dtype == "bool" else "max")
+    return Matrix.from_df(draws, n, n, val=value, dtype=dtype, combine="lor" if dtype == "bool" else "max", check=False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,23 +52,32 @@ def nation_trade(spark: SparkSession, sf_dir: str, dtype: str = "int64") -> Matr
     line, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer, supplier = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     sold = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return Matrix.from_df(sold, 25, 25, "c_nationkey", "s_nationkey", F.lit(1), dtype)
+    return Matrix.from_df(sold, 25, 25, "c_nationkey", "s_nationkey", F.lit(1), dtype, check=False)
+
+
+#: Events of a stretch of time, which one task sorts.
+STRETCH = 100_000
 
 
 def user_succession(spark: SparkSession, sf_dir: str, dtype: str = "bool") -> Matrix:
     """user -> user of the next event in time; fp64 values count how often, plus 1.
 
-    Time is cut at hours: within one, a window over its rows; the last event
-    of an hour is followed by the first of the next hour that has any, from a
-    table of one row an hour. So no task sorts all events.
+    Time is cut into equal stretches of about STRETCH events: within one, a
+    window over its rows; the last event of a stretch is followed by the first
+    of the next that has any, from a table of one row for each. So no task
+    sorts all events.
     """
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts").withColumn("hour", F.date_trunc("hour", "ts"))
-    within = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id")))
-    firsts = events.groupBy("hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
-    bounds = firsts.select("hour", F.lead("first").over(Window.orderBy("hour")).alias("after"))
-    pairs = within.join(bounds, "hour").select("user_id", F.coalesce("next", "after").alias("next")).where("next is not null")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    count, low, high = events.agg(F.count("*"), F.min(at), F.max(at)).first()
+    width = max(1, ((high or 0) - (low or 0)) * STRETCH // max(1, count))
+    events = events.withColumn("part", F.floor((at - (low or 0)) / width).cast("long"))
+    within = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("part").orderBy("ts", "event_id")))
+    firsts = events.groupBy("part").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    bounds = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("after"))
+    pairs = within.join(bounds, "part").select("user_id", F.coalesce("next", "after").alias("next")).where("next is not null")
     n = (events.agg(F.max("user_id")).first()[0] or -1) + 1
-    return Matrix.from_df(pairs, n, n, "user_id", "next", F.lit(True) if dtype == "bool" else F.lit(1), dtype)
+    return Matrix.from_df(pairs, n, n, "user_id", "next", F.lit(True) if dtype == "bool" else F.lit(1), dtype, check=False)
 
 
 def supplier_part(spark: SparkSession, sf_dir: str, where: str | None = None, dtype: str = "int64", combine: str | None = None) -> Matrix:
@@ -76,7 +85,7 @@ def supplier_part(spark: SparkSession, sf_dir: str, where: str | None = None, dt
     line = table(spark, sf_dir, "lineitem")
     line = line.where(where) if where else line
     nrows, ncols = table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count()
-    return Matrix.from_df(line, nrows, ncols, "l_suppkey", "l_partkey", "l_quantity", dtype, combine=combine)
+    return Matrix.from_df(line, nrows, ncols, "l_suppkey", "l_partkey", "l_quantity", dtype, combine=combine, check=False)
 
 
 def undirected(matrix: Matrix) -> Matrix:
@@ -90,24 +99,26 @@ def part_pointer(spark: SparkSession, sf_dir: str) -> Matrix:
     """part -> the part whose key is its size."""
     part = table(spark, sf_dir, "part")
     n = part.count()
-    return Matrix.from_df(part, n, n, "p_partkey", "p_size", F.lit(True), "bool", unique=True)
+    return Matrix.from_df(part, n, n, "p_partkey", "p_size", F.lit(True), "bool", unique=True, check=False)
 
 
 def trade_relation(spark: SparkSession, sf_dir: str) -> Relation:
     """bought: customer -> part, supplied_by: part -> supplier, located_in: supplier -> nation.
 
+    quantity is bought, and shipped is supplied_by, weighted with quantities.
+
     Entities are numbered in one range: customers, then parts, suppliers, nations.
     """
     sizes = [table(spark, sf_dir, t).count() for t in ("customer", "part", "supplier", "nation")]
     at_part, at_supplier, at_nation = sizes[0], sum(sizes[:2]), sum(sizes[:3])
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("s"), (F.col("l_partkey") + at_part).alias("o"), F.col("l_quantity").cast("long").alias("q"))
-    supplied = line.select((F.col("l_partkey") + at_part).alias("s"), (F.col("l_suppkey") + at_supplier).alias("o"))
+    supplied = line.select((F.col("l_partkey") + at_part).alias("s"), (F.col("l_suppkey") + at_supplier).alias("o"), F.col("l_quantity").cast("long").alias("q"))
     located = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + at_supplier).alias("s"), (F.col("s_nationkey") + at_nation).alias("o"))
     rel = Relation.new(sum(sizes)).add_df("bought", bought, "s", "o").add_df("supplied_by", supplied, "s", "o").add_df("located_in", located, "s", "o")
-    return rel.add_df("quantity", bought, "s", "o", "q", "int64")
+    return rel.add_df("quantity", bought, "s", "o", "q", "int64").add_df("shipped", supplied, "s", "o", "q", "int64")
 
 
 def account_balances(spark: SparkSession, sf_dir: str) -> Vector:
     customer = table(spark, sf_dir, "customer")
-    return Vector.from_df(customer, customer.count(), "c_custkey", "c_acctbal", "fp64", unique=True)
+    return Vector.from_df(customer, customer.count(), "c_custkey", "c_acctbal", "fp64", unique=True, check=False)

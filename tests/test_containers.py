@@ -6,6 +6,7 @@ import random
 import pytest
 
 import semiweave as sw
+from semiweave.functions import algebra
 from semiweave import Descriptor, GraphError, Mask, Matrix, Monoid, Scalar, Semiring, Vector
 
 PAIR = {"plus": operator.add, "times": operator.mul, "min": min, "max": max, "land": lambda a, b: a and b, "lor": lambda a, b: a or b, "lxor": operator.ne}
@@ -141,10 +142,41 @@ def test_point_access_and_export(spark):
 
 def test_from_df(spark):
     df = spark.createDataFrame([(0, 1, 2.0), (0, 1, 3.0), (1, None, 1.0), (5, 0, 1.0)], "a long, b long, c double")
-    assert Matrix.from_df(df.where("a < 5"), 2, 2, "a", "b", "c").entries() == [(0, 1, 5)]
+    assert Matrix.from_df(df.where("a < 1"), 2, 2, "a", "b", "c").entries() == [(0, 1, 5)]
     with pytest.raises(GraphError) as e:
-        Matrix.from_df(df, 2, 2, "a", "b", "c", check=True)
+        Matrix.from_df(df.where("b is not null"), 2, 2, "a", "b", "c", check=True)
     assert e.value.reason == ("index_out_of_bounds", 5, "row", 2)
+    with pytest.raises(GraphError, match="nulls"):
+        Matrix.from_df(df, 2, 2, "a", "b", "c", check=True)
+    # without a job of its own, where rows are read
+    for wrong in ("b is null", "a = 5"):
+        with pytest.raises(Exception, match="index_out_of_bounds"):
+            Matrix.from_df(df.where(wrong), 2, 2, "a", "b", "c").nvals()
+    with pytest.raises(Exception, match="index_out_of_bounds"):
+        Vector.from_df(df, 5, "a", "c", "fp64", unique=True).nvals()
+
+
+def test_products_are_exact(spark):
+    big = [3**20, -(2**31), 1, -1, 1]
+    rows = [(0, k, v) for k, v in enumerate(big)] + [(1, k, 2) for k in range(62)] + [(2, 0, 0)] + [(2, k + 1, 10**9 + k) for k in range(300)] + [(3, k, -1) for k in range(301)]
+    found = dict(Matrix.from_coo(spark, 5, 400, rows).reduce("times").entries())
+    assert found == {0: 3**20 * 2**31, 1: 2**62, 2: 0, 3: -1}
+    with pytest.raises(Exception, match="overflow"):
+        Matrix.from_coo(spark, 1, 70, [(0, k, 2) for k in range(63)]).reduce("times").entries()
+    assert Vector.new(spark, 3).reduce("times").value == 1
+    assert Vector.from_entries(spark, 3, [(0, 2.0), (1, 4.0)], "fp64").reduce("times_fp32").value == 8.0
+    assert Vector.from_entries(spark, 3, [(0, 2.0), (1, 4.0)], "fp64").reduce("plus_fp32").value == 6.0
+
+
+def test_own_monoids_fold_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(algebra, "FOLD", 8)
+    bits = Monoid("bits", lambda a, b: a.bitwiseXOR(b), 0, "int64")
+    rows = [(k % 3, k, k * 7919) for k in range(700)]
+    expected = {}
+    for i, _, v in rows:
+        expected[i] = expected.get(i, 0) ^ v
+    assert dict(Matrix.from_coo(spark, 3, 700, rows).reduce(bits).entries()) == expected
+    assert Vector.from_entries(spark, 700, [(k, v) for _, k, v in rows]).reduce(bits).value == expected[0] ^ expected[1] ^ expected[2]
 
 
 def test_empty_extents(spark):

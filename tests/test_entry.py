@@ -17,10 +17,17 @@ def test_queries_and_sql():
 
 
 def test_without_corpus_operators(tmp_path):
-    code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name.startswith(('semiweave.llm', 'corpus_pipeline')): raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 100 and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']"
+    code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name.startswith(('semiweave.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nassert len(e.queries()) > 100 and not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_a_missing_module_inside_them_is_an_error():
+    if not (ROOT / "semiweave" / "llm").exists():
+        return
+    code = "import sys\nclass No:\n    def find_spec(self, name, *a):\n        if name == 'xxhash': raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode != 0
+
+
 def test_nothing_else_imports_them():
     for path in ROOT.glob("semiweave/**/*.py"):
         if "llm" not in path.parts:

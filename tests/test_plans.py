@@ -159,3 +159,36 @@ def test_long_paths_in_any_order(spark, semiring):
     a, b, c = (rel.matrix(x) for x in "abc")
     assert rel.traverse(["a", "b", "c"], semiring).entries() == a.mxm(b, semiring).mxm(c, semiring).entries()
     assert rel.traverse(["c", "b", "a"], semiring).entries() == c.mxm(b, semiring).mxm(a, semiring).entries()
+
+
+def test_a_vertex_of_many_edges_is_dealt_to_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "HEAVY", 5)
+    rng = random.Random(8)
+    edges = {(0, k) for k in range(1, 40)} | {(rng.randrange(40), rng.randrange(40)) for _ in range(90)}
+    a = bools(spark, 40, edges)
+    levels = dict(sw.bfs_levels(a, 0).entries())
+    assert levels == {0: 0} | {k: 1 for k in range(1, 40)}
+    weights = Matrix.from_coo(spark, 40, 40, [(i, j, 1.0 + (i * j) % 7) for i, j in edges], "fp64")
+    best = {0: 0.0}
+    for _ in range(40):
+        for i, j in edges:
+            if i in best:
+                best[j] = min(best.get(j, 1e9), best[i] + 1.0 + (i * j) % 7)
+    assert dict(sw.sssp(weights, 0).entries()) == best
+
+
+def test_least_vertex_that_reaches(spark):
+    rng = random.Random(3)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(35)}
+    reach = {v: {v} for v in range(30)}
+    for _ in range(30):
+        for i, j in edges:
+            reach[j] |= reach[i]
+    assert dict(sw.connected_components(bools(spark, 30, edges), undirected=False).entries()) == {v: min(x) for v, x in reach.items()}
+
+
+def test_cycles_of_negative_weight_are_an_error(spark):
+    a = Matrix.from_coo(spark, 3, 3, [(0, 1, 1.0), (1, 2, -3.0), (2, 1, 1.0)], "fp64")
+    with pytest.raises(GraphError, match="negative"):
+        sw.sssp(a, 0)
+    assert dict(sw.sssp(a, 0, max_iter=2).entries()) == {0: 0.0, 1: 1.0, 2: -2.0}
