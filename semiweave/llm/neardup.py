@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, sorted_groups, written
+from .common import bounded_batches, connected_components, sorted_groups, written
 
 #: Length of a neighbour list, and members of a group that is compared at once.
 NEIGHBOURS = 8
@@ -119,10 +119,16 @@ def _entries(lists: DataFrame) -> DataFrame:
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """(v, kind, nn, worst): the NEIGHBOURS best of each kind; worst is -2 while a list is not full."""
-    nn = F.slice(F.sort_array(F.collect_set(F.struct("sim", "u")), asc=False), 1, NEIGHBOURS)
+    """(v, kind, nn, worst): the NEIGHBOURS best of each kind; worst is -2 while a list is not full.
+
+    A vertex that is a neighbour of many has candidates without bound, so the
+    best are picked by a ranking, whose first step keeps NEIGHBOURS of each
+    partition, before any are put in a list.
+    """
+    once = found.where(F.col("kind") != LINK).groupBy("v", "kind", "u").agg(F.max("sim").alias("sim"))
+    best = once.withColumn("r", F.row_number().over(Window.partitionBy("v", "kind").orderBy(F.desc("sim"), F.desc("u")))).where(F.col("r") <= NEIGHBOURS)
     worst = F.when(F.size("nn") == NEIGHBOURS, F.element_at("nn", -1).getField("sim")).otherwise(-2.0)
-    lists = found.where(F.col("kind") != LINK).groupBy("v", "kind").agg(nn.alias("nn")).select("v", "kind", "nn", worst.alias("worst"))
+    lists = best.groupBy("v", "kind").agg(F.sort_array(F.collect_list(F.struct("sim", "u")), asc=False).alias("nn")).select("v", "kind", "nn", worst.alias("worst"))
     return written(lists, "near-lists")
 
 
@@ -264,6 +270,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
     vec_id never names a component that has another; other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     good = rows.where(_usable())
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
