@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, sorted_groups, written
+from .common import bounded_batches, connected_components, written
 
 #: Length of a neighbour list, and members of a group that is compared at once.
 NEIGHBOURS = 8
@@ -26,6 +27,8 @@ FOUND = "v long, u long, sim double"
 #: kind: a neighbour, a neighbour outside v's component, a link between components
 NEAR, FAR, LINK = 0, 1, 2
 JOINED = FOUND + ", kind int"
+#: Rows of results that are sent together.
+SENT = 50_000
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +36,50 @@ def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, np.sqrt((x * x).sum(axis=1))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Cut a stream of Arrow batches that is sorted by keys into groups: their columns and vectors, a row each.
+
+    Vectors are views of Arrow's own memory, as the groups are too many and
+    too small for a frame each.
+    """
+
+    def whole(parts: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        if len(parts) == 1:
+            return parts[0]
+        return {c: np.concatenate([p[0][c] for p in parts]) for c in parts[0][0]}, np.concatenate([p[1] for p in parts])
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "vec"}
+        vectors = batch.column("vec")
+        flat, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+        change = np.zeros(batch.num_rows, dtype=bool)
+        change[0] = True
+        for k in keys:
+            change[1:] |= columns[k][1:] != columns[k][:-1]
+        starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(columns[k][a] for k in keys)
+            if held and key != last:
+                yield whole(held)
+                held = []
+            held.append(({c: x[a:b] for c, x in columns.items()}, flat[offsets[a] : offsets[b]].reshape(b - a, -1)))
+            last = key
+    if held:
+        yield whole(held)
+
+
+def _sent(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
 def cosines(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
     return (x @ y.T) / (nx[:, None] * ny[None, :])
 
@@ -64,34 +111,38 @@ def _local_join(threshold: float):
     components is returned.
     """
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for group in sorted_groups(batches, ["g", "part"]):
-            group = group.drop_duplicates("v")
-            if len(group) < 2:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows, names = [], 0, ["v", "u", "sim", "kind"]
+        for group, x in _groups(batches, ["g", "part"]):
+            v, once = np.unique(group["v"], return_index=True)
+            if len(v) < 2:
                 continue
-            x, n = _matrix(group["vec"])
+            x = x[once]
+            n = _norms(x)
             sims = cosines(x, n, x, n)
             np.fill_diagonal(sims, -2.0)
-            v, c, k = group["v"].to_numpy(), group["c"].to_numpy(), min(NEIGHBOURS, len(group) - 1)
+            c, k = group["c"][once], min(NEIGHBOURS, len(v) - 1)
             own = c[:, None] == c[None, :]
             for kind, name in ((NEAR, "worst"), (FAR, "worst_far")):
-                worst = group[name].to_numpy()
+                worst = group[name][once]
                 if (worst >= 2.0).all():
                     continue
                 s = sims if kind == NEAR else np.where(own, -2.0, sims)
-                rows = np.repeat(np.arange(len(group)), k)
-                cols = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
-                better = s[rows, cols] > worst[rows]
-                out.append(pd.DataFrame({"v": v[rows[better]], "u": v[cols[better]], "sim": s[rows[better], cols[better]], "kind": kind}))
+                at = np.repeat(np.arange(len(v)), k)
+                to = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
+                better = s[at, to] > worst[at]
+                at, to = at[better], to[better]
+                out.append((v[at], v[to], s[at, to], np.full(len(at), kind, dtype=np.int32)))
+                rows += len(at)
             a, b = _forest(sims >= threshold, own)
             if a:
-                out.append(pd.DataFrame({"v": v[a], "u": v[b], "sim": sims[a, b], "kind": LINK}))
-            if len(out) >= 200:
-                yield pd.concat(out, ignore_index=True)
-                out = []
-        if out:
-            yield pd.concat(out, ignore_index=True)
+                out.append((v[a], v[b], sims[a, b], np.full(len(a), LINK, dtype=np.int32)))
+                rows += len(a)
+            if rows >= SENT:
+                yield _sent(out, names)
+                out, rows = [], 0
+        if rows:
+            yield _sent(out, names)
 
     return compare
 
@@ -111,7 +162,7 @@ def _joined(members: DataFrame, lists: DataFrame | None, at: DataFrame, threshol
         far = F.when(F.col("searched") & (F.col("worst") >= threshold), F.coalesce("worst_far", F.lit(-2.0))).otherwise(2.0)
         at = at.join(worst, "v", "left").withColumns({"worst": F.coalesce("worst", F.lit(-2.0)), "worst_far": far})
     rows = cut.join(at.select("v", "vec", "c", "worst", "worst_far"), "v").repartition("g", "part").sortWithinPartitions("g", "part")
-    return written(rows.mapInPandas(_local_join(threshold), JOINED), "near-found")
+    return written(rows.mapInArrow(_local_join(threshold), JOINED), "near-found")
 
 
 def _entries(lists: DataFrame) -> DataFrame:
@@ -207,17 +258,21 @@ def _placed(nodes: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _counted(threshold: float):
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in sorted_groups(batches, ["c", "i", "j"]):
-            i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-            x, n = _matrix(group["vec"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows, names = [], 0, ["v", "links"]
+        for group, x in _groups(batches, ["c", "i", "j"]):
+            n = _norms(x)
             alike = cosines(x, n, x, n) >= threshold
             np.fill_diagonal(alike, False)
-            if i != j:
-                block = group["block"].to_numpy()
-                alike &= block[:, None] != block[None, :]
-            links = alike @ group["copies"].to_numpy()
-            yield pd.DataFrame({"v": group["v"].to_numpy(), "links": links.astype(np.int64)})
+            if group["i"][0] != group["j"][0]:
+                alike &= group["block"][:, None] != group["block"][None, :]
+            out.append((group["v"], (alike @ group["copies"]).astype(np.int64)))
+            rows += len(x)
+            if rows >= SENT:
+                yield _sent(out, names)
+                out, rows = [], 0
+        if rows:
+            yield _sent(out, names)
 
     return compare
 
@@ -233,7 +288,7 @@ def _component_links(nodes: DataFrame, components: DataFrame, threshold: float)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(F.col("component").alias("c"), F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", F.col("id").alias("v"))
     rows = rows.join(nodes.select("v", "vec", "copies"), "v").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
-    return rows.mapInPandas(_counted(threshold), "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
+    return rows.mapInArrow(_counted(threshold), "v long, links long").groupBy("v").agg(F.sum("links").alias("links"))
 
 
 def _usable() -> Column:

@@ -80,3 +80,18 @@ def test_lost_pairs_fail_the_audit(spark, monkeypatch):
     monkeypatch.setattr(neardup, "_seeds", lambda nodes, seed: seeds(nodes.where("label = 1"), seed))
     with pytest.raises(RuntimeError):
         near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), max_rounds=1)
+
+
+def test_groups_over_several_batches():
+    import pyarrow as pa
+
+    from semiweave.llm.neardup import _groups
+
+    def batch(keys, vectors):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(vectors, type=pa.list_(pa.float64()))], names=["g", "vec"])
+
+    # groups end with a batch, go on over three of them, and have vectors of their own length
+    batches = [batch([1, 1, 2], [[1.0], [2.0], [3.0, 4.0]]), batch([], []), batch([2], [[5.0, 6.0]]), batch([9, 2, 3, 9], [[0.0], [7.0, 8.0], [9.0], [0.0]]).slice(1, 2)]
+    found = [(group["g"].tolist(), x.tolist()) for group, x in _groups(iter(batches), ["g"])]
+    assert found == [([1, 1], [[1.0], [2.0]]), ([2, 2, 2], [[3.0, 4.0], [5.0, 6.0], [7.0, 8.0]]), ([3], [[9.0]])]
+    assert list(_groups(iter([]), ["g"])) == []
