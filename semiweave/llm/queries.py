@@ -14,6 +14,7 @@ from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .sharding import assign_shards
+from .spelling import count_words, group_spellings, word_runs
 from .tokens import count_tokens, load_vocabulary
 from .warc import archive_round_trip
 
@@ -65,8 +66,23 @@ def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = word_runs(table(spark, sf_dir, "documents"))
+    # misspellings: one code point is gone from some runs
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("word")))
+    at = (h % F.length("word")).cast("int")
+    cut = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, F.length("word")))
+    return group_spellings(count_words(runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("word")).alias("word"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_archive, op2_nn_descent, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_warc_archive, op2_nn_descent, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination,
+            op11_spelling_variants,
+        )
+    }
 
 
 OP8_SQL = """
@@ -222,5 +238,50 @@ FROM held JOIN n USING (license_id, variant) WHERE c / n >= 0.8 - 1e-12
 )
 
 
+# The polynomial and the mask of CRC-32. crc has the table of the 256 bytes.
+CRC = """
+bits(k, i, c) AS (
+  SELECT k, 0, k FROM range(256) t(k)
+  UNION ALL
+  SELECT k, i + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM bits WHERE i < 8
+), crc AS (
+  SELECT list(c ORDER BY k) AS t FROM bits WHERE i = 8
+)"""
+
+
+def _crc32(blob: str) -> str:
+    """SQL of the CRC-32 of a blob, where crc is in FROM."""
+    each = f"list_transform(range(1, octet_length({blob}) + 1), lambda i: CAST(concat('0x', substr(hex({blob}), 2 * i - 1, 2)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {each}), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC}, runs AS (
+  SELECT doc_id, translate(UNNEST(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), blobs AS (
+  SELECT w, encode(concat(COALESCE(CAST(doc_id AS VARCHAR), ''), ':', w)) AS b FROM runs
+), hashed AS (
+  SELECT w, {_crc32("b")} AS h FROM blobs, crc
+), cut AS (
+  SELECT CASE WHEN h % 31 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, COUNT(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING COUNT(*) >= 2
+), gaps AS MATERIALIZED (
+  SELECT word, n, i, concat(word[1:i - 1], word[i + 1:]) AS g FROM (SELECT word, n, UNNEST(range(1, length(word) + 1)) AS i FROM words) UNION ALL SELECT word, n, 0, word FROM words
+), near AS MATERIALIZED (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b USING (g) WHERE a.word <> b.word AND (a.i = b.i OR a.i = 0 OR b.i = 0)
+), best AS (
+  SELECT word, COUNT(*) AS n_near, arg_max(other, (other_n, -rank)) AS other, MAX(other_n) AS other_n FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY encode(other)) AS rank FROM near) GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT word, n, COALESCE(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+), chain(word, root, k) AS (
+  SELECT word, word, 0 FROM forms UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op11_spelling_variants": OP11_SQL, "op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
