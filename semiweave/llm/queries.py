@@ -13,6 +13,7 @@ from .licenses import SHINGLE, TEMPLATES, scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .runs import find_runs
 from .sharding import assign_shards
 from .spelling import count_words, group_spellings, word_runs
 from .tokens import count_tokens, load_vocabulary
@@ -75,12 +76,27 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(count_words(runs.select(F.when(h % 31 == 0, cut).otherwise(F.col("word")).alias("word"))))
 
 
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # some documents repeat a stretch of their words from one of them to the end
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")
+    docs = docs.withColumn("g", F.floor(h / 10)).withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])), ' ')")).otherwise(F.col("text")).alias("text"))
+    found = find_runs(docs)
+    best = F.expr("aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_warc_archive, op2_nn_descent, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination,
-            op11_spelling_variants,
+            op11_spelling_variants, op12_word_runs,
         )
     }
 
@@ -283,5 +299,35 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
 """
 
 
+OP12_SQL = f"""
+WITH RECURSIVE {CRC}, docs AS (
+  SELECT doc_id, list_filter(string_split_regex(COALESCE(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w, encode(CAST(doc_id AS VARCHAR)) AS b FROM documents
+), hashed AS (
+  SELECT doc_id, w, len(w) AS n, {_crc32("b")} AS h FROM docs, crc
+), marked AS (
+  SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS parts FROM hashed
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END + 1] AS w FROM (SELECT *, UNNEST(range(n)) AS i FROM marked)
+), equal AS (
+  SELECT doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y USING (doc_id, w) WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, MIN(i) AS start, COUNT(*) + q AS length FROM (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal) GROUP BY doc_id, q, island
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, MIN(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), gone AS (
+  SELECT DISTINCT doc_id, UNNEST(range(start + period, start + length)) AS i FROM runs
+), short AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), best AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs
+), listed AS (
+  SELECT doc_id, COUNT(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id
+)
+SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(COALESCE(listed.t, '')) AS runs_sha256, sha256(COALESCE(short.t, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN short USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_spelling_variants": OP11_SQL, "op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op12_word_runs": OP12_SQL, "op11_spelling_variants": OP11_SQL, "op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
