@@ -13,6 +13,7 @@ from .licenses import SHINGLE, TEMPLATES, scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .ngrams import score_texts
 from .runs import find_runs
 from .sharding import assign_shards
 from .spelling import count_words, group_spellings, word_runs
@@ -91,12 +92,19 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+    found = score_texts(table(spark, sf_dir, "documents"), learn)
+    # sums of logarithms, whose last digits hang on their order
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_warc_archive, op2_nn_descent, op3_line_dedup, op4_crf_langid, op5_ngram_jaccard, op6_token_counts, op7_license_scan, op8_poisson_mix, op9_extendible_sharding, op10_bm25_decontamination,
-            op11_spelling_variants, op12_word_runs,
+            op11_spelling_variants, op12_word_runs, op13_backoff_scores,
         )
     }
 
@@ -329,5 +337,36 @@ FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN short USING (doc_id) LE
 """
 
 
+OP13_SQL = f"""
+WITH RECURSIVE {CRC}, docs AS (
+  SELECT doc_id, encode(CAST(doc_id AS VARCHAR)) AS b,
+         list_append(list_filter(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> ''), ' end') AS w
+  FROM documents
+), split AS (
+  SELECT doc_id, w, {_crc32("b")} % 7 = 2 AS held_out FROM docs, crc
+), tokens AS MATERIALIZED (
+  SELECT doc_id, held_out, UNNEST(w) AS w, UNNEST(list_prepend(' start', w[:-2])) AS h FROM split
+), counts AS (
+  SELECT w, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY w
+), whole AS (
+  SELECT CAST(SUM(c) AS BIGINT) AS n, COUNT(*) AS v FROM counts
+), heads AS (
+  SELECT h, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY h
+), pairs AS (
+  SELECT h, w, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w HAVING COUNT(*) >= 2
+), contexts AS (
+  SELECT h, heads.c, 1 - (SUM(pairs.c) - 0.75::DOUBLE * COUNT(*)) / heads.c AS free FROM pairs JOIN heads USING (h) GROUP BY h, heads.c
+), single AS (
+  SELECT doc_id, held_out, h, w, COALESCE(counts.c, 0) AS c, n, v, (greatest(COALESCE(counts.c, 0) - 0.75::DOUBLE, 0) + 0.75::DOUBLE * v / (v + 1)) / n AS p FROM tokens CROSS JOIN whole LEFT JOIN counts USING (w)
+), scored AS (
+  SELECT doc_id, held_out, s.c, n, v, CASE WHEN x.h IS NULL THEN p ELSE COALESCE((pairs.c - 0.75::DOUBLE) / x.c, 0) + free * p END AS p
+  FROM single s LEFT JOIN contexts x USING (h) LEFT JOIN pairs USING (h, w)
+)
+SELECT doc_id, held_out, COUNT(*) AS n_tokens, COUNT(*) FILTER (c > 0) AS n_known, MIN(n) AS train_tokens,
+       ROUND(fsum(log10((c + 1) / (n + v + 1))), 6) AS base_score, ROUND(fsum(log10(p)), 6) AS score
+FROM scored GROUP BY doc_id, held_out
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_word_runs": OP12_SQL, "op11_spelling_variants": OP11_SQL, "op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
+    return {"op13_backoff_scores": OP13_SQL, "op12_word_runs": OP12_SQL, "op11_spelling_variants": OP11_SQL, "op2_nn_descent": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_license_scan": OP7_SQL, "op3_line_dedup": OP3_SQL, "op1_warc_archive": OP1_SQL, "op8_poisson_mix": OP8_SQL, "op9_extendible_sharding": OP9_SQL}
