@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
@@ -18,10 +19,11 @@ BLOCK_BYTES = 24 << 20
 #: The numbers of the token that ends a text, and of the place before its first.
 END, START = 0, 1
 NAMES = (b"\x00end", b"\x00start")
-#: Parts that the n-grams after one context are dealt to.
-PARTS = 16
+#: Blocks whose n-grams a task adds up at once, where there are many.
+SHARE = 16
 
-COUNTS = "block int, size byte, ctx long, key long, n int"
+COUNTS = "bucket int, block int, keys array<long>, n array<int>"
+TOTALS = "block int, bucket int, n array<long>"
 SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -76,88 +78,90 @@ class _Block:
             self.at.append(places)
 
 
-def _counts(order: int):
+def _dealt(block: _Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(by, keys, starts): the block's n-grams of all sizes by bucket, then key, and where each bucket starts."""
+    keys = np.concatenate(block.keys)
+    bucket = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((keys, bucket))
+    return by, keys[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _counts(order: int, buckets: int):
     def counted(docs: pa.Table) -> pa.Table:
-        """One row for each n-gram of a block: its count in the rows to learn from, 0 where only others have it."""
-        block, rows = _Block(docs.column("text").to_pylist(), order), []
+        """A row for each bucket: the keys of the block's n-grams and their counts in the rows to learn from."""
+        block = _Block(docs.column("text").to_pylist(), order)
         learn = np.repeat(np.array(docs.column("learn").to_pylist(), bool), block.lengths)
-        for size, (at, keys) in enumerate(zip(block.at, block.keys), 1):
-            here = at >= 0
-            n = np.bincount(at[here & learn], minlength=len(keys))
-            seen = np.bincount(at[here], minlength=len(keys)) > 0
-            ctx = keys if size == 1 else block.keys[size - 2][block.heads[size - 1]]
-            by = np.lexsort((keys, ctx)) if size == 1 else np.arange(len(keys))
-            by = by[seen[by]]
-            rows.append((np.full(len(by), size, np.int8), ctx[by], keys[by], n[by].astype(np.int32)))
-        columns = [np.concatenate(c) for c in zip(*rows)]
-        number = np.full(len(columns[0]), docs.column("block")[0].as_py(), np.int32)
-        return pa.table([number, *columns], names=["block", "size", "ctx", "key", "n"])
+        n = np.concatenate([np.bincount(at[(at >= 0) & learn], minlength=len(keys)) for at, keys in zip(block.at, block.keys)])
+        by, keys, starts = _dealt(block, buckets)
+        number, some = docs.column("block")[0].as_py(), np.flatnonzero(np.diff(starts))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(starts[some], len(by)), pa.int32()), pa.array(x, kind))
+        return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), number), pa.int32()), lists(keys, pa.int64()), lists(n[by], pa.int32())], names=["bucket", "block", "keys", "n"])
 
     return counted
 
 
-class BackoffAutomaton:
-    """States are contexts, the n-grams of less than order tokens that kept n-grams begin with; state 0 has none.
+def _totals(rows: pa.Table) -> pa.Table:
+    """For each row of a bucket the counts of its keys in all of them, in the row's order."""
+    rows = rows.combine_chunks()
+    keys, n = (rows.column(c).combine_chunks() for c in ("keys", "n"))
+    sizes = keys.value_lengths()
+    _, where = np.unique(keys.flatten().to_numpy(), return_inverse=True)
+    total = np.bincount(where, n.flatten().to_numpy()).astype(np.int64)[where] if len(where) else np.zeros(0, np.int64)
+    ends = np.append(0, np.cumsum(sizes.to_numpy()))
+    return pa.table([rows.column("block"), rows.column("bucket"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total, pa.int64()))], names=["block", "bucket", "n"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): the tokens of each batch of texts."""
+    for batch in batches:
+        block = _Block(batch.column(0).to_pylist(), 1)
+        n = np.bincount(block.tokens, minlength=len(block.keys[0]))
+        n[START] = 0
+        yield pa.RecordBatch.from_arrays([pa.array(block.keys[0], pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
-    An arc leads from a state by a token to the longest state that ends the two
-    together, with the token's probability. Where a state has no arc for a
-    token, its failure arc takes away what the state leaves to shorter contexts,
-    and leads to that of its own last tokens; state 0 has an arc for all tokens.
+
+class BackoffAutomaton:
+    """States are contexts, the learned n-grams of less than order tokens; state 0 has none.
+
+    An arc leads from a state by a token that followed it in learning to the
+    longest state that ends the two together, with the token's probability.
+    Where a state has no arc for a token, its failure arc takes the weight that
+    the state leaves to shorter contexts and leads to that of its own last
+    tokens; state 0 has an arc for all tokens. counts are those of each size's
+    n-grams in learning, total and kinds the tokens and distinct ones.
     """
 
-    def __init__(self, block: _Block, model: dict[str, np.ndarray], order: int, discount: float, total: int, kinds: int):
+    def __init__(self, block: _Block, counts: list[np.ndarray], prior: float, discount: float, total: int, kinds: int):
+        order = len(counts)
         self.arcs: dict[int, int] = {}
-        self.fail, self.leave = [0], [0.0]
-        self.weight, self.to = [], []
-        numbers, probabilities, found = [], [], []
-        ends = np.zeros(0, np.int64)
-        for size in range(1, order + 1):
-            mine = model["size"] == size
-            keys, n, kept, followers = (model[c][mine] for c in ("key", "n", "kept", "followers"))
-            by = np.argsort(keys)
-            keys, n, kept, followers = keys[by], n[by], kept[by], followers[by]
-            at = np.minimum(np.searchsorted(keys, block.keys[size - 1]), max(0, len(keys) - 1))
-            has = keys[at] == block.keys[size - 1] if len(keys) else np.zeros(len(block.keys[size - 1]), bool)
-            found.append([np.where(has, x[at] if len(keys) else 0, 0) for x in (n, kept, followers)])
-        self.counts = found[0][0].copy()
+        self.fail, self.leave, self.weight, self.to = [0], [0.0], [], []
+        self.counts = counts[0].copy()
         self.counts[START] = 0
-        for size in range(1, order + 1):
-            n, kept, followers = found[size - 1]
-            if size == 1:
-                p = (np.maximum(self.counts - discount, 0) + discount * kinds / (kinds + 1)) / total if total else np.ones(len(n))
-                rows = np.arange(len(n))
-            else:
-                rows = np.flatnonzero(n > 0)
-                heads = block.heads[size - 1][rows]
-                p = np.zeros(len(n))
-                p[rows] = (n[rows] - discount) / found[size - 2][0][heads] + self._left(found[size - 2], discount)[heads] * probabilities[-1][block.tails[size - 1][rows]]
-            states = np.zeros(len(n), np.int64)
+        p = (np.maximum(self.counts - discount, 0) + discount * kinds / (kinds + 1)) / total if total else np.ones(len(self.counts))
+        states = ends = np.zeros(0, np.int64)
+        for size, n in enumerate(counts, 1):
+            seen = np.flatnonzero(n > 0)
+            tails, heads = block.tails[size - 1], block.heads[size - 1]
+            own = np.zeros(len(n), np.int64)
             if size < order:
-                own = np.flatnonzero(followers > 0)
-                states[own] = np.arange(len(own)) + len(self.fail)
-                self.fail += [0] * len(own) if size == 1 else numbers[-1][block.tails[size - 1][own]].tolist()
-                self.leave += np.log10(self._left(found[size - 1], discount)[own]).tolist()
+                context = seen[(seen if size == 1 else block.last[size - 1][seen]) != END]
+                own[context] = np.arange(len(context)) + len(self.fail)
+                self.fail += [0] * len(context) if size == 1 else states[tails[context]].tolist()
+                self.leave += np.log10(prior / (n[context] + prior)).tolist()
             # an n-gram that is no context leads to what its last tokens lead to
-            into = states if size == 1 else np.where(states > 0, states, ends[block.tails[size - 1]])
+            into = own if size == 1 else np.where(own > 0, own, ends[tails])
             if size == 1:
                 self.root, self.root_to = np.log10(p).tolist(), into.tolist()
             else:
-                start = numbers[-1][block.heads[size - 1][rows]]
+                shorter, p = p, np.zeros(len(n))
+                p[seen] = (n[seen] + prior * shorter[tails[seen]]) / (counts[size - 2][heads[seen]] + prior)
                 base = len(self.weight)
-                self.arcs.update(zip((start << 32 | block.last[size - 1][rows]).tolist(), range(base, base + len(rows))))
-                self.weight += np.log10(p[rows]).tolist()
-                self.to += into[rows].tolist()
-            numbers.append(states)
-            probabilities.append(p)
-            ends = into
+                self.arcs.update(zip((states[heads[seen]] << 32 | block.last[size - 1][seen]).tolist(), range(base, base + len(seen))))
+                self.weight += np.log10(p[seen]).tolist()
+                self.to += into[seen].tolist()
+            states, ends = own, into
         self.start = self.root_to[START]
 
-    @staticmethod
-    def _left(found: list[np.ndarray], discount: float) -> np.ndarray:
-        """What each n-gram as a context leaves to shorter ones: all but the discounted counts of what follows it."""
-        n, kept, followers = found
-        return 1 - (kept - discount * followers) / np.maximum(n, 1)
-
     def score(self, tokens: list[int]) -> float:
         """The log10 probability of tokens after START: one pass that carries the state."""
         arcs, weight, to, fail, leave, root, root_to = self.arcs, self.weight, self.to, self.fail, self.leave, self.root, self.root_to
@@ -177,14 +181,16 @@ class BackoffAutomaton:
         return math.fsum(sums)
 
 
-def _scores(order: int, discount: float):
-    def scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+def _scores(order: int, buckets: int, prior: float, discount: float, total: int, kinds: int):
+    def scored(docs: pa.Table, totals: pa.Table) -> pa.Table:
         texts = docs.column("text").to_pylist()
-        rows = {c: model.column(c).to_numpy() for c in ("size", "key", "n", "kept", "followers")}
-        of_all = rows["size"] == 0
-        total, kinds = (int(rows[c][of_all].sum()) for c in ("n", "kept"))
         block = _Block(texts, order)
-        automaton = BackoffAutomaton(block, rows, order, discount, total, kinds)
+        by, _, starts = _dealt(block, buckets)
+        n = np.zeros(len(by), np.int64)
+        for bucket, counts in zip(totals.column("bucket").to_pylist(), totals.column("n")):
+            n[by[starts[bucket] : starts[bucket + 1]]] = counts.values.to_numpy()
+        counts = np.split(n, np.cumsum([len(k) for k in block.keys])[:-1])
+        automaton = BackoffAutomaton(block, counts, prior, discount, total, kinds)
         base = np.log10((automaton.counts + 1) / (total + kinds + 1)).tolist()
         known = automaton.counts > 0
         out, at = [], 0
@@ -196,63 +202,50 @@ def _scores(order: int, discount: float):
         kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         columns = [pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds_of)]
         learn = pa.array([not x for x in docs.column("learn").to_pylist()], pa.bool_())
-        ids = docs.column("doc_id").combine_chunks()
-        return pa.table([ids, learn, *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([docs.column("doc_id"), learn, *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return scored
 
 
-def score_texts(docs: DataFrame, learn: Column, *, order: int = 2, discount: float = 0.75, min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, *, order: int = 2, prior: float = 100.0, discount: float = 0.75, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of all whole texts by the n-grams of the rows where learn holds.
 
     Tokens are words cut at ASCII blanks, A to Z in lower case, and one end. The
-    model is interpolated absolute discounting: of an n-gram's count discount
-    is taken, and what a context so leaves, with the counts of n-grams seen less
-    than min_count times, goes to the context without its first token. Single
-    tokens leave theirs to all kinds and one unknown token alike. Probabilities
-    after a context sum to 1. base_score adds one to the counts of tokens.
-
-    Documents are dealt to blocks of about block_bytes, so their number grows
-    with the corpus and a task's memory doesn't. A block counts its n-grams
-    (any context's are dealt to PARTS places, and equal ones are one row a
-    block), gets those that are kept in the whole corpus back, and builds the
-    automaton of what its texts can meet, exactly as the whole one would score
-    them. Nothing of the corpus is broadcast or collected. N-grams are told
+    model mixes contexts by a Dirichlet prior: a token's probability after a
+    context of count c is (n + prior * q) / (c + prior), n the count of both
+    together and q the probability after the context without its first token.
+    Single tokens have discount taken from their counts, which all kinds and one
+    unknown token share alike. Probabilities after a context sum to 1. Every
+    n-gram counts, none is cut off. base_score adds one to the tokens' counts.
+
+    Documents are dealt to blocks of about block_bytes, whose number grows with
+    the corpus while a task's memory doesn't (at terabytes, set it to hundreds
+    of MB). A block sends the hashed keys of its distinct n-grams with their
+    counts to buckets, each of which adds up its keys over all blocks and sends
+    the sums back in the order they came; a frequent n-gram is one entry a
+    block. With them a block builds the automaton of what its texts can meet,
+    which scores them as the whole one would. Nothing of the corpus is broadcast
+    or collected but two numbers, of tokens and distinct ones. N-grams are told
     apart by hashes of 64 bits.
 
     Returns doc_id, held_out (not learn), n_tokens, n_known (tokens seen in
     learning), train_tokens, base_score, score, a row for each row. A null or
     empty text is the end alone. A null learn is false. Null and repeated
-    doc_ids are rows as others. Without rows to learn from n_known is 0, and
-    scores are those of one unknown kind, 0. Other columns are ignored.
+    doc_ids are rows as others; rows alike in doc_id and text share a block.
+    Without rows to learn from n_known is 0, and scores are 0, those of one
+    unknown kind. Other columns are ignored.
     """
-    if order < 2 or min_count < 1 or not 0 < discount < 1:
-        raise ValueError("order is 2 or more, min_count 1 or more, discount between 0 and 1")
+    if order < 2 or prior <= 0 or not 0 < discount < 1:
+        raise ValueError("order is 2 or more, prior more than 0, discount between 0 and 1")
     bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
     learn = F.coalesce(learn, F.lit(False))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tokens = docs.where(learn).select("text").mapInArrow(_tokens, "key long, n long").where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
+    total, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks = size // block_bytes + 1
+    buckets = max(min(blocks, 4 * SHARE), -(-blocks // SHARE))
     rows = docs.select("doc_id", "text", learn.alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    counted = rows.groupBy("block").applyInArrow(_counts(order), COUNTS)
-    # n-grams of a block come by context, which packs well; a frequent context's are dealt to several tasks
-    counted = counted.withColumn("part", F.when(F.col("size") > 1, F.pmod("key", F.lit(PARTS))).otherwise(0)).repartition("ctx", "part")
-    every = ["ctx", "part", "key", "size"]
-    start = xxhash.xxh64_intdigest(NAMES[START])
-    start -= (start >= 1 << 63) << 64
-
-    sums = counted.groupBy(*every).agg(F.sum("n").alias("n"))
-    kept = (F.col("size") > 1) & (F.col("n") >= min_count)
-    contexts = sums.where(kept).groupBy(F.col("ctx").alias("key")).agg(F.sum("n").alias("kept"), F.count("*").alias("followers"))
-    token = (F.col("size") == 1) & (F.col("key") != start) & (F.col("n") > 0)
-    of_all = sums.where(token).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kept"))
-
-    known = counted.withColumn("n", F.sum("n").over(Window.partitionBy(*every))).where((F.col("n") > 0) & ((F.col("size") == 1) | (F.col("n") >= min_count)))
-    inner = known.where(F.col("size") < order).select("block", "size", "key", "n").join(contexts, "key", "left")
-    none = F.lit(0).cast("long")
-    model = inner.select("block", "size", "key", "n", F.coalesce("kept", none).alias("kept"), F.coalesce("followers", none).alias("followers"))
-    model = model.union(known.where(F.col("size") == order).select("block", "size", "key", "n", none, none))
-    everywhere = spark.range(blocks).crossJoin(F.broadcast(of_all)).select(F.col("id").cast("int"), F.lit(0).cast("byte"), none, "n", "kept", none)
-    model = model.union(everywhere)
+    counted = rows.groupBy("block").applyInArrow(_counts(order, buckets), COUNTS)
+    totals = counted.groupBy("bucket").applyInArrow(_totals, TOTALS)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(_scores(order, discount), SCORES.format(id=id_type))
+    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(order, buckets, prior, discount, total, kinds), SCORES.format(id=id_type))

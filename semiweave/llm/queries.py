@@ -353,14 +353,12 @@ WITH RECURSIVE {CRC}, docs AS (
 ), heads AS (
   SELECT h, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY h
 ), pairs AS (
-  SELECT h, w, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w HAVING COUNT(*) >= 2
-), contexts AS (
-  SELECT h, heads.c, 1 - (SUM(pairs.c) - 0.75::DOUBLE * COUNT(*)) / heads.c AS free FROM pairs JOIN heads USING (h) GROUP BY h, heads.c
+  SELECT h, w, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY h, w
 ), single AS (
   SELECT doc_id, held_out, h, w, COALESCE(counts.c, 0) AS c, n, v, (greatest(COALESCE(counts.c, 0) - 0.75::DOUBLE, 0) + 0.75::DOUBLE * v / (v + 1)) / n AS p FROM tokens CROSS JOIN whole LEFT JOIN counts USING (w)
 ), scored AS (
-  SELECT doc_id, held_out, s.c, n, v, CASE WHEN x.h IS NULL THEN p ELSE COALESCE((pairs.c - 0.75::DOUBLE) / x.c, 0) + free * p END AS p
-  FROM single s LEFT JOIN contexts x USING (h) LEFT JOIN pairs USING (h, w)
+  SELECT doc_id, held_out, s.c, n, v, (COALESCE(pairs.c, 0) + 100::DOUBLE * p) / (COALESCE(heads.c, 0) + 100::DOUBLE) AS p
+  FROM single s LEFT JOIN heads USING (h) LEFT JOIN pairs USING (h, w)
 )
 SELECT doc_id, held_out, COUNT(*) AS n_tokens, COUNT(*) FILTER (c > 0) AS n_known, MIN(n) AS train_tokens,
        ROUND(fsum(log10((c + 1) / (n + v + 1))), 6) AS base_score, ROUND(fsum(log10(p)), 6) AS score

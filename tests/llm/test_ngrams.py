@@ -10,11 +10,11 @@ from semiweave.llm.ngrams import score_texts
 
 
 class Brute:
-    """Interpolated absolute discounting by its definition, over dictionaries."""
+    """The smoothed n-grams by their definition, over dictionaries."""
 
-    def __init__(self, texts, order, discount=0.75, min_count=2):
-        self.d, self.order = discount, order
-        self.counts, heads = Counter(), Counter()
+    def __init__(self, texts, order, prior=100.0, discount=0.75):
+        self.d, self.prior, self.order = discount, prior, order
+        self.counts = Counter()
         for text in texts:
             words = ["<s>", *self.words(text), "</s>"]
             for size in range(1, order + 1):
@@ -22,10 +22,6 @@ class Brute:
         self.starts = self.counts.pop(("<s>",), 0)
         single = {g: c for g, c in self.counts.items() if len(g) == 1}
         self.n, self.v = sum(single.values()), len(single)
-        self.kept = {g: c for g, c in self.counts.items() if len(g) > 1 and c >= min_count}
-        self.follow = {}
-        for g, c in self.kept.items():
-            self.follow.setdefault(g[:-1], []).append(c)
 
     @staticmethod
     def words(text):
@@ -34,12 +30,8 @@ class Brute:
     def p(self, h, w):
         if not h:
             return (max(self.counts.get((w,), 0) - self.d, 0) + self.d * self.v / (self.v + 1)) / self.n
-        follow = self.follow.get(h)
-        if not follow:
-            return self.p(h[1:], w)
         c = self.starts if h == ("<s>",) else self.counts[h]
-        left = 1 - sum(x - self.d for x in follow) / c
-        return max(self.kept.get((*h, w), 0) - self.d, 0) / c + left * self.p(h[1:], w)
+        return (self.counts[(*h, w)] + self.prior * self.p(h[1:], w)) / (c + self.prior) if c else self.p(h[1:], w)
 
     def score(self, text):
         words, out = ["<s>", *self.words(text), "</s>"], []
@@ -86,7 +78,7 @@ def test_held_out_texts_score_better_than_the_base(spark):
         return " ".join(out)
 
     df = spark.createDataFrame([(k, walk()) for k in range(60)], "doc_id long, text string")
-    held = [r for r in score_texts(df, F.col("doc_id") >= 20).collect() if r.held_out]
+    held = [r for r in score_texts(df, F.col("doc_id") >= 20, prior=2.0).collect() if r.held_out]
     assert len(held) == 20 and all(r.score > r.base_score * 0.6 for r in held)
 
 
