@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Bytes of text in a block of documents, which one task counts and scores.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Tokens of a block whose arcs a worker holds at once.
+SLICE = 1 << 19
 #: The numbers of the token that ends a text, and of the place before its first.
 END, START = 0, 1
 NAMES = (b"\x00end", b"\x00start")
@@ -128,40 +131,53 @@ class BackoffAutomaton:
     Where a state has no arc for a token, its failure arc takes the weight that
     the state leaves to shorter contexts and leads to that of its own last
     tokens; state 0 has an arc for all tokens. counts are those of each size's
-    n-grams in learning, total and kinds the tokens and distinct ones.
+    n-grams in learning, total and kinds the tokens and distinct ones. enter()
+    lays out the arcs that some of the block's texts can take.
     """
 
     def __init__(self, block: _Block, counts: list[np.ndarray], prior: float, discount: float, total: int, kinds: int):
-        order = len(counts)
-        self.arcs: dict[int, int] = {}
-        self.fail, self.leave, self.weight, self.to = [0], [0.0], [], []
+        self.block, order = block, len(counts)
         self.counts = counts[0].copy()
         self.counts[START] = 0
         p = (np.maximum(self.counts - discount, 0) + discount * kinds / (kinds + 1)) / total if total else np.ones(len(self.counts))
-        states = ends = np.zeros(0, np.int64)
+        fail, leave, self.found = [np.zeros(1, np.int64)], [np.zeros(1)], []
+        states, ends, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 1
         for size, n in enumerate(counts, 1):
             seen = np.flatnonzero(n > 0)
             tails, heads = block.tails[size - 1], block.heads[size - 1]
             own = np.zeros(len(n), np.int64)
             if size < order:
                 context = seen[(seen if size == 1 else block.last[size - 1][seen]) != END]
-                own[context] = np.arange(len(context)) + len(self.fail)
-                self.fail += [0] * len(context) if size == 1 else states[tails[context]].tolist()
-                self.leave += np.log10(prior / (n[context] + prior)).tolist()
+                own[context] = np.arange(at, at + len(context))
+                at += len(context)
+                fail.append(np.zeros(len(context), np.int64) if size == 1 else states[tails[context]])
+                leave.append(np.log10(prior / (n[context] + prior)))
             # an n-gram that is no context leads to what its last tokens lead to
             into = own if size == 1 else np.where(own > 0, own, ends[tails])
             if size == 1:
-                self.root, self.root_to = np.log10(p).tolist(), into.tolist()
+                self.root, self.root_to = array("d", np.log10(p).tobytes()), array("q", into.tobytes())
             else:
                 shorter, p = p, np.zeros(len(n))
                 p[seen] = (n[seen] + prior * shorter[tails[seen]]) / (counts[size - 2][heads[seen]] + prior)
-                base = len(self.weight)
-                self.arcs.update(zip((states[heads[seen]] << 32 | block.last[size - 1][seen]).tolist(), range(base, base + len(seen))))
-                self.weight += np.log10(p[seen]).tolist()
-                self.to += into[seen].tolist()
+                self.found.append((n > 0, states[heads] << 32 | block.last[size - 1], p, into))
             states, ends = own, into
+        self.fail, self.leave = array("q", np.concatenate(fail).tobytes()), array("d", np.concatenate(leave).tobytes())
         self.start = self.root_to[START]
 
+    def enter(self, first: int, last: int) -> None:
+        """Lay out the arcs of the n-grams at the block's places from first to last."""
+        self.arcs: dict[int, int] = {}
+        weight, to = [], []
+        for at, (learned, arcs, p, into) in zip(self.block.at[1:], self.found):
+            here = at[first:last]
+            here = np.unique(here[here >= 0])
+            here = here[learned[here]]
+            base = len(self.arcs)
+            self.arcs.update(zip(arcs[here].tolist(), range(base, base + len(here))))
+            weight.append(np.log10(p[here]))
+            to.append(into[here])
+        self.weight, self.to = array("d", np.concatenate(weight).tobytes()), array("q", np.concatenate(to).tobytes())
+
     def score(self, tokens: list[int]) -> float:
         """The log10 probability of tokens after START: one pass that carries the state."""
         arcs, weight, to, fail, leave, root, root_to = self.arcs, self.weight, self.to, self.fail, self.leave, self.root, self.root_to
@@ -191,10 +207,15 @@ def _scores(order: int, buckets: int, prior: float, discount: float, total: int,
             n[by[starts[bucket] : starts[bucket + 1]]] = counts.values.to_numpy()
         counts = np.split(n, np.cumsum([len(k) for k in block.keys])[:-1])
         automaton = BackoffAutomaton(block, counts, prior, discount, total, kinds)
-        base = np.log10((automaton.counts + 1) / (total + kinds + 1)).tolist()
+        base = array("d", np.log10((automaton.counts + 1) / (total + kinds + 1)).tobytes())
         known = automaton.counts > 0
-        out, at = [], 0
+        out, at, entered = [], 0, 0
+        ends = np.cumsum(block.lengths)
         for length in block.lengths.tolist():
+            if at >= entered:
+                # so many texts as have SLICE tokens together, one at least
+                entered = int(ends[max(np.searchsorted(ends, at + SLICE, "right") - 1, np.searchsorted(ends, at, "right"))])
+                automaton.enter(at, entered)
             tokens = block.tokens[at + 1 : at + length]
             numbers = tokens.tolist()
             out.append((length - 1, int(known[tokens].sum()), total, math.fsum(map(base.__getitem__, numbers)), automaton.score(numbers)))

@@ -3,9 +3,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from semiweave.llm import ngrams
 from semiweave.llm.ngrams import score_texts
 
 
@@ -60,6 +62,17 @@ def test_scores_equal_brute_force(spark, order):
         assert got[k].score == pytest.approx(model.score(text))
 
 
+def test_a_block_is_entered_in_slices(monkeypatch):
+    monkeypatch.setattr(ngrams, "SLICE", 40)
+    texts = made(random.Random(8), 60) + [None, "a b c " * 50]
+    learn = [k % 5 != 0 for k in range(len(texts))]
+    table = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string()), "learn": learn, "block": [0] * len(texts)})
+    model = Brute([t for t, k in zip(texts, learn) if k], 3)
+    rows = ngrams._totals(ngrams._counts(3, 5)(table))
+    got = ngrams._scores(3, 5, 100.0, 0.75, model.n, model.v)(table, rows).column("score").to_pylist()
+    assert got == pytest.approx([model.score(t) for t in texts])
+
+
 def test_probabilities_sum_to_one():
     model = Brute(made(random.Random(9), 60), 3)
     kinds = [g[0] for g in model.counts if len(g) == 1] + ["unseen"]
