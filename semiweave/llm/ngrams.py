@@ -18,7 +18,7 @@ from .common import bounded_batches
 #: Bytes of text in a block of documents, which one task counts and scores.
 BLOCK_BYTES = 12 << 20
 #: Tokens of a block whose arcs a worker holds at once.
-SLICE = 1 << 19
+SLICE = 1 << 16
 #: The numbers of the token that ends a text, and of the place before its first.
 END, START = 0, 1
 NAMES = (b"\x00end", b"\x00start")
@@ -26,7 +26,9 @@ NAMES = (b"\x00end", b"\x00start")
 SHARE = 16
 
 COUNTS = "bucket int, block int, keys array<long>, n array<int>"
-TOTALS = "block int, bucket int, n array<long>"
+#: A sum is low + high * HIGH: few are as large, so high packs to nothing.
+HIGH = 1 << 31
+TOTALS = "block int, bucket int, low array<int>, high array<int>"
 SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -82,11 +84,12 @@ class _Block:
 
 
 def _dealt(block: _Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(by, keys, starts): the block's n-grams of all sizes by bucket, then key, and where each bucket starts."""
-    keys = np.concatenate(block.keys)
-    bucket = ((keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    by = np.lexsort((keys, bucket))
-    return by, keys[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+    """(by, keys, starts): the block's n-grams of all sizes by key, whose first bits tell the bucket, and where each bucket starts."""
+    keys = np.concatenate(block.keys).view(np.uint64)
+    by = np.argsort(keys)
+    keys = keys[by]
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return by, keys.view(np.int64), np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
 def _counts(order: int, buckets: int):
@@ -111,7 +114,8 @@ def _totals(rows: pa.Table) -> pa.Table:
     _, where = np.unique(keys.flatten().to_numpy(), return_inverse=True)
     total = np.bincount(where, n.flatten().to_numpy()).astype(np.int64)[where] if len(where) else np.zeros(0, np.int64)
     ends = np.append(0, np.cumsum(sizes.to_numpy()))
-    return pa.table([rows.column("block"), rows.column("bucket"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total, pa.int64()))], names=["block", "bucket", "n"])
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
+    return pa.table([rows.column("block"), rows.column("bucket"), lists(total % HIGH), lists(total // HIGH)], names=["block", "bucket", "low", "high"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,33 +170,29 @@ class BackoffAutomaton:
 
     def enter(self, first: int, last: int) -> None:
         """Lay out the arcs of the n-grams at the block's places from first to last."""
-        self.arcs: dict[int, int] = {}
-        weight, to = [], []
+        self.arcs: dict[int, tuple[float, int]] = {}
         for at, (learned, arcs, p, into) in zip(self.block.at[1:], self.found):
             here = at[first:last]
             here = np.unique(here[here >= 0])
             here = here[learned[here]]
-            base = len(self.arcs)
-            self.arcs.update(zip(arcs[here].tolist(), range(base, base + len(here))))
-            weight.append(np.log10(p[here]))
-            to.append(into[here])
-        self.weight, self.to = array("d", np.concatenate(weight).tobytes()), array("q", np.concatenate(to).tobytes())
+            self.arcs.update(zip(arcs[here].tolist(), zip(np.log10(p[here]).tolist(), into[here].tolist())))
 
     def score(self, tokens: list[int]) -> float:
         """The log10 probability of tokens after START: one pass that carries the state."""
-        arcs, weight, to, fail, leave, root, root_to = self.arcs, self.weight, self.to, self.fail, self.leave, self.root, self.root_to
+        get, fail, leave, root, root_to = self.arcs.get, self.fail, self.leave, self.root, self.root_to
         state, sums = self.start, []
+        add = sums.append
         for token in tokens:
             while state:
-                arc = arcs.get(state << 32 | token)
-                if arc is not None:
-                    sums.append(weight[arc])
-                    state = to[arc]
+                arc = get(state << 32 | token)
+                if arc:
+                    weight, state = arc
+                    add(weight)
                     break
-                sums.append(leave[state])
+                add(leave[state])
                 state = fail[state]
             else:
-                sums.append(root[token])
+                add(root[token])
                 state = root_to[token]
         return math.fsum(sums)
 
@@ -203,8 +203,8 @@ def _scores(order: int, buckets: int, prior: float, discount: float, total: int,
         block = _Block(texts, order)
         by, _, starts = _dealt(block, buckets)
         n = np.zeros(len(by), np.int64)
-        for bucket, counts in zip(totals.column("bucket").to_pylist(), totals.column("n")):
-            n[by[starts[bucket] : starts[bucket + 1]]] = counts.values.to_numpy()
+        for bucket, low, high in zip(totals.column("bucket").to_pylist(), totals.column("low"), totals.column("high")):
+            n[by[starts[bucket] : starts[bucket + 1]]] = low.values.to_numpy() + high.values.to_numpy().astype(np.int64) * HIGH
         counts = np.split(n, np.cumsum([len(k) for k in block.keys])[:-1])
         automaton = BackoffAutomaton(block, counts, prior, discount, total, kinds)
         base = array("d", np.log10((automaton.counts + 1) / (total + kinds + 1)).tobytes())
