@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ NAMES = (b"\x00end", b"\x00start")
 #: Blocks whose n-grams a task adds up at once, where there are many.
 SHARE = 16
 
-COUNTS = "bucket int, block int, keys array<long>, n array<int>"
+COUNTS = "bucket int, block int, keys array<long>, n array<int>, token array<boolean>"
 #: A sum is low + high * HIGH: few are as large, so high packs to nothing.
 HIGH = 1 << 31
-TOTALS = "block int, bucket int, low array<int>, high array<int>"
+TOTALS = "block int, bucket int, low array<int>, high array<int>, tokens long, kinds long"
 SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -94,37 +93,32 @@ def _dealt(block: _Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _counts(order: int, buckets: int):
     def counted(docs: pa.Table) -> pa.Table:
-        """A row for each bucket: the keys of the block's n-grams and their counts in the rows to learn from."""
+        """A row for each bucket: the keys of the block's n-grams, their counts in the rows to learn from, and which are tokens."""
         block = _Block(docs.column("text").to_pylist(), order)
         learn = np.repeat(np.array(docs.column("learn").to_pylist(), bool), block.lengths)
         n = np.concatenate([np.bincount(at[(at >= 0) & learn], minlength=len(keys)) for at, keys in zip(block.at, block.keys)])
         by, keys, starts = _dealt(block, buckets)
-        number, some = docs.column("block")[0].as_py(), np.flatnonzero(np.diff(starts))
-        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(starts[some], len(by)), pa.int32()), pa.array(x, kind))
-        return pa.table([pa.array(some, pa.int32()), pa.array(np.full(len(some), number), pa.int32()), lists(keys, pa.int64()), lists(n[by], pa.int32())], names=["bucket", "block", "keys", "n"])
+        token = by < len(block.keys[0])
+        token[by == START] = False
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, kind))
+        number = pa.array(np.full(buckets, docs.column("block")[0].as_py()), pa.int32())
+        columns = [pa.array(np.arange(buckets), pa.int32()), number, lists(keys, pa.int64()), lists(n[by], pa.int32()), lists(token, pa.bool_())]
+        return pa.table(columns, names=["bucket", "block", "keys", "n", "token"])
 
     return counted
 
 
 def _totals(rows: pa.Table) -> pa.Table:
-    """For each row of a bucket the counts of its keys in all of them, in the row's order."""
-    rows = rows.combine_chunks()
-    keys, n = (rows.column(c).combine_chunks() for c in ("keys", "n"))
-    sizes = keys.value_lengths()
-    _, where = np.unique(keys.flatten().to_numpy(), return_inverse=True)
-    total = np.bincount(where, n.flatten().to_numpy()).astype(np.int64)[where] if len(where) else np.zeros(0, np.int64)
-    ends = np.append(0, np.cumsum(sizes.to_numpy()))
+    """For each row of a bucket the counts of its keys in all of them, in the row's order, and those of the bucket's tokens."""
+    keys, n, token = (rows.column(c).combine_chunks() for c in ("keys", "n", "token"))
+    ends = np.append(0, np.cumsum(keys.value_lengths().to_numpy()))
+    _, first, where = np.unique(keys.flatten().to_numpy(), return_index=True, return_inverse=True)
+    sums = np.bincount(where, n.flatten().to_numpy(), len(first)).astype(np.int64)
+    of_tokens = sums[token.flatten().to_numpy(zero_copy_only=False)[first]]
+    total = sums[where]
     lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
-    return pa.table([rows.column("block"), rows.column("bucket"), lists(total % HIGH), lists(total // HIGH)], names=["block", "bucket", "low", "high"])
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): the tokens of each batch of texts."""
-    for batch in batches:
-        block = _Block(batch.column(0).to_pylist(), 1)
-        n = np.bincount(block.tokens, minlength=len(block.keys[0]))
-        n[START] = 0
-        yield pa.RecordBatch.from_arrays([pa.array(block.keys[0], pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+    both = [pa.array(np.full(len(rows), x), pa.int64()) for x in (of_tokens.sum(), np.count_nonzero(of_tokens))]
+    return pa.table([rows.column("block"), rows.column("bucket"), lists(total % HIGH), lists(total // HIGH), *both], names=["block", "bucket", "low", "high", "tokens", "kinds"])
 
 
 class BackoffAutomaton:
@@ -197,12 +191,14 @@ class BackoffAutomaton:
         return math.fsum(sums)
 
 
-def _scores(order: int, buckets: int, prior: float, discount: float, total: int, kinds: int):
+def _scores(order: int, buckets: int, prior: float, discount: float):
     def scored(docs: pa.Table, totals: pa.Table) -> pa.Table:
         texts = docs.column("text").to_pylist()
         block = _Block(texts, order)
         by, _, starts = _dealt(block, buckets)
         n = np.zeros(len(by), np.int64)
+        # every bucket answers every block
+        total, kinds = (sum(totals.column(c).to_pylist()) for c in ("tokens", "kinds"))
         for bucket, low, high in zip(totals.column("bucket").to_pylist(), totals.column("low"), totals.column("high")):
             n[by[starts[bucket] : starts[bucket + 1]]] = low.values.to_numpy() + high.values.to_numpy().astype(np.int64) * HIGH
         counts = np.split(n, np.cumsum([len(k) for k in block.keys])[:-1])
@@ -245,9 +241,9 @@ def score_texts(docs: DataFrame, learn: Column, *, order: int = 2, prior: float
     counts to buckets, each of which adds up its keys over all blocks and sends
     the sums back in the order they came; a frequent n-gram is one entry a
     block. With them a block builds the automaton of what its texts can meet,
-    which scores them as the whole one would. Nothing of the corpus is broadcast
-    or collected but two numbers, of tokens and distinct ones. N-grams are told
-    apart by hashes of 64 bits.
+    which scores them as the whole one would. Buckets tell all blocks the
+    numbers of their tokens and distinct ones. Nothing of the corpus is
+    broadcast or collected. N-grams are told apart by hashes of 64 bits.
 
     Returns doc_id, held_out (not learn), n_tokens, n_known (tokens seen in
     learning), train_tokens, base_score, score, a row for each row. A null or
@@ -261,12 +257,10 @@ def score_texts(docs: DataFrame, learn: Column, *, order: int = 2, prior: float
     bounded_batches(docs.sparkSession)
     learn = F.coalesce(learn, F.lit(False))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tokens = docs.where(learn).select("text").mapInArrow(_tokens, "key long, n long").where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
-    total, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks = size // block_bytes + 1
     buckets = max(min(blocks, 4 * SHARE), -(-blocks // SHARE))
     rows = docs.select("doc_id", "text", learn.alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     counted = rows.groupBy("block").applyInArrow(_counts(order, buckets), COUNTS)
     totals = counted.groupBy("bucket").applyInArrow(_totals, TOTALS)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(order, buckets, prior, discount, total, kinds), SCORES.format(id=id_type))
+    return rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(order, buckets, prior, discount), SCORES.format(id=id_type))
