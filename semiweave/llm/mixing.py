@@ -67,8 +67,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     sorted by a hash of (seed, doc_id, copy_no).
 
     Returns docs' columns and copy_no (int, from 1). A null source is a source
-    of its own; null text counts as no characters; a null doc_id hashes as
-    "null"; rows with one doc_id get one count; an input column copy_no is
+    of its own; null text counts as no characters; rows with one doc_id get one
+    count, and of rows without one those of one text, whose MD5 stands for it; an input column copy_no is
     replaced; an empty table gives an empty table. Only the table of sources
     is broadcast, and only below BROADCAST_NUMBERS numbers; past that the join is
     salted, since one source may hold a third of all rows.
@@ -76,7 +76,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     keyed = docs.select("source", "text")
     rates = source_rates(keyed, weights, alpha, repeat)
     rates = written(rates.select(F.col("source").alias("rate_source"), _poisson_cdf("rate").alias("p")).select("rate_source", "p.least", "p.cdf"), "mix-rates")
-    rows = packed(docs, {"source_": F.col("source"), "u_": uniform(seed, F.col("doc_id")), "id_": F.col("doc_id").cast("string")})
+    # rows without id are told apart by their texts
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    rows = packed(docs, {"source_": F.col("source"), "u_": uniform(seed, own), "id_": own})
     same = F.col("source_").eqNullSafe(F.col("rate_source"))
     # a source's distribution has about 18 * sqrt(rate) + 80 numbers
     if (rates.agg(F.sum(F.size("cdf") + 10)).first()[0] or 0) <= BROADCAST_NUMBERS:

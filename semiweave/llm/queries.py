@@ -122,7 +122,7 @@ WITH sizes AS (
 ), cdf AS (
   SELECT source, k, SUM(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf
 ), draws AS (
-  SELECT *, CAST(CAST(concat('0x', substr(md5(concat('17:', COALESCE(CAST(doc_id AS VARCHAR), 'null'))), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  SELECT *, CAST(CAST(concat('0x', substr(md5(concat('17:', COALESCE(CAST(doc_id AS VARCHAR), concat('null:', md5(COALESCE(text, '')))))), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM documents
 ), counts AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT COUNT(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS n

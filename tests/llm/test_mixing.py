@@ -2,6 +2,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from semiweave.llm import mixing
 from semiweave.llm.mixing import mix_sources
@@ -17,7 +18,8 @@ def brute(rows, weights=None, alpha=0.7, repeat=1.0, seed=17):
     for doc, text, source in rows:
         n = size[source]
         rate = share[source] / total * whole * repeat / n if n else (1.0 if weights is None or share[source] else 0.0)
-        u = int(hashlib.md5(f"{seed}:{'null' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 2**52
+        own = f"null:{hashlib.md5((text or '').encode()).hexdigest()}" if doc is None else doc
+        u = int(hashlib.md5(f"{seed}:{own}".encode()).hexdigest()[:13], 16) / 2**52
         k, log, c = 0, -rate, math.exp(-rate)
         while c <= u:
             k += 1
@@ -59,3 +61,13 @@ def test_weights_that_name_no_source(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert mix_sources(df, {"elsewhere": 1.0}).count() == 0
     assert mix_sources(df, {"s0": 0.0}).count() == 0
+
+
+def test_rows_without_id_have_counts_of_their_own(spark):
+    df = spark.createDataFrame([(None, f"text {k}", "s") for k in range(1000)], "doc_id long, text string, source string")
+    for seed in (1, 2, 3, 17):
+        mixed = mix_sources(df, seed=seed).persist()
+        assert 850 < mixed.count() < 1150 and 550 < mixed.select("text").distinct().count() < 720
+        parts = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 1 and max(parts) < 700
+        mixed.unpersist()
