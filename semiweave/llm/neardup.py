@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, written
 
+LOG = logging.getLogger(__name__)
+
 #: Length of a neighbour list, and members of a group that is compared at once.
 NEIGHBOURS = 8
 GROUP = 64
@@ -21,6 +25,8 @@ TABLES, BUCKET = 6, 24
 BLOCK = 256
 #: Vectors that the audit compares with all others, of those with full lists of links and of the rest.
 AUDIT = 256
+#: Of these with links as many should be judged; until then the audit takes four times as many vectors, up to AUDIT_MOST of a sort.
+LINKED, AUDIT_MOST = 300, 8192
 #: Local joins between two looks at the components.
 DESCENTS = 2
 FOUND = "v long, u long, sim double"
@@ -216,15 +222,15 @@ def _seeds(nodes: DataFrame, seed: int) -> DataFrame:
     return keys.select(F.xxhash64("kind", "t", "code").alias("g"), "v")
 
 
-def _audit(nodes: DataFrame, full: DataFrame, threshold: float, seed: int) -> DataFrame:
+def _audit(nodes: DataFrame, full: DataFrame, threshold: float, seed: int, size: int) -> DataFrame:
     """(v, u, sim, full): all links of vectors, found by comparing them with every vector.
 
-    AUDIT of the vectors are from full, whose lists are saturated, and AUDIT
-    are others, as groups too small to fill a list are lost more easily.
+    size of the vectors are from full, whose lists are saturated, and size are
+    others, as groups too small to fill a list are lost more easily.
     """
     sample, kinds = [], nodes.select("v", "kind", "vec").join(full.select("v", F.lit(True).alias("full")), "v", "left").withColumn("full", F.coalesce("full", F.lit(False)))
     for which in (False, True):
-        sample += kinds.where(F.col("full") == which).orderBy(F.xxhash64(F.lit(seed), "v")).limit(AUDIT).collect()
+        sample += kinds.where(F.col("full") == which).orderBy(F.xxhash64(F.lit(seed), "v")).limit(size).collect()
     by: dict[int, list] = {}
     for r in sample:
         by.setdefault(r.kind, []).append((r.v, r.vec, r.full))
@@ -310,7 +316,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
     reaches the threshold, is enlarged by the NEIGHBOURS best outside the
     vector's component, anew in each round. Rounds go on until saturated lists
     lead to no other component and an audit compares AUDIT vectors with
-    saturated lists, and AUDIT others, with all. Of either sort, recall of the
+    saturated lists, and AUDIT others, with all; it takes more of them until
+    LINKED have links, up to all or AUDIT_MOST of a sort, and warns where that
+    gave fewer. Of either sort, recall of the
     vectors with links must have every link in their component, so large groups
     don't outweigh small ones; the links that an audit finds are kept too. If
     max_rounds rounds do not reach this, RuntimeError is raised. All of a
@@ -331,7 +339,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("v"), F.xxhash64("label", F.size("embedding")).alias("kind"), "label", F.col("embedding").alias("vec"), "first", "copies"), "near-nodes")
 
-    at = nodes.select("v", "kind", "vec", F.col("v").alias("c"), F.lit(False).alias("searched"))
+    at, count = nodes.select("v", "kind", "vec", F.col("v").alias("c"), F.lit(False).alias("searched")), nodes.count()
     lists, components = None, spark.createDataFrame([], "id long, component long")
     for turn in range(max_rounds):
         found = _joined(_seeds(nodes, seed + turn), lists, at, threshold)
@@ -352,14 +360,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, *, recall: floa
         if more and turn < max_rounds - 1:
             continue
         full = lists.where((F.col("kind") == NEAR) & (F.col("worst") >= threshold))
-        audit = written(_audit(nodes, full, threshold, seed + turn), "near-audit")
-        of = lambda c, name: components.select(F.col("id").alias(c), F.col("component").alias(name))
-        judged = audit.join(of("v", "cv"), "v", "left").join(of("u", "cu"), "u", "left").withColumn("missed", ~F.coalesce(F.col("cv") == F.col("cu"), F.lit(False)))
-        sorts = judged.groupBy("full", "v").agg(F.bool_or("missed").alias("missed")).groupBy("full").agg(F.count("*").alias("every"), F.count_if("missed").alias("missed")).collect()
+        size, of = AUDIT, lambda c, name: components.select(F.col("id").alias(c), F.col("component").alias(name))
+        while True:
+            audit = written(_audit(nodes, full, threshold, seed + turn, size), "near-audit")
+            judged = audit.join(of("v", "cv"), "v", "left").join(of("u", "cu"), "u", "left").withColumn("missed", ~F.coalesce(F.col("cv") == F.col("cu"), F.lit(False)))
+            sorts = judged.groupBy("full", "v").agg(F.bool_or("missed").alias("missed")).groupBy("full").agg(F.count("*").alias("every"), F.count_if("missed").alias("missed")).collect()
+            linked = sum(r.every for r in sorts)
+            if linked >= LINKED or size >= min(count, AUDIT_MOST):
+                break
+            size *= 4
+        LOG.info("%d of %d audited vectors with links have all of them", linked - sum(r.missed for r in sorts), linked)
         if any(r.missed for r in sorts):
             components = _connected(components, judged.where("missed"))
             at = _placed(nodes, components)
         if all(r.missed <= (1 - recall) * r.every for r in sorts):
+            if linked < LINKED and size < count:
+                warnings.warn(f"recall is judged by {linked} vectors with links alone", stacklevel=2)
             break
     else:
         raise RuntimeError(f"vectors with all links found stayed below {recall} in {max_rounds} rounds")

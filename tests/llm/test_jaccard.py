@@ -75,6 +75,21 @@ def test_one_of_each_group_stays(spark, rows):
     assert sorted(got, key=str) == sorted([*classes, *bare], key=str)
 
 
+def test_one_lost_pair_among_many_texts_fails_the_audit(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[7] + " more"])), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "choose", lambda s, *a: s[:0])
+    with pytest.raises(RuntimeError):
+        jaccard_classes(df).count()
+
+
+def test_a_recall_that_no_text_tells_is_said(spark):
+    texts = [f"all of these {k} words are {k * 7} quite different" for k in range(50)]
+    with pytest.warns(UserWarning, match="unmeasured"):
+        assert jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_links > 0").count() == 0
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 90, size=rng.integers(1, 60)).astype(np.uint64)) for _ in range(30)]

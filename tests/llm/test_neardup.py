@@ -62,8 +62,7 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_clumps_that_fill_their_lists_are_linked(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "AUDIT", 0)
+def test_clumps_that_fill_their_lists_are_linked(spark):
     rng = np.random.default_rng(3)
     a, b, c = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
     centres = (a, 0.94 * a + np.sqrt(1 - 0.94**2) * b, c)
@@ -82,6 +81,17 @@ def test_lost_pairs_fail_the_audit(spark, monkeypatch):
         near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), max_rounds=1)
 
 
+def test_one_lost_pair_among_many_vectors_fails_the_audit(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    rows = [(v, rng.normal(size=16).tolist(), 1) for v in range(1500)] + [(1500 + k, (one + rng.normal(size=16) * 0.001).tolist(), 2) for k in range(2)]
+    seeds = neardup._seeds
+    monkeypatch.setattr(neardup, "_seeds", lambda nodes, seed: seeds(nodes.where("label = 1"), seed))
+    monkeypatch.setattr(neardup, "AUDIT", 32)
+    with pytest.raises(RuntimeError):
+        near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=0.99, max_rounds=1)
+
+
 def test_groups_over_several_batches():
     import pyarrow as pa
 
