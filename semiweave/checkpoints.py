@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
+from functools import reduce as fold
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -30,3 +34,107 @@ def settled(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _complete(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the rounds in folder that were written to the end."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at)]
+    return sorted(int(n) for n in names if n.isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+class Rounds:
+    """The states of a loop, one numbered table a round, of which the last two are kept.
+
+    A named run lies in a folder of that name below the checkpoint folder. Where
+    it holds complete rounds, as after a lost driver, the loop goes on from the
+    last of them; a round that was cut off is written anew. A run without a name
+    gets a folder of its own. remove() deletes all, when the result is written.
+    """
+
+    def __init__(self, spark: SparkSession, run: str | None = None):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run or uuid.uuid4().hex}"
+        found = _complete(spark, self.folder) if run else []
+        self.number = found[-1] if found else -1
+
+    def last(self) -> DataFrame | None:
+        """The last complete round's state, if there is one."""
+        return self.spark.read.parquet(f"{self.folder}/{self.number}") if self.number >= 0 else None
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """df written as the next round and read again; the round before the last goes."""
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.mode("overwrite").parquet(path)
+        if self.number >= 2:
+            _remove(self.spark, f"{self.folder}/{self.number - 2}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        _remove(self.spark, self.folder)
+
+
+def forget_run(spark: SparkSession, run: str) -> None:
+    """Delete what a named run left, when its result is written."""
+    _remove(spark, f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run}")
+
+
+class Layers:
+    """A table that grows by a layer a round, each written once.
+
+    The layers of a named run that were written to the end are found again, as
+    after a lost driver. compact() puts all layers but the last together; where
+    it is cut off between writing and deleting, rows are there twice, which the
+    sums that layers are for don't change by.
+    """
+
+    def __init__(self, spark: SparkSession, run: str | None = None):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run or uuid.uuid4().hex}"
+        self.paths = [f"{self.folder}/{n}" for n in _complete(spark, self.folder)] if run else []
+        bases = _complete(spark, f"{self.folder}/base") if run else []
+        self.rounds = int(self.paths[-1].rpartition("/")[2]) + 1 if self.paths else 0
+        if bases:
+            self.paths = [f"{self.folder}/base/{bases[-1]}", *[p for p in self.paths if int(p.rpartition("/")[2]) > bases[-1]]]
+        self.count, self.stale, self.rows = len(self.paths), 0, 0
+
+    def append(self, df: DataFrame) -> tuple[int, int]:
+        """Write df as the next layer: (its rows, those of them where the column improved holds)."""
+        path = f"{self.folder}/{self.rounds}"
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        self.rounds, self.count = self.rounds + 1, self.count + 1
+        improved = F.count_if("improved") if "improved" in df.columns else F.lit(0)
+        rows, better = self.last().agg(F.count("*"), improved).first()
+        self.rows += rows
+        return rows, better
+
+    def last(self) -> DataFrame:
+        return self.spark.read.parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        """The rows (i, j, v) of all layers."""
+        return fold(DataFrame.union, [self.spark.read.parquet(p).select("i", "j", "v") for p in self.paths])
+
+    def compact(self, combine: Callable[[DataFrame], DataFrame]) -> None:
+        if self.count < 3:
+            return
+        *old, last = self.paths
+        path = f"{self.folder}/base/{self.rounds - 2}"
+        rows = fold(DataFrame.union, [self.spark.read.parquet(p).select("i", "j", "v") for p in old])
+        combine(rows).write.mode("overwrite").parquet(path)
+        for p in old:
+            _remove(self.spark, p)
+        self.paths, self.count, self.stale = [path, last], 2, 0
+        self.rows = self.all().count()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 from typing import Any
 
@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import settled
+from ..config import config
 from ..errors import GraphError
 from ..functions.algebra import Monoid, Semiring, default_combine, resolve_monoid, resolve_semiring, summed
 from ..functions.scalar_ops import UnaryOp, unary
 from ..types import DEFAULTS, SPARK, recast, validate_type
 from .masks import Descriptor, Mask, masked, positions
+from .products import mask_first, spread, through_mask
 
 PLAIN = Descriptor()
 
@@ -53,17 +56,17 @@ def _combined(df: DataFrame, keys: list[str], dtype: str, combine: str | Monoid
 def _checked(df: DataFrame, sizes: dict[str, int], check: bool | None) -> DataFrame:
     """df whose positions lie within sizes and that has no nulls.
 
-    With check=None rows are tested as they are read, without a job of its
-    own: an action on a wrong one fails. True tests by one aggregate at once
-    and raises GraphError. False trusts df, and lets later filters be pushed
-    below to its source.
+    With check=None every column is the row's value if the whole row is right,
+    and else an error, so whatever reads a column of a wrong row fails, in any
+    plan and without a job of its own.
+    True tests by one aggregate at once and raises GraphError. False trusts df,
+    and lets later filters be pushed below to its source.
     """
     if check is None:
         inside = [F.col("v").isNotNull(), *[F.col(k).isNotNull() & (F.col(k) >= 0) & (F.col(k) < n) for k, n in sizes.items()]]
+        right = fold(lambda a, b: a & b, inside)
         wrong = F.raise_error(F.concat(F.lit(f"index_out_of_bounds: of size {tuple(sizes.values())}, or null: "), F.to_json(F.struct(*df.columns))))
-        # rand makes the test one that Spark moves before no other filter, which may drop the rows it is about
-        ok = fold(lambda a, b: a & b, inside) | (F.rand() < 0)
-        return df.where(F.when(ok, F.lit(True)).otherwise(wrong.cast("boolean")))
+        return df.select(*[F.when(right, F.col(c)).otherwise(wrong.cast(df.schema[c].dataType)).alias(c) for c in df.columns])
     if check:
         _check_bounds(df, sizes)
     return df
@@ -94,8 +97,8 @@ class _Container:
         return self.df.sparkSession
 
     def nvals(self) -> int:
-        """The number of stored entries, explicit zeros among them."""
-        return self.df.count()
+        """The number of stored entries, explicit zeros among them; reads positions, so that wrong ones are an error (see from_df)."""
+        return self.df.agg(F.count("*"), F.bit_xor("i")).first()[0]
 
     def dup(self):
         """A copy; as DataFrames never change, the same plan."""
@@ -103,16 +106,25 @@ class _Container:
 
     def cast(self, dtype: str):
         """With values of another type; numbers other than 0 become true."""
-        return replace(self, df=self.df.withColumn("v", recast(F.col("v"), self.dtype, validate_type(dtype))), dtype=dtype)
+        if dtype == self.dtype:
+            return self
+        return self._with_df(self.df.withColumn("v", recast(F.col("v"), self.dtype, validate_type(dtype))), dtype=dtype)
 
     def apply(self, op: str | UnaryOp | Callable[[Column], Column]):
         """Each value mapped by a unary operator."""
-        return replace(self, df=self.df.withColumn("v", unary(op)(F.col("v"))))
+        return self._with_df(self.df.withColumn("v", unary(op)(F.col("v"))))
+
+    def persist(self):
+        """The same entries, kept by the executors once they are computed."""
+        return self._with_df(self.df.persist())
 
     def unpersist(self):
         self.df.unpersist()
         return self
 
+    def _with_df(self, df: DataFrame, **changes: Any):
+        return replace(self, df=df, **({"raw": None} if self.kind == "matrix" else {}), **changes)
+
     def _same_shape(self, other) -> None:
         if self.extent != other.extent:
             raise GraphError("dimension_mismatch", other.extent, self.extent)
@@ -123,20 +135,20 @@ class _Container:
         rows = self.df.unionByName(other.cast(self.dtype).df)
         # associative and commutative, so a union and one aggregation do without a full join
         df = summed(rows, self.keys, m, self.dtype)
-        return replace(self, df=masked(df, self.keys, mask, descriptor, self.kind))
+        return self._with_df(masked(df, self.keys, mask, descriptor, self.kind))
 
     def _ewise_mult(self, other, monoid: str | Monoid, mask: Mask | None, descriptor: Descriptor):
         self._same_shape(other)
         m = resolve_monoid(monoid)
         b = other.cast(self.dtype).df.withColumnRenamed("v", "w")
         df = self.df.join(b, self.keys).select(*self.keys, m.combine(F.col("v"), F.col("w")).alias("v"))
-        return replace(self, df=masked(df, self.keys, mask, descriptor, self.kind))
+        return self._with_df(masked(df, self.keys, mask, descriptor, self.kind))
 
     def _with(self, at: tuple[int, ...], value: Any):
         self._inside(at)
         here = fold(lambda a, b: a & b, [F.col(k) == x for k, x in zip(self.keys, at)])
         row = self.spark.createDataFrame([(*at, _value(value, self.dtype))], _schema(self.keys, self.dtype))
-        return replace(self, df=self.df.where(~here).union(row))
+        return self._with_df(self.df.where(~here).union(row))
 
     def _at(self, at: tuple[int, ...]) -> Any:
         self._inside(at)
@@ -151,7 +163,17 @@ class _Container:
     def set_many(self, entries: DataFrame):
         """Overwrite the positions of entries (keys and v), which are unique: an anti join and a union."""
         new = entries.select(*[F.col(k).cast("long").alias(k) for k in self.keys], F.col("v").cast(SPARK[self.dtype]).alias("v"))
-        return replace(self, df=self.df.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new))
+        return self._with_df(self.df.join(new.select(*self.keys), self.keys, "left_anti").unionByName(new))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The join of a product's sides on k."""
+    return spread(left, right, config.heavy_index) if config.heavy_index else left.join(right, "k")
+
+
+def _multiplied(pairs: DataFrame, sr: Semiring, *keys: str) -> DataFrame:
+    """(keys, v) of pairs (keys, x, y)."""
+    return pairs.select(*keys, sr.times(F.col("x"), F.col("y")).alias("v"))
 
 
 @dataclass(frozen=True)
@@ -162,6 +184,8 @@ class Matrix(_Container):
     nrows: int
     ncols: int
     dtype: str = "int64"
+    #: Rows whose combination df is, and how: a product may combine them where it joins them.
+    raw: tuple[DataFrame, Monoid] | None = field(default=None, compare=False, repr=False)
     kind = "matrix"
     keys = ["i", "j"]
 
@@ -190,15 +214,31 @@ class Matrix(_Container):
         return Matrix(_combined(df, Matrix.keys, dtype, combine), nrows, ncols, dtype)
 
     @staticmethod
-    def from_df(df: DataFrame, nrows: int, ncols: int, row: str = "i", col: str = "j", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, check: bool | None = None) -> "Matrix":
-        """From a DataFrame without nulls; unique skips the combining aggregation. For check see _checked."""
+    def from_df(df: DataFrame, nrows: int, ncols: int, row: str = "i", col: str = "j", val: str | Column = "v", dtype: str = "int64", *, combine: str | Monoid | None = None, unique: bool = False, scattered: bool = False, check: bool | None = None) -> "Matrix":
+        """From a DataFrame without nulls; for check see _checked.
+
+        unique skips the combining aggregation. scattered says that few
+        positions repeat, so that a product shuffles the rows by its inner index
+        at once and combines them there, instead of by position before.
+        """
         validate_type(dtype)
         if nrows < 0 or ncols < 0:
             raise GraphError("invalid_argument", "dimensions must not be negative")
         v = F.col(val) if isinstance(val, str) else val
         df = df.select(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j"), v.cast(SPARK[dtype]).alias("v"))
         df = _checked(df, {"i": nrows, "j": ncols}, check)
-        return Matrix(df if unique else _combined(df, Matrix.keys, dtype, combine), nrows, ncols, dtype)
+        if unique:
+            return Matrix(df, nrows, ncols, dtype)
+        monoid = resolve_monoid(combine) if combine else default_combine(dtype)
+        plain = isinstance(monoid.operator, str) and not (monoid.operator == "times" and dtype == "int64")
+        return Matrix(summed(df, Matrix.keys, monoid, dtype), nrows, ncols, dtype, (df, monoid) if scattered and plain else None)
+
+    def _by(self, index: str, dtype: str) -> DataFrame:
+        """The entries with values of dtype, for a join on index (see from_df's scattered)."""
+        if self.raw is None:
+            return self.cast(dtype).df
+        rows, monoid = self.raw
+        return self._with_df(summed(rows.repartition(index), self.keys, monoid, self.dtype)).cast(dtype).df
 
     def to_coo(self) -> DataFrame:
         """Entries in row-major order."""
@@ -221,43 +261,54 @@ class Matrix(_Container):
 
     def transpose(self, mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Matrix":
         """Swap i and j: a projection that Catalyst merges into what follows."""
-        df = self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-        return Matrix(masked(df, self.keys, mask, descriptor, self.kind), self.ncols, self.nrows, self.dtype)
+        swap = lambda df: df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+        raw = (swap(self.raw[0]), self.raw[1]) if self.raw is not None and mask is None else None
+        return Matrix(masked(swap(self.df), self.keys, mask, descriptor, self.kind), self.ncols, self.nrows, self.dtype, raw)
 
     T = property(transpose)
 
     def mxm(self, other: "Matrix", semiring: str | Semiring = "plus_times", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Matrix":
         """The product: a join on the inner index and a grouped aggregate.
 
-        Rows and columns that a mask (not a complement) leaves out are dropped
-        before the join.
+        A mask that is no complement is written once. Where its positions need
+        far fewer rows than the product has terms (a job counts both), the join
+        starts from them and forms no other term; else rows and columns that it
+        leaves out are dropped before the join. Spark cuts partitions of a heavy
+        inner index itself; config.heavy_index has them counted and dealt to
+        a grid of tasks (see spread).
         """
         sr = resolve_semiring(semiring)
-        products = self._terms(other, sr, mask, descriptor)
+        left, right = self._sides(other, sr, descriptor)
         nrows, ncols = self.ncols if descriptor.inp0 else self.nrows, other.nrows if descriptor.inp1 else other.ncols
-        return Matrix(masked(summed(products, self.keys, sr.monoid, sr.type), self.keys, mask, descriptor, self.kind), nrows, ncols, sr.type)
+        at = None
+        if mask is not None and not mask.complement:
+            at = settled(positions(mask, descriptor, self.kind).select("i", "j"))
+            mask, descriptor = Mask(Matrix(at, nrows, ncols)), PLAIN
+            if mask_first(left, right, at):
+                return Matrix(summed(_multiplied(through_mask(left, right, at), sr, "i", "j"), self.keys, sr.monoid, sr.type), nrows, ncols, sr.type)
+            left, right = left.join(at.select("i").distinct(), "i", "left_semi"), right.join(at.select("j").distinct(), "j", "left_semi")
+        terms = _multiplied(_met(left, right), sr, "i", "j")
+        return Matrix(masked(summed(terms, self.keys, sr.monoid, sr.type), self.keys, mask, descriptor, self.kind), nrows, ncols, sr.type)
 
-    def _terms(self, other: "Matrix", sr: Semiring, mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> DataFrame:
-        """(i, j, v): the terms that a product sums."""
+    def _sides(self, other: "Matrix", sr: Semiring, descriptor: Descriptor = PLAIN) -> tuple[DataFrame, DataFrame]:
+        """(i, k, x) and (k, j, y): what a product joins on k."""
         a, b = self.transpose() if descriptor.inp0 else self, other.transpose() if descriptor.inp1 else other
         if a.ncols != b.nrows:
             raise GraphError("dimension_mismatch", a.ncols, b.nrows)
-        left = a.cast(sr.type).df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
-        right = b.cast(sr.type).df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        if mask is not None and not mask.complement:
-            at = positions(mask, descriptor, self.kind)
-            left, right = left.join(at.select("i").distinct(), "i", "left_semi"), right.join(at.select("j").distinct(), "j", "left_semi")
-        return left.join(right, "k").select("i", "j", sr.times(F.col("x"), F.col("y")).alias("v"))
+        return a._by("j", sr.type).select("i", F.col("j").alias("k"), F.col("v").alias("x")), b._by("i", sr.type).select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
+
+    def _terms(self, other: "Matrix", sr: Semiring) -> DataFrame:
+        """(i, j, v): the terms that a product sums."""
+        return _multiplied(_met(*self._sides(other, sr)), sr, "i", "j")
 
     def mxv(self, vector: "Vector", semiring: str | Semiring = "plus_times", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Vector":
         sr = resolve_semiring(semiring)
         a = self.transpose() if descriptor.inp0 else self
         if a.ncols != vector.size:
             raise GraphError("dimension_mismatch", a.ncols, vector.size)
-        left = a.cast(sr.type).df.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
+        left = a._by("j", sr.type).select("i", F.col("j").alias("k"), F.col("v").alias("x"))
         right = vector.cast(sr.type).df.select(F.col("i").alias("k"), F.col("v").alias("y"))
-        products = left.join(right, "k").select("i", sr.times(F.col("x"), F.col("y")).alias("v"))
-        df = summed(products, Vector.keys, sr.monoid, sr.type)
+        df = summed(_multiplied(_met(left, right), sr, "i"), Vector.keys, sr.monoid, sr.type)
         return Vector(masked(df, Vector.keys, mask, descriptor, Vector.kind), a.nrows, sr.type)
 
     def ewise_add(self, other: "Matrix", monoid: str | Monoid = "plus", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Matrix":
@@ -337,7 +388,7 @@ class Vector(_Container):
         """With defaults where nothing is stored."""
         zero = F.lit(DEFAULTS[self.dtype]).cast(SPARK[self.dtype])
         df = self.spark.range(self.size).withColumnRenamed("id", "i").join(self.df, "i", "left").select("i", F.coalesce("v", zero).alias("v"))
-        return replace(self, df=df)
+        return self._with_df(df)
 
     def to_list(self) -> list[Any]:
         """All values with defaults; for small vectors."""
@@ -350,9 +401,8 @@ class Vector(_Container):
         if self.size != b.nrows:
             raise GraphError("dimension_mismatch", self.size, b.nrows)
         left = self.cast(sr.type).df.select(F.col("i").alias("k"), F.col("v").alias("x"))
-        right = b.cast(sr.type).df.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        products = left.join(right, "k").select(F.col("j").alias("i"), sr.times(F.col("x"), F.col("y")).alias("v"))
-        df = summed(products, self.keys, sr.monoid, sr.type)
+        right = b._by("i", sr.type).select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("y"))
+        df = summed(_multiplied(_met(left, right), sr, "i"), self.keys, sr.monoid, sr.type)
         return Vector(masked(df, self.keys, mask, descriptor, self.kind), b.ncols, sr.type)
 
     def ewise_add(self, other: "Vector", monoid: str | Monoid = "plus", mask: Mask | None = None, descriptor: Descriptor = PLAIN) -> "Vector":

@@ -7,11 +7,12 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import settled
+from ..checkpoints import Rounds, settled
 from ..config import config
 from ..errors import GraphError
 from ..operators.containers import Matrix, Vector
 from ..operators.masks import Descriptor
+from ..operators.products import spread
 from ..types import recast
 
 
@@ -79,18 +80,23 @@ def bfs_reach(adj: Matrix, source: int, *, max_iter: int | None = None) -> Vecto
     return Vector(found.df.select("i", F.lit(True).alias("v")), adj.nrows, "bool")
 
 
-def _least(start: DataFrame, edges: _Edges, offer: Column, limit: int) -> tuple[DataFrame, bool]:
+def _least(start: DataFrame, edges: _Edges, offer: Column, limit: int, run: str | None = None) -> tuple[DataFrame, bool]:
     """start (i, v) with each vertex's least offer over its in-edges, and whether it settled in limit rounds.
 
     Only vertices improved in the last round make offers. One aggregate gives
-    a round's values and what they replace.
+    a round's values and what they replace. run names a loop that goes on where
+    it was cut off.
     """
-    known = settled(start.select("i", "v", F.lit(None).cast(start.schema["v"].dataType).alias("old")))
+    rounds = Rounds(edges.df.sparkSession, run)
+    none = F.lit(None).cast(start.schema["v"].dataType)
+    known = rounds.last()
+    if known is None:
+        known = rounds.settled(start.select("i", "v", none.alias("old")))
     better = F.col("old").isNull() | (F.col("v") < F.col("old"))
     done = False
-    for _ in range(limit):
-        offers = edges.ahead(known.where(better).select("i", "v")).select(F.col("j").alias("i"), offer.alias("v"), F.lit(None).cast(start.schema["v"].dataType).alias("old"))
-        known = settled(known.select("i", "v", F.col("v").alias("old")).union(offers).groupBy("i").agg(F.min("v").alias("v"), F.min("old").alias("old")))
+    for _ in range(rounds.number, limit):
+        offers = edges.ahead(known.where(better).select("i", "v")).select(F.col("j").alias("i"), offer.alias("v"), none.alias("old"))
+        known = rounds.settled(known.select("i", "v", F.col("v").alias("old")).union(offers).groupBy("i").agg(F.min("v").alias("v"), F.min("old").alias("old")))
         if not known.where(better).limit(1).count():
             done = True
             break
@@ -98,33 +104,110 @@ def _least(start: DataFrame, edges: _Edges, offer: Column, limit: int) -> tuple[
     return known.select("i", "v"), done
 
 
-def sssp(adj: Matrix, source: int, *, max_iter: int | None = None) -> Vector:
+def _circles(parents: DataFrame) -> bool:
+    """Whether following parents (i, parent), one a vertex at most, leads in a circle: by pointers that double their steps.
+
+    A pointer that has passed a vertex without parent ends. After more steps
+    than there are pointers, those that are left go round.
+    """
+    ahead, limit = settled(parents.where("parent is not null").select("i", F.col("parent").alias("to"))), 0
+    count = ahead.count()
+    while count and 1 << limit <= count:
+        ahead = settled(ahead.join(ahead.select(F.col("i").alias("to"), F.col("to").alias("next")), "to").select("i", F.col("next").alias("to")))
+        left = ahead.count()
+        limit, count = limit + 1, count if left else 0
+        if not left:
+            return False
+    return bool(count)
+
+
+def sssp(adj: Matrix, source: int, *, max_iter: int | None = None, run: str | None = None) -> Vector:
     """Least path weights from source; unreachable vertices are absent.
 
-    Bellman-Ford that relaxes only vertices improved in the last round, until
-    none is; a cycle of negative weight, which never settles, is an error.
-    With max_iter paths have so many edges at most.
+    Only vertices improved in the last round offer paths over their edges, until
+    none is. Each vertex keeps the one that its path comes from; a cycle of
+    negative weight makes these go in a circle, which is looked for after 4,
+    8, 16 ... rounds and is an error. With max_iter paths have so many edges at
+    most, and cycles may be part of them. run names a loop that goes on where
+    it was cut off (see Rounds).
     """
     _source(adj, source)
+    spark, limit = adj.spark, adj.nrows if max_iter is None else max_iter
     edges = _Edges(adj.cast("fp64").df.select("i", "j", F.col("v").alias("w")))
-    start = adj.spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"))
-    known, done = _least(start, edges, F.col("v") + F.col("w"), adj.nrows if max_iter is None else max_iter)
+    rounds = Rounds(spark, run)
+    none, nobody = F.lit(None).cast("double"), F.lit(None).cast("long")
+    known = rounds.last()
+    if known is None:
+        known = rounds.settled(spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"), nobody.alias("parent"), none.alias("old")))
+    better = F.col("old").isNull() | (F.col("v") < F.col("old"))
+    done, look = False, 4
+    for k in range(rounds.number, limit):
+        offers = edges.ahead(known.where(better).select("i", "v")).select(F.col("j").alias("i"), (F.col("v") + F.col("w")).alias("v"), F.col("i").alias("parent"), none.alias("old"))
+        # of equal paths the one that is there stays, as its row has the least flag
+        rows = known.select("i", "v", "parent", F.col("v").alias("old")).union(offers)
+        best = F.min(F.struct("v", F.col("old").isNull().alias("new"), "parent"))
+        known = rounds.settled(rows.groupBy("i").agg(best.alias("best"), F.min("old").alias("old")).select("i", "best.v", "best.parent", "old"))
+        if not known.where(better).limit(1).count():
+            done = True
+            break
+        if max_iter is None and k + 1 >= look:
+            look = 2 * (k + 1)
+            if _circles(known.select("i", "parent")):
+                break
+    edges.df.unpersist()
     if max_iter is None and not done:
         raise GraphError("invalid_argument", "a cycle of negative weight has no least path")
-    return Vector(known, adj.nrows, "fp64")
+    return Vector(known.select("i", "v"), adj.nrows, "fp64")
+
+
+def _oriented(edges: DataFrame) -> DataFrame:
+    """edges (a > b, with flags) from the end of lower degree to the other: (u, w, flags).
+
+    Equal degrees go by number. No vertex then has more than the square root of
+    twice the edges ahead of it, so pairs of edges with one start number
+    edges^1.5 at most, however many edges a hub has.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(F.count("*").alias("d"))
+    with_a = edges.join(ends.select(F.col("u").alias("a"), F.col("d").alias("da")), "a")
+    both = with_a.join(ends.select(F.col("u").alias("b"), F.col("d").alias("db")), "b")
+    a_first = F.struct("da", "a") < F.struct("db", "b")
+    return both.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("w"), "low", "up")
+
+
+def _wedges(oriented: DataFrame, heavy: int) -> DataFrame:
+    """(u, v, w, flags of both edges) for v < w: pairs of edges with one start; starts with many are dealt to a grid of tasks."""
+    first = oriented.select(F.col("u").alias("k"), F.col("w").alias("v"), F.col("low").alias("low_v"), F.col("up").alias("up_v"))
+    second = oriented.select(F.col("u").alias("k"), "w", F.col("low").alias("low_w"))
+    return spread(first, second, heavy).where("v < w").withColumnRenamed("k", "u")
+
+
+#: Edges of one start from which its pairs are dealt to several tasks.
+WEDGES = 10_000
 
 
 def triangle_count_df(adj: Matrix) -> DataFrame:
     """One row with the column triangles: half the sum of L * A at the positions of L.
 
     L is the part below the diagonal. For a symmetric matrix without loops
-    that counts each triangle once; loops add what they add to the product.
+    that counts each triangle once; loops add what they add to the product: a
+    term for every entry of L in their column. All other terms lie on triangles
+    of the graph without directions, i > k > j: where (i, k) and (i, j) are
+    stored, one each for (k, j) and (j, k). Triangles are found from their
+    vertex of least degree (_oriented), and the third edge by a join.
     """
-    low = adj.df.where("i > j")
-    # an end of a wedge lies below its start, which halves what is shuffled to the third edge
-    wedges = low.select("i", F.col("j").alias("k")).join(adj.df.select(F.col("i").alias("k"), "j"), "k").where("i > j")
-    closed = wedges.join(low.select("i", "j"), ["i", "j"], "left_semi")
-    return closed.agg(F.expr("count(*) div 2").cast("long").alias("triangles"))
+    entries = adj.df.select("i", "j")
+    edges = entries.where("i <> j").groupBy(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).agg(F.bool_or(F.col("i") > F.col("j")).alias("low"), F.bool_or(F.col("i") < F.col("j")).alias("up"))
+    edges = settled(edges)
+    loops = entries.where("i = j").select(F.col("i").alias("b"))
+    on_loops = edges.where("low").join(loops, "b").agg(F.count("*").alias("n"))
+    third = edges.select(F.greatest("a", "b").alias("w"), F.least("a", "b").alias("v"), F.col("low").alias("low_x"), F.col("up").alias("up_x"))
+    found = _wedges(settled(_oriented(edges)), WEDGES).join(third, ["v", "w"])
+    top = F.greatest("u", "w")
+    one = lambda c: F.col(c).cast("int")
+    # the greatest vertex has two of the edges, and the third's entries count
+    terms = F.when(top == F.col("u"), F.when(F.col("low_v") & F.col("low_w"), one("low_x") + one("up_x"))).otherwise(F.when(F.col("low_w") & F.col("low_x"), one("low_v") + one("up_v")))
+    on_triangles = found.agg(F.coalesce(F.sum(terms), F.lit(0)).alias("t"))
+    return on_triangles.crossJoin(F.broadcast(on_loops)).select(F.expr("(t + n) div 2").cast("long").alias("triangles"))
 
 
 def triangle_count(adj: Matrix) -> int:
@@ -155,8 +238,7 @@ def connected_components(adj: Matrix, *, undirected: bool = True) -> Vector:
     """The least vertex of each vertex's component; vertices without edges are their own.
 
     With undirected=False edges are followed one way, and a vertex gets the
-    least of itself and the vertices that reach it: labels spread along edges
-    from all vertices at once, as often as the longest of these paths has edges.
+    least of itself and the vertices that reach it (see _reached).
     """
     n, spark = adj.nrows, adj.spark
     ids = Vector.full(spark, n, F.col("i"), "int64")
@@ -165,8 +247,59 @@ def connected_components(adj: Matrix, *, undirected: bool = True) -> Vector:
         stars = _stars(settled(edges))
         labels = ids.df.select("i").join(stars.select(F.col("a").alias("i"), "b"), "i", "left").select("i", F.coalesce("b", "i").alias("v"))
         return Vector(labels, n, "int64")
-    labels, _ = _least(ids.df, _Edges(adj.df.where("i <> j").select("i", "j")), F.col("v"), max(1, n))
-    return Vector(labels, n, "int64")
+    return Vector(_reached(ids.df, adj.df.where("i <> j").select("i", "j").distinct(), n), n, "int64")
+
+
+def _reached(own: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """(i, v): the least v of own (i, v) over i and all vertices that reach it along edges.
+
+    Vertices of one in-edge are taken out first: chains, branches and circles of
+    them lead back to their heads by pointers that double their steps and carry
+    the least value on the way. Their out-edges start at the heads then, with
+    that value on the edge. Heads that so get one in-edge left are taken out
+    in turn, while that makes the graph smaller by a tenth. Along what is left,
+    where every vertex has several in-edges or none, values spread from all at
+    once; then the chains get those of their heads.
+    """
+    edges = settled(edges.select("i", "j", F.lit(None).cast("long").alias("w")))
+    own, taken, count = settled(own), [], edges.count()
+    while count:
+        single = edges.groupBy("j").agg(F.count("*").alias("d"), F.first("i").alias("to"), F.first("w").alias("w")).where("d = 1").select(F.col("j").alias("i"), "to", "w")
+        lone = single.join(own, "i").select("i", "to", F.least("v", "w").alias("v"))
+        heads = _heads(settled(lone), n)
+        left = edges.join(heads.select(F.col("i").alias("j")), "j", "left_anti")
+        start = heads.select(F.col("i").alias("i"), F.col("to").alias("head"), F.col("v").alias("carried"))
+        moved = left.join(start, "i", "left").select(F.coalesce("head", "i").alias("i"), "j", F.least("w", "carried").alias("w"))
+        # a head that is in a circle of its own carries its least value itself
+        edges_now = settled(moved.where("i <> j").groupBy("i", "j").agg(F.min("w").alias("w")))
+        fewer = edges_now.count()
+        taken.append(heads)
+        own = settled(own.join(heads.where("i = to").select("i", F.col("v").alias("least")), "i", "left").select("i", F.least("v", "least").alias("v")))
+        own = settled(own.join(moved.where("i = j").groupBy("i").agg(F.min("w").alias("least")), "i", "left").select("i", F.least("v", "least").alias("v")))
+        if 10 * fewer > 9 * count:
+            edges = edges_now
+            break
+        edges, count = edges_now, fewer
+    labels, _ = _least(own, _Edges(edges), F.least("v", "w"), max(1, n))
+    for heads in reversed(taken):
+        at_heads = heads.where("i <> to").select("i", "to", F.col("v").alias("carried")).join(labels.select(F.col("i").alias("to"), F.col("v").alias("top")), "to")
+        labels = settled(labels.join(at_heads.select("i", F.least("carried", "top").alias("least")), "i", "left").select("i", F.least("v", "least").alias("v")))
+    return labels
+
+
+def _heads(pointers: DataFrame, n: int) -> DataFrame:
+    """(i, to, v): where following pointers (i, to, v) ends, and the least v on the way, i's among them.
+
+    Ends have no pointer. A circle ends at none: each of its vertices has its
+    least value after enough steps, and so points to itself, as its own head.
+    """
+    pointers = pointers.withColumn("ended", F.lit(False))
+    for _ in range(max(1, n).bit_length() + 1):
+        ahead = pointers.select(F.col("i").alias("to"), F.col("to").alias("next"), F.col("v").alias("more"), F.col("ended").alias("over"))
+        pointers = settled(pointers.join(ahead, "to", "left").select("i", F.coalesce("next", "to").alias("to"), F.least("v", "more").alias("v"), (F.col("next").isNull() | F.col("ended") | F.coalesce("over", F.lit(True))).alias("ended")))
+        if not pointers.where("not ended").limit(1).count():
+            return pointers.select("i", "to", "v")
+    return pointers.select("i", F.when(F.col("ended"), F.col("to")).otherwise(F.col("i")).alias("to"), "v")
 
 
 def _counted(adj: Matrix) -> Matrix:

@@ -13,27 +13,23 @@ from ..config import config
 from ..errors import GraphError
 from ..functions.algebra import SEMIRINGS, Semiring, resolve_semiring, summed
 from ..operators.containers import Matrix
-from ..checkpoints import settled
+from ..checkpoints import Layers, Rounds
 from .iterate import changed
+from .sizes import Sizes, best_order, measure
 
 
 #: Names of the built-in semirings whose products may be bracketed anyhow.
 DISTRIBUTIVE = {"plus_times", "plus_times_fp64", "max_plus", "max_plus_fp64", "min_plus", "min_plus_fp64", "max_min", "max_min_fp64", "lor_land", "land_lor"}
 
 
-def _joined_rows(a: Matrix, b: Matrix) -> int:
-    """Rows of the join that a product is made of, from the counts of its inner index."""
-    left = a.df.groupBy(F.col("j").alias("k")).agg(F.count("*").alias("x"))
-    right = b.df.groupBy(F.col("i").alias("k")).agg(F.count("*").alias("y"))
-    return left.join(right, "k").agg(F.sum(F.col("x").cast("decimal(38,0)") * F.col("y"))).first()[0] or 0
-
-
 @dataclass(frozen=True)
 class Relation:
     """size entities, and an adjacency matrix for each predicate."""
 
     size: int
     predicates_: dict[str, Matrix] = field(default_factory=dict)
+    #: What measured() has found; a predicate that changes loses it.
+    sizes: dict[str, Sizes] = field(default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def new(size: int) -> "Relation":
@@ -48,7 +44,7 @@ class Relation:
         return self.predicates_[predicate]
 
     def with_matrix(self, predicate: str, matrix: Matrix) -> "Relation":
-        return Relation(self.size, self.predicates_ | {predicate: matrix})
+        return Relation(self.size, self.predicates_ | {predicate: matrix}, {p: s for p, s in self.sizes.items() if p != predicate})
 
     def add_triples(self, spark: SparkSession, predicate: str, pairs: Iterable[tuple[int, int]]) -> "Relation":
         """Add (subject, object) edges; adding one twice changes nothing."""
@@ -69,54 +65,115 @@ class Relation:
             new = old.cast(new.dtype).ewise_add(new, "lor" if new.dtype == "bool" else "plus")
         return self.with_matrix(predicate, new)
 
+    def measured(self) -> "Relation":
+        """The same relation with the sizes of its matrices (see Sizes), a job for each that has none yet."""
+        sizes = {p: self.sizes.get(p) or measure(m) for p, m in self.predicates_.items()}
+        return Relation(self.size, self.predicates_, sizes)
+
     def traverse(self, path: list[str], semiring: str | Semiring = "lor_land") -> Matrix:
-        """The product of the path's matrices, as one plan.
+        """The product of the path's matrices, as one plan, without a job.
 
         A single predicate gives its matrix; bool becomes 0 and 1 where the
-        semiring counts. Of three hops or more the last two are multiplied
-        first if that joins fewer rows (two jobs count them) and multiply
-        distributes over add, so that the order changes nothing but rounding.
+        semiring counts. If multiply distributes over add, so that brackets
+        change nothing but rounding, and measured() knows all sizes, dynamic
+        programming over all ways to bracket the path picks the one that joins
+        the fewest rows; else products are made from the left.
         """
         if not path:
             raise GraphError("empty_predicate_path")
         sr = resolve_semiring(semiring)
         matrices = [self.matrix(p) for p in path]
-        if len(path) > 2 and sr.name in DISTRIBUTIVE and sr == SEMIRINGS[sr.name] and _joined_rows(matrices[-2], matrices[-1]) < _joined_rows(matrices[0], matrices[1]):
-            out = matrices[-1]
-            for m in reversed(matrices[:-1]):
-                out = m.mxm(out, sr)
+        sizes = [self.sizes.get(p) for p in path]
+        if len(path) < 3 or None in sizes or sr.name not in DISTRIBUTIVE or sr != SEMIRINGS[sr.name]:
+            out = matrices[0]
+            for m in matrices[1:]:
+                out = out.mxm(m, sr)
             return out
-        out = matrices[0]
-        for m in matrices[1:]:
-            out = out.mxm(m, sr)
-        return out
-
-    def closure(self, predicate: str, semiring: str | Semiring = "lor_land", *, max_iter: int | None = None) -> tuple[Matrix, dict]:
-        """P <- P + P * A from P = A until P stays: (P, {"iterations", "converged"}).
-
-        The identity is not part of it. An idempotent sum only multiplies what
-        the last round changed, and a round's new values and what they replace
-        come from one aggregate. Any other sums anew each round, so counts grow
-        until max_iter unless A * A is empty, and may overflow.
+
+        def product(order) -> Matrix:
+            return matrices[order] if isinstance(order, int) else product(order[0]).mxm(product(order[1]), sr)
+
+        return product(best_order(sizes))
+
+    def closure(self, predicate: str, semiring: str | Semiring = "lor_land", *, max_iter: int | None = None, run: str | None = None) -> tuple[Matrix, dict]:
+        """All paths of one edge and more, summed: (P, {"iterations", "converged"}).
+
+        The identity is not part of it. Where add is idempotent, multiply
+        distributes over it and max_iter is not given, paths double in length
+        each round (_doubled), until nothing changes. Else P <- P + P * A is
+        repeated from P = A, max_iter times at most: an idempotent sum only
+        multiplies what the last round changed; any other sums anew each round,
+        so counts grow until max_iter unless A * A is empty, and may overflow.
+        run names a loop that goes on where it was cut off (see Rounds).
         """
         sr = resolve_semiring(semiring)
         a = self.matrix(predicate).cast(sr.type)
-        a = Matrix(a.df.persist(), a.nrows, a.ncols, a.dtype)
+        if max_iter is None and sr.idempotent and sr.name in DISTRIBUTIVE and sr == SEMIRINGS[sr.name]:
+            return _doubled(a, sr, run)
+        a = a.persist()
         limit = config.max_iter if max_iter is None else max_iter
-        now, info = settled(a.df.withColumn("old", F.lit(None).cast(a.df.schema["v"].dataType))), {"iterations": limit, "converged": False}
+        rounds = Rounds(a.spark, run)
+        now, info = rounds.last(), {"iterations": limit, "converged": False}
+        if now is None:
+            now = rounds.settled(a.df.withColumn("old", F.lit(None).cast(a.df.schema["v"].dataType)))
         fresh = ~F.col("v").eqNullSafe(F.col("old"))
-        for k in range(limit):
+        for k in range(rounds.number, limit):
             part = now.where(fresh) if sr.idempotent else now
             terms = Matrix(part.select("i", "j", "v"), a.nrows, a.ncols, sr.type)._terms(a, sr)
-            if sr.idempotent:
-                rows = now.select("i", "j", "v", F.col("v").alias("old")).unionByName(terms.withColumn("old", F.lit(None).cast(now.schema["v"].dataType)))
-                now = settled(rows.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"), sr.monoid.aggregate(F.col("old")).alias("old")))
+            none = F.lit(None).cast(now.schema["v"].dataType)
+            if isinstance(sr.add, str):
+                rows = now.select("i", "j", "v", F.col("v").alias("old")).unionByName(terms.withColumn("old", none))
+                # old has one value a position, the greatest of it and nulls
+                now = rounds.settled(rows.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"), F.max("old").alias("old")))
                 stays = not now.where(fresh).limit(1).count()
             else:
-                new = settled(summed(now.select("i", "j", "v").unionByName(terms), ["i", "j"], sr.monoid, sr.type))
+                new = rounds.settled(summed(now.select("i", "j", "v").unionByName(terms), ["i", "j"], sr.monoid, sr.type))
                 stays, now = not changed(now, new, ["i", "j"], sr.type, 0.0), new
             if stays:
                 info = {"iterations": k + 1, "converged": True}
                 break
-        a.df.unpersist()
+        a.unpersist()
         return Matrix(now.select("i", "j", "v"), a.nrows, a.ncols, sr.type), info
+
+
+def _doubled(a: Matrix, sr: Semiring, run: str | None) -> tuple[Matrix, dict]:
+    """The closure of a where add picks one of two values, by paths of 1, 2, 4 ... edges.
+
+    A round joins what the last one found or improved with all that is known:
+    of a best path of more than k edges, k the edges that a round reached, the
+    first k are a best path of no fewer, which that round was the first to
+    find. So rounds are the logarithm of the longest best path. A round writes
+    what it found as a layer of its own; values that a later layer improves are
+    carried along, which does no harm to such sums, until they are a third of
+    all rows and layers are put together. A best path has fewer edges than
+    there are vertices, so what still changes then never settles.
+    """
+    spark, limit = a.spark, max(1, a.nrows).bit_length() + 1
+    layers = Layers(spark, run)
+    if not layers.count:
+        layers.append(a.df.select("i", "j", "v"))
+    known = lambda: layers.all().select("i", F.col("j"), "v")
+    better = {"min": F.col("v") < F.col("old"), "max": F.col("v") > F.col("old"), "lor": F.col("v") & ~F.col("old"), "land": ~F.col("v") & F.col("old")}[sr.add]
+    info = {"iterations": limit, "converged": False}
+    while layers.rounds <= limit:
+        fresh = Matrix(layers.last().select("i", "j", "v"), a.nrows, a.ncols, sr.type)
+        terms = fresh._terms(Matrix(known(), a.nrows, a.ncols, sr.type), sr)
+        none = F.lit(None).cast(a.df.schema["v"].dataType)
+        both = summed_pair(known().withColumn("old", F.col("v")).unionByName(terms.withColumn("old", none)), sr)
+        found = both.where(F.col("old").isNull() | better).select("i", "j", "v", F.col("old").isNotNull().alias("improved"))
+        rows, improved = layers.append(found)
+        if not rows:
+            info = {"iterations": layers.rounds - 1, "converged": True}
+            break
+        layers.stale += improved
+        if 3 * layers.stale > layers.rows:
+            layers.compact(lambda df: df.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v")))
+    out = layers.all()
+    if layers.stale:
+        out = out.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"))
+    return Matrix(out.select("i", "j", "v"), a.nrows, a.ncols, sr.type), info
+
+
+def summed_pair(rows: DataFrame, sr: Semiring) -> DataFrame:
+    """(i, j, v, old): the sums of both columns at each position, by one aggregate."""
+    return rows.groupBy("i", "j").agg(sr.monoid.aggregate(F.col("v")).alias("v"), sr.monoid.aggregate(F.col("old")).alias("old"))

@@ -137,7 +137,7 @@ def _mask_query(name: str, complement: bool, by_value: bool) -> None:
 
     @register(name, f"WITH {_PRODUCT} SELECT p.i, p.j, p.v FROM p WHERE {test} (SELECT 1 FROM m WHERE m.i = p.i AND m.j = p.j{' AND m.v <> 0' if by_value else ''})")
     def query(spark, sf_dir):
-        g = graphs.nation_trade(spark, sf_dir)
+        g = graphs.nation_trade(spark, sf_dir).persist()
         mean = g.df.agg(F.avg("v").alias("mean"))
         at = Matrix(g.df.crossJoin(F.broadcast(mean)).where("v > mean").select("i", "j", (F.col("v") % 3).alias("v")), 25, 25, "int64")
         return g.mxm(g, mask=Mask(at, complement), descriptor=Descriptor(mask="value" if by_value else "structural")).df
@@ -147,6 +147,28 @@ for _suffix, _c, _v in (("struct", False, False), ("comp", True, False), ("value
     _mask_query(f"mxm_mask_{_suffix}", _c, _v)
 
 
+@register("mxm_mask_first", f"WITH {G3}, n AS (SELECT x.s_suppkey AS i, y.s_suppkey AS j FROM supplier x JOIN supplier y USING (s_nationkey)) SELECT n.i, n.j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM n JOIN g3 a ON a.i = n.i JOIN g3 b ON b.i = n.j AND b.j = a.j GROUP BY n.i, n.j")
+def mxm_mask_first(spark, sf_dir):
+    """S * S^T for suppliers of one nation alone, whose pairs are a small part of all."""
+    s = _dense_source(spark, sf_dir)
+    return s.mxm(s, mask=Mask(graphs.neighbours(spark, sf_dir)), descriptor=Descriptor(inp1=True)).df
+
+
+def _wide_product(name: str, sr: Semiring) -> None:
+    value, times = _value("v", sr.type), PAIR[sr.multiply].format(a="a.v", b="b.v")
+
+    @register(f"mxm_nations_{name}", f"WITH {G3}, t AS (SELECT i, j, {value} AS v FROM g3), l AS (SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, {_value('(1 + s_suppkey % 9)', sr.type)} AS v FROM supplier) SELECT a.j AS i, b.j, CAST({SUMS[sr.add].format(v=times)} AS {CASTS[sr.type]}) AS v FROM l a JOIN t b ON a.i = b.i GROUP BY a.j, b.j")
+    def query(spark, sf_dir):
+        """nation x part over the suppliers, whose matrix is read transposed."""
+        supplier, s = graphs.table(spark, sf_dir, "supplier"), _dense_source(spark, sf_dir)
+        at = Matrix.from_df(supplier, s.nrows, 25, "s_suppkey", "s_nationkey", F.col("s_suppkey") % 9 + 1, "int64", unique=True)
+        return _as(at, sr.type).mxm(_as(s, sr.type), sr, descriptor=Descriptor(inp0=True)).df
+
+
+for _name in ("min_plus", "max_min", "lor_land", "land_lor"):
+    _wide_product(_name, SEMIRINGS[_name])
+
+
 @register("reduce_mask", f"WITH {G3}, {U3} SELECT i, CAST(SUM(v) AS BIGINT) AS v FROM g3 WHERE i NOT IN (SELECT i FROM u3) GROUP BY i")
 def reduce_mask(spark, sf_dir):
     return _dense_source(spark, sf_dir).reduce(mask=Mask.of_complement(_vectors(spark, sf_dir)[0])).df
@@ -375,6 +397,15 @@ def connected_components_directed(spark, sf_dir):
     return algorithms.connected_components(graphs.part_pointer(spark, sf_dir), undirected=False).df
 
 
+_CHAIN = "e AS (SELECT event_id, user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)"
+
+
+@register("connected_components_chains", f"WITH {_CHAIN}, n AS (SELECT MAX(event_id) + 1 AS n FROM events) SELECT k AS i, COALESCE(v, k) AS v FROM n, range(0, (SELECT n FROM n)) t(k) LEFT JOIN (SELECT event_id, MIN(event_id) OVER (PARTITION BY user_id ORDER BY r) AS v FROM e) ON event_id = k")
+def connected_components_chains(spark, sf_dir):
+    """The least event that leads to each event of a user."""
+    return algorithms.connected_components(graphs.event_chain(spark, sf_dir), undirected=False).df
+
+
 @register("degree_out", f"WITH {G2} SELECT i, CAST(SUM(v) AS BIGINT) AS v FROM g2 GROUP BY i")
 def degree_out(spark, sf_dir):
     return algorithms.degree(graphs.user_succession(spark, sf_dir, "int64"))["out_degree"].df
@@ -437,12 +468,25 @@ _path_query("traverse_widest", ["quantity", "shipped"], "max_min", "BIGINT", "MA
 _path_query("traverse_cheapest", ["quantity", "shipped"], "min_plus", "BIGINT", "MIN(b.q + u.q)")
 
 
+@register("traverse_regions", f"WITH {_B}, nn AS (SELECT COUNT(*) AS m FROM nation), {_BOUGHT}, {_SUPPLIED} SELECT b.i, CAST(n.n_regionkey + c + p + s + m AS BIGINT) AS j, CAST(COUNT(*) AS BIGINT) AS v FROM bought b JOIN supplied u ON b.j = u.i JOIN supplier ON u.j = s_suppkey JOIN nation n ON s_nationkey = n_nationkey, nc, np, ns, nn GROUP BY ALL")
+def traverse_regions(spark, sf_dir):
+    """Four hops, bracketed by the sizes of their matrices."""
+    return graphs.trade_relation(spark, sf_dir, regions=True).measured().traverse(["bought", "supplied_by", "located_in", "part_of"], "plus_times").df
+
+
 @register("closure_lor_land", f"WITH RECURSIVE {G5}, c(i, j) AS (SELECT i, j FROM g5 UNION SELECT c.i, g5.j FROM c JOIN g5 ON c.j = g5.i) SELECT i, j, TRUE AS v FROM c")
 def closure_lor_land(spark, sf_dir):
     g = graphs.part_pointer(spark, sf_dir)
     return graphs.Relation.new(g.nrows).with_matrix("p", g).closure("p", "lor_land")[0].df
 
 
+@register("closure_events", f"WITH {_CHAIN} SELECT a.event_id AS i, b.event_id AS j, TRUE AS v FROM e a JOIN e b USING (user_id) WHERE a.r < b.r")
+def closure_events(spark, sf_dir):
+    """Which event comes before which, of one user: paths of up to a hundred hops."""
+    g = graphs.event_chain(spark, sf_dir)
+    return graphs.Relation.new(g.nrows).with_matrix("next", g).closure("next")[0].df
+
+
 _PATHS = ", ".join(f"c{k + 1} AS (SELECT i, j, MIN(v) AS v FROM (SELECT * FROM c{k} UNION ALL SELECT a.i, b.j, a.v + b.v FROM c{k} a JOIN c0 b ON a.j = b.i) GROUP BY ALL)" for k in range(30))
 
 

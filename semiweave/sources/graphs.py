@@ -85,7 +85,7 @@ def supplier_part(spark: SparkSession, sf_dir: str, where: str | None = None, dt
     line = table(spark, sf_dir, "lineitem")
     line = line.where(where) if where else line
     nrows, ncols = table(spark, sf_dir, "supplier").count(), table(spark, sf_dir, "part").count()
-    return Matrix.from_df(line, nrows, ncols, "l_suppkey", "l_partkey", "l_quantity", dtype, combine=combine, check=False)
+    return Matrix.from_df(line, nrows, ncols, "l_suppkey", "l_partkey", "l_quantity", dtype, combine=combine, scattered=True)
 
 
 def undirected(matrix: Matrix) -> Matrix:
@@ -102,20 +102,39 @@ def part_pointer(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix.from_df(part, n, n, "p_partkey", "p_size", F.lit(True), "bool", unique=True, check=False)
 
 
-def trade_relation(spark: SparkSession, sf_dir: str) -> Relation:
+def event_chain(spark: SparkSession, sf_dir: str) -> Matrix:
+    """event -> the same user's next event in time."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    n = (events.agg(F.max("event_id")).first()[0] or -1) + 1
+    chained = events.withColumn("next", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("next is not null")
+    return Matrix.from_df(chained, n, n, "event_id", "next", F.lit(True), "bool", unique=True)
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> Matrix:
+    """supplier x supplier: the pairs of one nation, as true."""
+    supplier = table(spark, sf_dir, "supplier")
+    n, other = supplier.count(), supplier.select(F.col("s_suppkey").alias("other"), "s_nationkey")
+    pairs = supplier.select("s_suppkey", "s_nationkey").join(other, "s_nationkey")
+    return Matrix.from_df(pairs, n, n, "s_suppkey", "other", F.lit(True), "bool", unique=True)
+
+
+def trade_relation(spark: SparkSession, sf_dir: str, regions: bool = False) -> Relation:
     """bought: customer -> part, supplied_by: part -> supplier, located_in: supplier -> nation.
 
     quantity is bought, and shipped is supplied_by, weighted with quantities.
+    With regions also part_of: nation -> region.
 
-    Entities are numbered in one range: customers, then parts, suppliers, nations.
+    Entities are numbered in one range: customers, then parts, suppliers, nations, regions.
     """
-    sizes = [table(spark, sf_dir, t).count() for t in ("customer", "part", "supplier", "nation")]
-    at_part, at_supplier, at_nation = sizes[0], sum(sizes[:2]), sum(sizes[:3])
+    sizes = [table(spark, sf_dir, t).count() for t in ("customer", "part", "supplier", "nation", *(["region"] if regions else []))]
+    at_part, at_supplier, at_nation, at_region = (sum(sizes[:k]) for k in range(1, 5))
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("s"), (F.col("l_partkey") + at_part).alias("o"), F.col("l_quantity").cast("long").alias("q"))
     supplied = line.select((F.col("l_partkey") + at_part).alias("s"), (F.col("l_suppkey") + at_supplier).alias("o"), F.col("l_quantity").cast("long").alias("q"))
     located = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + at_supplier).alias("s"), (F.col("s_nationkey") + at_nation).alias("o"))
     rel = Relation.new(sum(sizes)).add_df("bought", bought, "s", "o").add_df("supplied_by", supplied, "s", "o").add_df("located_in", located, "s", "o")
+    if regions:
+        rel = rel.add_df("part_of", table(spark, sf_dir, "nation").select((F.col("n_nationkey") + at_nation).alias("s"), (F.col("n_regionkey") + at_region).alias("o")), "s", "o")
     return rel.add_df("quantity", bought, "s", "o", "q", "int64").add_df("shipped", supplied, "s", "o", "q", "int64")
 
 

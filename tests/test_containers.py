@@ -149,7 +149,7 @@ def test_from_df(spark):
     with pytest.raises(GraphError, match="nulls"):
         Matrix.from_df(df, 2, 2, "a", "b", "c", check=True)
     # without a job of its own, where rows are read
-    for wrong in ("b is null", "a = 5"):
+    for wrong in ("b is null", "a = 5", "a = 1"):
         with pytest.raises(Exception, match="index_out_of_bounds"):
             Matrix.from_df(df.where(wrong), 2, 2, "a", "b", "c").nvals()
     with pytest.raises(Exception, match="index_out_of_bounds"):
@@ -224,3 +224,75 @@ def test_registries():
     assert [type_size(t) for t in ("bool", "int16", "fp32", "uint64")] == [1, 2, 4, 8]
     assert Scalar.zero("min_fp64").value == 1.7976931348623157e308 and Scalar.zero("max").value == -(2**63)
     assert sw.info()["engine"] == "spark"
+
+
+@pytest.mark.parametrize("row", [(None, 1, 1), (1, None, 1), (1, 1, None), (9, 1, 1), (1, -1, 1)])
+@pytest.mark.parametrize("unique", [True, False])
+def test_wrong_rows_fail_in_every_plan(spark, row, unique):
+    df = spark.createDataFrame([(0, 0, 5), (0, 1, 6), row], "i long, j long, v long")
+    bad = Matrix.from_df(df, 2, 2, unique=unique)
+    good = Matrix.from_coo(spark, 2, 2, [(0, 0, 1), (1, 1, 1)])
+    vector = Vector.from_entries(spark, 2, [(0, 2)])
+    uses = [
+        lambda: bad.mxv(vector).entries(), lambda: vector.vxm(bad).entries(), lambda: bad.mxm(good).entries(), lambda: good.ewise_mult(bad).entries(), lambda: bad.extract(0, 0), lambda: bad.nvals(),
+        lambda: bad.df.where("v > 5").collect(), lambda: bad.df.where("i = 0 and j = 0").collect(), lambda: good.ewise_mult(good, mask=Mask(bad)).entries(), lambda: bad.reduce().entries(), lambda: bad.df.where("i = 1").select("j").collect(),
+    ]
+    for use in uses:
+        with pytest.raises(Exception, match="index_out_of_bounds"):
+            use()
+
+
+@pytest.mark.parametrize("name", ["plus_times", "min_plus_fp64", "lor_land"])
+def test_masked_products_form_no_other_term(spark, name, monkeypatch):
+    from semiweave.operators import containers
+
+    sr, rng = sw.SEMIRINGS[name], random.Random(name)
+    a, b = draw(rng, 30, 30, sr.type, 300), draw(rng, 30, 30, sr.type, 300)
+    at = {(rng.randrange(30), rng.randrange(30)): rng.randrange(2) for _ in range(25)}
+    full, terms, through = product(a, b, sr), [], containers.through_mask
+    monkeypatch.setattr(containers, "through_mask", lambda *x: terms.append(through(*x)) or terms[-1])
+    m, ma, mb = matrix(spark, at, 30, 30, "int64"), matrix(spark, a, 30, 30, sr.type), matrix(spark, b, 30, 30, sr.type)
+    assert got(ma.mxm(mb, name, mask=Mask(m))) == {p: v for p, v in full.items() if p in at}
+    assert terms[0].count() == sum(k == k2 and (i, j) in at for i, k in a for k2, j in b)
+    assert got(ma.mxm(mb, name, mask=Mask(m), descriptor=Descriptor(mask="value"))) == {p: v for p, v in full.items() if at.get(p)}
+    # a mask of nearly all positions is no place to start from
+    wide = matrix(spark, {(i, j): 1 for i in range(30) for j in range(29)}, 30, 30, "int64")
+    assert got(ma.mxm(mb, name, mask=Mask(wide))) == {p: v for p, v in full.items() if p[1] < 29} and len(terms) == 2
+    assert got(ma.mxm(mb, name, mask=Mask(Matrix.new(spark, 30, 30)))) == {}
+
+
+def test_a_heavy_inner_index_is_dealt_to_a_grid(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from semiweave.operators.products import spread
+
+    n, limit = 1_000_000, 100_000
+    left = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") % 10 == 0, F.col("id") % 1000).otherwise(7).alias("k"), F.lit(1).cast("long").alias("x"))
+    right = spark.range(3000).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("j"), F.lit(1).cast("long").alias("y"))
+    # equal rows of one part stay together, and a task's share of the index is about the limit
+    spread_out = spread(left, right.where("k < 1000"), limit)
+    shares = spread_out.where("k = 7").groupBy(F.pmod(F.xxhash64("i", "x"), F.lit(10))).count().collect()
+    assert spread_out.count() == n and max(r["count"] for r in shares) < 1.1 * limit
+    assert "aat_" in spread_out._jdf.queryExecution().optimizedPlan().toString()
+    rng, few = random.Random(2), {}
+    a = {(rng.randrange(60), 0 if rng.random() < 0.7 else rng.randrange(9)): rng.randrange(1, 9) for _ in range(90)}
+    b = {(0 if rng.random() < 0.7 else rng.randrange(9), rng.randrange(60)): rng.randrange(1, 9) for _ in range(90)}
+    sr = sw.SEMIRINGS["plus_times"]
+    monkeypatch.setattr(sw.config, "heavy_index", 5)
+    ma, mb = matrix(spark, a, 60, 9, "int64"), matrix(spark, b, 9, 60, "int64")
+    assert got(ma.mxm(mb)) == product(a, b, sr)
+    v = {k: 1 + k for k in range(9)}
+    assert got(ma.mxv(Vector.from_entries(spark, 9, list(v.items())))) == {i: x for (i, _), x in product(a, {(k, 0): x for k, x in v.items()}, sr).items()}
+    assert got(Vector.from_entries(spark, 9, list(v.items())).vxm(mb)) == {j: x for (_, j), x in product({(0, k): x for k, x in v.items()}, b, sr).items()}
+
+
+def test_scattered_rows_are_combined_where_they_join(spark):
+    rows = spark.createDataFrame([(k % 7, k % 5, k) for k in range(60)], "i long, j long, v long")
+    a, plain = (Matrix.from_df(rows, 7, 5, scattered=s) for s in (True, False))
+    for op in (lambda m: m.mxm(m, descriptor=Descriptor(inp1=True)), lambda m: m.mxm(m, "min_plus_fp64", descriptor=Descriptor(inp0=True)), lambda m: m.apply("negate_int").mxm(m.transpose()), lambda m: m.set(0, 0, 9).T.mxm(m)):
+        assert got(op(a)) == got(op(plain))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = a.mxm(a, descriptor=Descriptor(inp1=True)).df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the sides' exchanges by the inner index, and that of the sum
+    assert plan.count("Exchange hashpartitioning") == 3

@@ -192,3 +192,172 @@ def test_cycles_of_negative_weight_are_an_error(spark):
     with pytest.raises(GraphError, match="negative"):
         sw.sssp(a, 0)
     assert dict(sw.sssp(a, 0, max_iter=2).entries()) == {0: 0.0, 1: 1.0, 2: -2.0}
+
+
+def closure_of(edges, add, times):
+    """By trying all paths until nothing changes."""
+    found = dict(edges)
+    while True:
+        new = dict(found)
+        for (i, k), x in found.items():
+            for (k2, j), y in edges.items():
+                if k == k2:
+                    v = times(x, y)
+                    new[(i, j)] = add(new[(i, j)], v) if (i, j) in new else v
+        if new == found:
+            return found
+        found = new
+
+
+@pytest.mark.parametrize("semiring, add, times", [("min_plus", min, lambda a, b: a + b), ("max_min", max, min), ("lor_land", lambda a, b: a or b, lambda a, b: a and b), ("land_lor", lambda a, b: a and b, lambda a, b: a or b)])
+def test_closures_by_doubling(spark, semiring, add, times):
+    rng = random.Random(semiring)
+    dtype = "bool" if semiring in ("lor_land", "land_lor") else "int64"
+    edges = {(rng.randrange(14), rng.randrange(14)): rng.random() < 0.5 if dtype == "bool" else rng.randrange(1, 40) for _ in range(26)}
+    rel = Relation.new(14).with_matrix("p", Matrix.from_coo(spark, 14, 14, [(*e, v) for e, v in edges.items()], dtype))
+    found, info = rel.closure("p", semiring)
+    assert {(i, j): v for i, j, v in found.entries()} == closure_of(edges, add, times) and info["converged"]
+
+
+def test_closure_of_a_long_path_takes_few_rounds(spark):
+    n = 150
+    rel = Relation.new(n).with_matrix("p", graphs.chain(spark, n))
+    found, info = rel.closure("p")
+    assert found.nvals() == n * (n - 1) // 2 and info == {"iterations": 9, "converged": True}
+    falling = Matrix.from_coo(spark, 3, 3, [(0, 1, 1), (1, 0, -3)], "int64")
+    assert not Relation.new(3).with_matrix("p", falling).closure("p", "min_plus")[1]["converged"]
+
+
+def test_closure_goes_on_where_it_was_cut_off(spark, monkeypatch):
+    from semiweave import checkpoints
+
+    n = 40
+    rel = Relation.new(n).with_matrix("p", graphs.chain(spark, n))
+    run, append, calls = f"cut-{random.random()}", checkpoints.Layers.append, []
+
+    def failing(self, df):
+        calls.append(1)
+        if len(calls) == 4:
+            raise KeyboardInterrupt
+        return append(self, df)
+
+    monkeypatch.setattr(checkpoints.Layers, "append", failing)
+    with pytest.raises(KeyboardInterrupt):
+        rel.closure("p", run=run)
+    assert rel.closure("p", run=run)[0].nvals() == n * (n - 1) // 2
+    # three rounds were there, and the rest was made once
+    assert len(calls) == 4 + 5
+    checkpoints.forget_run(spark, run)
+    assert checkpoints.Layers(spark, run).count == 0
+
+
+@pytest.mark.parametrize("semiring", ["plus_times", "min_plus", "lor_land"])
+def test_brackets_by_sizes(spark, semiring, monkeypatch):
+    from semiweave.plans import relations, sizes
+
+    rng = random.Random(semiring)
+    rel = Relation.new(30)
+    for name, rows, cols in (("a", 30, 30), ("b", 30, 30), ("c", 30, 2), ("d", 2, 30)):
+        rel = rel.add_weighted_triples(spark, name, {(rng.randrange(rows), rng.randrange(cols)): 0 for _ in range(150)} and [(i, j, 1 + (i + j) % 5) for i, j in {(rng.randrange(rows), rng.randrange(cols)) for _ in range(150)}])
+    measured, orders = rel.measured(), []
+    monkeypatch.setattr(relations, "best_order", lambda s: orders.append(sizes.best_order(s)) or orders[-1])
+    for path in ("abcd", "dabc", "cda", "abab"):
+        assert measured.traverse(list(path), semiring).entries() == rel.traverse(list(path), semiring).entries()
+    # the narrow matrix is met first
+    assert orders[0] == ((0, (1, 2)), 3) and len(orders) == 4
+    s = measured.sizes["a"]
+    assert s.nvals == rel.matrix("a").nvals() and s.rows.reach == 1 and sum(s.rows.counts.values()) == s.nvals
+    assert round(s.cols.joined(measured.sizes["b"].rows)) == len([1 for _, j, _ in rel.matrix("a").entries() for i, _, _ in rel.matrix("b").entries() if i == j])
+
+
+def test_samples_merge_and_estimate(monkeypatch):
+    from semiweave.plans import sizes
+
+    monkeypatch.setattr(sizes, "SAMPLE", 500)
+    rng = random.Random(1)
+    hashes = [rng.randrange(sizes.SPAN) for _ in range(20_000)]
+    x, y = {h: rng.randrange(1, 9) for h in hashes}, {h: rng.randrange(1, 9) for h in hashes[5_000:]}
+    a, b = sizes.Sample.of(x), sizes.Sample.of(y)
+    halves = [sizes.Sample.of({h: n for h, n in x.items() if h % 2 == k}) for k in (0, 1)]
+    merged = halves[0].merge(halves[1])
+    assert all(x[h] == n for h, n in merged.counts.items())
+    for sample in (a, merged):
+        assert sample.distinct() == pytest.approx(20_000, rel=0.15)
+        assert sample.joined(b) == pytest.approx(sum(n * y.get(h, 0) for h, n in x.items()), rel=0.2)
+
+
+def test_triangles_of_any_matrix_equal_the_product(spark):
+    rng = random.Random(12)
+    for loops, symmetric in ((True, False), (False, True), (True, True)):
+        edges = {(rng.randrange(18), rng.randrange(18)) for _ in range(110)}
+        edges = {(i, j) for i, j in edges if loops or i != j}
+        edges |= {(j, i) for i, j in edges} if symmetric else set()
+        low = {(i, j) for i, j in edges if i > j}
+        terms = sum((k, j) in edges and (i, j) in low for i, k in low for j in range(18))
+        assert sw.triangle_count(bools(spark, 18, sorted(edges))) == terms // 2
+
+
+def test_wedges_of_a_star_are_few(spark):
+    n = 3000
+    edges = [(0, k) for k in range(1, n)] + [(1, k) for k in range(2, n)]
+    found = spark.createDataFrame([(max(e), min(e), True, True) for e in edges], "a long, b long, low boolean, up boolean")
+    wedges = algorithms._wedges(algorithms._oriented(found), 10)
+    assert wedges.count() == n - 2
+    assert sw.triangle_count(bools(spark, n, both_ways(edges))) == n - 2
+
+
+def test_directed_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds, heads = [], algorithms.settled
+    monkeypatch.setattr(algorithms, "settled", lambda df: rounds.append(1) or heads(df))
+    n = 10_000
+    back = Matrix(spark.range(1, n).selectExpr("id as i", "id - 1 as j", "true as v"), n, n, "bool")
+    assert sw.connected_components(back, undirected=False).df.where("v <> i").count() == 0
+    assert len(rounds) <= 30
+    assert sw.connected_components(graphs.chain(spark, n), undirected=False).df.where("v <> 0").count() == 0
+
+
+def test_circles_with_branches(spark):
+    # a circle 5-6-7 with a branch from it, another circle through a vertex of two in-edges, and a loop
+    edges = [(5, 6), (6, 7), (7, 5), (6, 1), (1, 8), (3, 2), (2, 4), (4, 3), (0, 4), (9, 9), (8, 4)]
+    reach = {v: {v} for v in range(10)}
+    for _ in range(10):
+        for i, j in edges:
+            reach[j] |= reach[i]
+    assert dict(sw.connected_components(bools(spark, 10, edges), undirected=False).entries()) == {v: min(x) for v, x in reach.items()}
+
+
+def test_a_negative_cycle_is_found_within_its_length(spark, monkeypatch):
+    from semiweave import checkpoints
+
+    rounds, settled = [], checkpoints.Rounds.settled
+    monkeypatch.setattr(checkpoints.Rounds, "settled", lambda self, df: rounds.append(1) or settled(self, df))
+    n = 400
+    edges = [(k, k + 1, 1.0) for k in range(n - 1)] + [(4, 2, -9.0)]
+    with pytest.raises(GraphError, match="negative"):
+        sw.sssp(Matrix.from_coo(spark, n, n, edges, "fp64"), 0)
+    assert len(rounds) < 20
+
+
+def test_paths_go_on_where_they_were_cut_off(spark, monkeypatch):
+    from semiweave import checkpoints
+
+    n, run = 12, f"cut-{random.random()}"
+    a = Matrix.from_coo(spark, n, n, [(k, k + 1, 1.0) for k in range(n - 1)], "fp64")
+    settled, calls, kept = checkpoints.Rounds.settled, [], []
+
+    def failing(self, df):
+        calls.append(1)
+        if len(calls) == 4:
+            raise KeyboardInterrupt
+        out = settled(self, df)
+        kept.append(len(checkpoints._complete(spark, self.folder)))
+        return out
+
+    monkeypatch.setattr(checkpoints.Rounds, "settled", failing)
+    with pytest.raises(KeyboardInterrupt):
+        sw.sssp(a, 0, run=run)
+    assert sw.sssp(a, 0, run=run).entries() == [(k, float(k)) for k in range(n)]
+    # the source, eleven rounds that found a vertex and one that found none, without those before the cut
+    assert len(calls) == 4 + 13 - 3 and max(kept) == 2
+    checkpoints.forget_run(spark, run)
+    assert checkpoints.Rounds(spark, run).last() is None
