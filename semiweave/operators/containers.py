@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
-from functools import reduce as fold
+from functools import cached_property, reduce as fold
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,17 +84,53 @@ def _check_bounds(df: DataFrame, sizes: dict[str, int]) -> None:
                 raise GraphError("index_out_of_bounds", x, {"i": "row" if len(sizes) > 1 else "index", "j": "col"}[k], size)
 
 
+#: Single entries that wait to be merged; past so many they are, and the result is written.
+PENDING = 50_000
+
+
+class _Log:
+    """Entries set one by one, in order; containers that follow each other share it, each as far as it goes."""
+
+    def __init__(self, entries: list[tuple[tuple[int, ...], Any]]):
+        self.entries = entries
+
+    def then(self, length: int, at: tuple[int, ...], value: Any) -> "_Log":
+        """The log whose first length entries are followed by (at, value)."""
+        log = self if len(self.entries) == length else _Log(self.entries[:length])
+        log.entries.append((at, value))
+        return log
+
+
 class _Container:
-    """What matrices and vectors share."""
+    """What matrices and vectors share.
+
+    base has the entries but those of the log, of which the first pending ones
+    overwrite it, later ones each other.
+    """
 
-    df: DataFrame
+    base: DataFrame
     dtype: str
+    log: _Log | None
+    pending: int
     kind: str
     keys: list[str]
 
+    @cached_property
+    def df(self) -> DataFrame:
+        """The entries (keys, v): base, merged with the log by one anti join and a union."""
+        if not self.pending:
+            return self.base
+        last = self._last()
+        rows = self.spark.createDataFrame([(*at, v) for at, v in last.items()], _schema(self.keys, self.dtype))
+        # PENDING rows at most
+        return self.base.join(F.broadcast(rows.select(*self.keys)), self.keys, "left_anti").select(*self.keys, "v").union(rows)
+
+    def _last(self) -> dict[tuple[int, ...], Any]:
+        return dict(self.log.entries[: self.pending]) if self.pending else {}
+
     @property
     def spark(self) -> SparkSession:
-        return self.df.sparkSession
+        return self.base.sparkSession
 
     def nvals(self) -> int:
         """The number of stored entries, explicit zeros among them; reads positions, so that wrong ones are an error (see from_df)."""
@@ -123,7 +159,7 @@ class _Container:
         return self
 
     def _with_df(self, df: DataFrame, **changes: Any):
-        return replace(self, df=df, **({"raw": None} if self.kind == "matrix" else {}), **changes)
+        return replace(self, base=df, log=None, pending=0, **({"raw": None, "stored": None} if self.kind == "matrix" else {}), **changes)
 
     def _same_shape(self, other) -> None:
         if self.extent != other.extent:
@@ -146,14 +182,17 @@ class _Container:
 
     def _with(self, at: tuple[int, ...], value: Any):
         self._inside(at)
-        here = fold(lambda a, b: a & b, [F.col(k) == x for k, x in zip(self.keys, at)])
-        row = self.spark.createDataFrame([(*at, _value(value, self.dtype))], _schema(self.keys, self.dtype))
-        return self._with_df(self.df.where(~here).union(row))
+        log = (self.log or _Log([])).then(self.pending, at, _value(value, self.dtype))
+        new = replace(self, log=log, pending=self.pending + 1, **({"raw": None, "stored": None} if self.kind == "matrix" else {}))
+        return new if new.pending <= PENDING else self._with_df(settled(new.df))
 
     def _at(self, at: tuple[int, ...]) -> Any:
         self._inside(at)
+        last = self._last()
+        if at in last:
+            return last[at]
         here = fold(lambda a, b: a & b, [F.col(k) == x for k, x in zip(self.keys, at)])
-        return self.df.where(here).agg(F.coalesce(F.first("v"), F.lit(DEFAULTS[self.dtype]))).first()[0]
+        return self.base.where(here).agg(F.coalesce(F.first("v"), F.lit(DEFAULTS[self.dtype]))).first()[0]
 
     def _inside(self, at: tuple[int, ...]) -> None:
         for x, size in zip(at, self.extent):
@@ -180,12 +219,16 @@ def _multiplied(pairs: DataFrame, sr: Semiring, *keys: str) -> DataFrame:
 class Matrix(_Container):
     """df has i, j (long) and v, unique on (i, j) and never null."""
 
-    df: DataFrame
+    base: DataFrame
     nrows: int
     ncols: int
     dtype: str = "int64"
     #: Rows whose combination df is, and how: a product may combine them where it joins them.
     raw: tuple[DataFrame, Monoid] | None = field(default=None, compare=False, repr=False)
+    #: The same entries as tables that are bucketed by i and by j.
+    stored: dict[str, DataFrame] | None = field(default=None, compare=False, repr=False)
+    log: _Log | None = field(default=None, compare=False, repr=False)
+    pending: int = 0
     kind = "matrix"
     keys = ["i", "j"]
 
@@ -234,12 +277,50 @@ class Matrix(_Container):
         return Matrix(summed(df, Matrix.keys, monoid, dtype), nrows, ncols, dtype, (df, monoid) if scattered and plain else None)
 
     def _by(self, index: str, dtype: str) -> DataFrame:
-        """The entries with values of dtype, for a join on index (see from_df's scattered)."""
+        """The entries with values of dtype, for a join on index (see from_df's scattered, and write)."""
+        if self.stored is not None:
+            return self._with_df(self.stored[index]).cast(dtype).df
         if self.raw is None:
             return self.cast(dtype).df
         rows, monoid = self.raw
         return self._with_df(summed(rows.repartition(index), self.keys, monoid, self.dtype)).cast(dtype).df
 
+    def write(self, name: str, buckets: int = 200, path: str | None = None) -> "Matrix":
+        """Store the matrix as two tables, name_i and name_j, and read it from there.
+
+        The first is bucketed and sorted by row, the other by column, so a
+        product of stored matrices with as many buckets joins them as they lie,
+        without a shuffle of either; a product with another matrix shuffles that
+        one alone. A bucket should have some hundred MB. path is a shared folder
+        for the tables' files, else they lie in the warehouse. The tables'
+        properties have the shape, the type and the number of entries.
+        """
+        rows = self.df
+        for index in self.keys:
+            writer = rows.write.format("parquet").mode("overwrite").bucketBy(buckets, index).sortBy(index)
+            (writer.option("path", f"{path}/{name}_{index}") if path else writer).saveAsTable(f"{name}_{index}")
+            rows = self.spark.table(f"{name}_i")
+        facts = {"semiweave.nrows": self.nrows, "semiweave.ncols": self.ncols, "semiweave.type": self.dtype, "semiweave.nvals": rows.count()}
+        listed = ", ".join(f"'{k}' = '{v}'" for k, v in facts.items())
+        for index in self.keys:
+            self.spark.sql(f"ALTER TABLE {name}_{index} SET TBLPROPERTIES ({listed})")
+        return Matrix.read(self.spark, name)
+
+    @staticmethod
+    def read(spark: SparkSession, name: str) -> "Matrix":
+        """A matrix that write has stored."""
+        facts = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}_i").collect()}
+        if "semiweave.type" not in facts:
+            raise GraphError("invalid_argument", f"{name} is no stored matrix")
+        stored = {index: spark.table(f"{name}_{index}") for index in Matrix.keys}
+        return Matrix(stored["i"], int(facts["semiweave.nrows"]), int(facts["semiweave.ncols"]), facts["semiweave.type"], stored=stored)
+
+    @staticmethod
+    def drop(spark: SparkSession, name: str) -> None:
+        """Delete a stored matrix; files outside the warehouse stay."""
+        for index in Matrix.keys:
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{index}")
+
     def to_coo(self) -> DataFrame:
         """Entries in row-major order."""
         return self.df.orderBy("i", "j")
@@ -263,7 +344,8 @@ class Matrix(_Container):
         """Swap i and j: a projection that Catalyst merges into what follows."""
         swap = lambda df: df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
         raw = (swap(self.raw[0]), self.raw[1]) if self.raw is not None and mask is None else None
-        return Matrix(masked(swap(self.df), self.keys, mask, descriptor, self.kind), self.ncols, self.nrows, self.dtype, raw)
+        stored = {"i": swap(self.stored["j"]), "j": swap(self.stored["i"])} if self.stored is not None and mask is None else None
+        return Matrix(masked(swap(self.df), self.keys, mask, descriptor, self.kind), self.ncols, self.nrows, self.dtype, raw, stored)
 
     T = property(transpose)
 
@@ -339,9 +421,11 @@ class Matrix(_Container):
 class Vector(_Container):
     """df has i (long) and v, unique on i and never null."""
 
-    df: DataFrame
+    base: DataFrame
     size: int
     dtype: str = "int64"
+    log: _Log | None = field(default=None, compare=False, repr=False)
+    pending: int = 0
     kind = "vector"
     keys = ["i"]
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpoint_folder
 from .functions.algebra import MONOIDS, SEMIRINGS, Monoid, Semiring
 from .functions.scalar_ops import UNARY
 from .operators.containers import Matrix, Vector
@@ -100,6 +102,24 @@ def supplier_similarity(spark, sf_dir):
     return s.mxm(s, "plus_times", descriptor=Descriptor(inp1=True)).df
 
 
+@register("mxm_stored", f"WITH {G3} SELECT a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM g3 a JOIN g3 b ON a.j = b.j GROUP BY a.i, b.i")
+def mxm_stored(spark, sf_dir):
+    """S * S^T of the stored matrix, whose tables join as they lie."""
+    folder = checkpoint_folder(spark).rstrip("/")
+    s = _dense_source(spark, sf_dir).write(f"supplier_part_{uuid.uuid4().hex}", buckets=8, path=folder)
+    return s.mxm(s, descriptor=Descriptor(inp1=True)).df
+
+
+@register("matrix_set_log", f"WITH {G1} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, v FROM g1 WHERE i <> 3 UNION ALL SELECT 3, k, 2 * k FROM range(25) t(k)")
+def matrix_set_log(spark, sf_dir):
+    """A row overwritten entry by entry, twice."""
+    g = graphs.nation_trade(spark, sf_dir)
+    for times in (1, 2):
+        for k in range(25):
+            g = g.set(3, k, times * k)
+    return g.df
+
+
 @register("mxm_t0", f"WITH {G1} SELECT a.j AS i, b.j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM g1 a JOIN g1 b ON a.i = b.i GROUP BY a.j, b.j")
 def mxm_t0(spark, sf_dir):
     g = graphs.nation_trade(spark, sf_dir)

@@ -7,7 +7,7 @@ import pytest
 
 import semiweave as sw
 from semiweave.functions import algebra
-from semiweave import Descriptor, GraphError, Mask, Matrix, Monoid, Scalar, Semiring, Vector
+from semiweave import Descriptor, GraphError, Mask, Matrix, Monoid, Relation, Scalar, Semiring, Vector
 
 PAIR = {"plus": operator.add, "times": operator.mul, "min": min, "max": max, "land": lambda a, b: a and b, "lor": lambda a, b: a or b, "lxor": operator.ne}
 
@@ -296,3 +296,52 @@ def test_scattered_rows_are_combined_where_they_join(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # the sides' exchanges by the inner index, and that of the sum
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_ten_thousand_entries_set_one_by_one(spark, monkeypatch):
+    from semiweave.operators import containers
+
+    rng, n = random.Random(3), 200
+    a = matrix(spark, {(k, k): k for k in range(n)}, n, n, "int64")
+    expected, before = {(k, k): k for k in range(n)}, None
+    for k in range(10_000):
+        i, j, v = rng.randrange(n), rng.randrange(n), rng.randrange(100)
+        a = a.set(i, j, v)
+        expected[(i, j)] = v
+        if k == 5000:
+            before, then = a, dict(expected)
+    plan = a.df._jdf.queryExecution().optimizedPlan().toString()
+    assert a.nvals() == len(expected) and plan.count("Join") == 1 and plan.count("Union") == 1
+    assert got(a) == expected and got(before) == then
+    assert a.extract(*next(iter(expected))) == expected[next(iter(expected))] and a.extract(0, 0) == expected[(0, 0)]
+    # one that comes after an earlier one doesn't change the later one
+    other = before.set(1, 1, -5)
+    assert other.extract(1, 1) == -5 and got(other) == then | {(1, 1): -5} and got(a) == expected
+    monkeypatch.setattr(containers, "PENDING", 3)
+    v = Vector.new(spark, 9)
+    for k in range(9):
+        v = v.set(k % 5, k)
+    assert v.entries() == [(0, 5), (1, 6), (2, 7), (3, 8), (4, 4)] and v.pending < 4
+    assert got(a.set(0, 1, 7).T) == {(j, i): x for (i, j), x in (expected | {(0, 1): 7}).items()}
+
+
+def test_stored_matrices_join_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(4)
+    entries = {(rng.randrange(40), rng.randrange(30)): rng.randrange(1, 9) for _ in range(300)}
+    a = matrix(spark, entries, 40, 30, "int64")
+    name = f"kept_{rng.randrange(10**9)}"
+    s = a.write(name, buckets=4, path=f"file://{tmp_path}")
+    assert s.shape == (40, 30) and s.dtype == "int64" and got(s) == entries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    products = [s.mxm(s, descriptor=Descriptor(inp1=True)), s.T.mxm(s), s.mxm(s.T)]
+    for p in products:
+        below = p.df._jdf.queryExecution().executedPlan().toString()
+        # the one exchange is that of the sum, above the join
+        assert below.count("Exchange hashpartitioning") == 1 and below.index("Exchange") < below.index("SortMergeJoin")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got(products[0]) == got(a.mxm(a.T)) and got(products[1]) == got(a.T.mxm(a))
+    assert got(s.set(0, 0, 5).mxm(s.T)) == got(a.set(0, 0, 5).mxm(a.T)) and got(s.mxm(s.T, "min_plus_fp64")) == got(a.mxm(a.T, "min_plus_fp64"))
+    assert dict(Relation.new(40).with_matrix("p", Matrix.read(spark, name)).matrix("p").reduce().entries()) == dict(a.reduce().entries())
+    Matrix.drop(spark, name)
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        Matrix.read(spark, name)
