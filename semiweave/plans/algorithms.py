@@ -34,14 +34,18 @@ class _Edges:
 
     def __init__(self, df: DataFrame, heavy: int | None = None):
         heavy = HEAVY if heavy is None else heavy
-        parts = settled(df.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("i", F.ceil(F.col("n") / heavy).alias("parts")))
-        few = parts.count()
-        self.parts = (F.broadcast(parts) if few <= 200_000 else parts) if few else None
-        if self.parts is None:
-            self.by, self.df = ["i"], df.repartition("i").persist()
-        else:
-            salted = df.join(self.parts, "i", "left").withColumn("part", F.pmod(F.xxhash64("j"), F.coalesce("parts", F.lit(1))))
-            self.by, self.df = ["i", "part"], salted.drop("parts").repartition("i", "part").persist()
+        self.by, self.df, self.parts = ["i"], df.repartition("i").persist(), None
+        # counted as they lie, without a shuffle
+        parts = self.df.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("i", F.ceil(F.col("n") / heavy).alias("parts"))
+        if parts.isEmpty():
+            return
+        parts = settled(parts)
+        self.parts = F.broadcast(parts) if parts.count() <= 200_000 else parts
+        salted = self.df.join(self.parts, "i", "left").withColumn("part", F.pmod(F.xxhash64("j"), F.coalesce("parts", F.lit(1))))
+        whole, self.by = self.df, ["i", "part"]
+        self.df = salted.drop("parts").repartition("i", "part").persist()
+        self.df.count()
+        whole.unpersist()
 
     def ahead(self, frontier: DataFrame) -> DataFrame:
         """frontier (with i) joined to the edges that start there."""
@@ -266,7 +270,7 @@ def _reached(own: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     while count:
         single = edges.groupBy("j").agg(F.count("*").alias("d"), F.first("i").alias("to"), F.first("w").alias("w")).where("d = 1").select(F.col("j").alias("i"), "to", "w")
         lone = single.join(own, "i").select("i", "to", F.least("v", "w").alias("v"))
-        heads = _heads(settled(lone), n)
+        heads = _heads(settled(lone))
         left = edges.join(heads.select(F.col("i").alias("j")), "j", "left_anti")
         start = heads.select(F.col("i").alias("i"), F.col("to").alias("head"), F.col("v").alias("carried"))
         moved = left.join(start, "i", "left").select(F.coalesce("head", "i").alias("i"), "j", F.least("w", "carried").alias("w"))
@@ -287,19 +291,23 @@ def _reached(own: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     return labels
 
 
-def _heads(pointers: DataFrame, n: int) -> DataFrame:
+def _heads(pointers: DataFrame) -> DataFrame:
     """(i, to, v): where following pointers (i, to, v) ends, and the least v on the way, i's among them.
 
-    Ends have no pointer. A circle ends at none: each of its vertices has its
-    least value after enough steps, and so points to itself, as its own head.
+    Ends have no pointer. As each doubling ends some pointers of every chain, a
+    round that ends none has only pointers into circles left, and if it changed
+    no least value either, each has that of its whole way; these vertices are
+    their own heads.
     """
-    pointers = pointers.withColumn("ended", F.lit(False))
-    for _ in range(max(1, n).bit_length() + 1):
+    pointers, left = pointers.withColumn("ended", F.lit(False)), None
+    while True:
         ahead = pointers.select(F.col("i").alias("to"), F.col("to").alias("next"), F.col("v").alias("more"), F.col("ended").alias("over"))
-        pointers = settled(pointers.join(ahead, "to", "left").select("i", F.coalesce("next", "to").alias("to"), F.least("v", "more").alias("v"), (F.col("next").isNull() | F.col("ended") | F.coalesce("over", F.lit(True))).alias("ended")))
-        if not pointers.where("not ended").limit(1).count():
-            return pointers.select("i", "to", "v")
-    return pointers.select("i", F.when(F.col("ended"), F.col("to")).otherwise(F.col("i")).alias("to"), "v")
+        ended = F.col("next").isNull() | F.col("ended") | F.coalesce("over", F.lit(True))
+        pointers = settled(pointers.join(ahead, "to", "left").select("i", F.coalesce("next", "to").alias("to"), F.least("v", "more").alias("v"), ended.alias("ended"), (F.col("more") < F.col("v")).alias("moved")))
+        open_, moved = pointers.agg(F.count_if(~F.col("ended")), F.count_if(~F.col("ended") & F.col("moved"))).first()
+        if not open_ or open_ == left and not moved:
+            return pointers.select("i", F.when(F.col("ended"), F.col("to")).otherwise(F.col("i")).alias("to"), "v")
+        left, pointers = open_, pointers.drop("moved")
 
 
 def _counted(adj: Matrix) -> Matrix:
