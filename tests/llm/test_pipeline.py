@@ -132,3 +132,26 @@ def test_every_stage_equals_plain_python(spark, folder):
     assert got == sharded(expected)
     assert len({r[0] for r in got} & set(range(200, 210))) == 0
     assert not {400, 401, 402, 500, 501, 502} & {r[0] for r in got}
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    path, rows, items = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    # rows without id, rows that are there twice, and columns that stages have names of their own for
+    odd = docs.where("doc_id < 150").selectExpr("nullif(doc_id % 5, 0) * 0 + doc_id as doc_id", "text", "lang", "source", "n_chars", "doc_id as v", "'x' as key", "1 as copy_no", "text as row_")
+    spark.createDataFrame(odd.union(odd.where("doc_id % 7 = 1")).collect(), odd.schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = kept.columns
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path)).cache()
+        if name != "sharding":
+            assert kept.columns == [c for c in columns if name not in ("mixing", "sharding") or c != "copy_no"], name
+        assert {r.text for r in kept.select("text").distinct().collect()} <= {r[1] for r in rows}
+        if name == "jaccard_join":
+            # one of each text stays, and those without id are among them
+            texts = [r.text for r in kept.collect()]
+            assert len(texts) == len(set(texts)) and kept.where("doc_id is null").count() > 20
+    assert kept.where("doc_id is null").count() > 10
