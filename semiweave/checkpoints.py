@@ -99,8 +99,8 @@ class Layers:
     sums that layers are for don't change by.
     """
 
-    def __init__(self, spark: SparkSession, run: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, run: str | None = None, columns: tuple[str, ...] = ("i", "j", "v")):
+        self.spark, self.columns = spark, columns
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run or uuid.uuid4().hex}"
         self.paths = [f"{self.folder}/{n}" for n in _complete(spark, self.folder)] if run else []
         bases = _complete(spark, f"{self.folder}/base") if run else []
@@ -124,16 +124,18 @@ class Layers:
         return self.spark.read.parquet(self.paths[-1])
 
     def all(self) -> DataFrame:
-        """The rows (i, j, v) of all layers."""
-        return fold(DataFrame.union, [self.spark.read.parquet(p).select("i", "j", "v") for p in self.paths])
+        """The rows (columns) of all layers."""
+        return self._rows(self.paths)
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return fold(DataFrame.union, [self.spark.read.parquet(p).select(*self.columns) for p in paths])
 
     def compact(self, combine: Callable[[DataFrame], DataFrame]) -> None:
         if self.count < 3:
             return
         *old, last = self.paths
         path = f"{self.folder}/base/{self.rounds - 2}"
-        rows = fold(DataFrame.union, [self.spark.read.parquet(p).select("i", "j", "v") for p in old])
-        combine(rows).write.mode("overwrite").parquet(path)
+        combine(self._rows(old)).write.mode("overwrite").parquet(path)
         for p in old:
             _remove(self.spark, p)
         self.paths, self.count, self.stale = [path, last], 2, 0

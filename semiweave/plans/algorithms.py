@@ -7,7 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..checkpoints import Rounds, settled
+from ..checkpoints import Layers, Rounds, settled
 from ..config import config
 from ..errors import GraphError
 from ..operators.containers import Matrix, Vector
@@ -324,6 +324,10 @@ def degree(adj: Matrix) -> dict[str, Vector]:
 def pagerank(adj: Matrix, *, damping: float = 0.85, max_iter: int | None = None, tol: float | None = None, teleport: str = "dense") -> Vector:
     """PageRank by power iteration until no rank moves by tol.
 
+    Where every vertex has out-edges and the teleport is dense, a round's moves
+    are those of the last one sent along the edges, so only vertices that moved
+    by tol send, and a round shuffles and writes no others (_moves).
+
     teleport="dense" gives every vertex its share of the teleport and of the
     rank of vertices without out-edges. "stored" gives them only to vertices
     that get rank over an edge in the round; others drop out, and so does
@@ -337,6 +341,8 @@ def pagerank(adj: Matrix, *, damping: float = 0.85, max_iter: int | None = None,
     out = whole.df.groupBy("i").agg(F.sum("v").alias("d")).where("d <> 0")
     edges = _Edges(whole.df.join(out, "i").select("i", "j", (F.col("v") / F.col("d")).alias("w")))
     first = Vector.full(spark, n, F.lit(1.0 / n), "fp64").df
+    if teleport == "dense" and tol > 0 and out.count() == n:
+        return Vector(_moves(first, edges, n, damping, max_iter, tol), n, "fp64")
     # a vertex without out-edges loses its rank, which a sum over the last round's rows gathers
     ranks = settled(first.join(out.select("i", F.lit(False).alias("ends")), "i", "left").select("i", "v", F.coalesce("ends", F.lit(True)).alias("ends"), F.lit(None).cast("double").alias("old")))
     for _ in range(max_iter):
@@ -355,3 +361,27 @@ def pagerank(adj: Matrix, *, damping: float = 0.85, max_iter: int | None = None,
             break
     edges.df.unpersist()
     return Vector(ranks.where("v is not null").select("i", "v"), n, "fp64")
+
+
+#: Layers of moves that are put together at once.
+LAYERS = 16
+
+
+def _moves(first: DataFrame, edges: _Edges, n: int, damping: float, max_iter: int, tol: float) -> DataFrame:
+    """(i, v): first with the moves of all rounds added, which are written as layers."""
+    if max_iter <= 0:
+        return first
+    layers, added = Layers(first.sparkSession, columns=("i", "v")), lambda df: df.groupBy("i").agg(F.sum("v").alias("v"))
+    layers.append(first)
+    sent = lambda df: edges.ahead(df).select(F.col("j").alias("i"), (F.col("v") * F.col("w") * damping).alias("v"))
+    # the first round's ranks less those before it
+    layers.append(added(sent(first).union(first.select("i", F.lit((1 - damping) / n - 1 / n).alias("v")))))
+    for _ in range(1, max_iter):
+        moved = layers.last().where(F.abs("v") >= tol)
+        if moved.isEmpty():
+            break
+        layers.append(added(sent(moved)))
+        if layers.count > LAYERS:
+            layers.compact(added)
+    edges.df.unpersist()
+    return added(layers.all())

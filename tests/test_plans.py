@@ -361,3 +361,27 @@ def test_paths_go_on_where_they_were_cut_off(spark, monkeypatch):
     assert len(calls) == 4 + 13 - 3 and max(kept) == 2
     checkpoints.forget_run(spark, run)
     assert checkpoints.Rounds(spark, run).last() is None
+
+
+def test_ranks_that_have_settled_send_no_more(spark, monkeypatch):
+    from semiweave import checkpoints
+
+    rows, append = [], checkpoints.Layers.append
+    monkeypatch.setattr(checkpoints.Layers, "append", lambda self, df: rows.append(append(self, df)) or rows[-1])
+    monkeypatch.setattr(algorithms, "LAYERS", 4)
+    rng = random.Random(5)
+    # a small knot that many vertices point to in a long row
+    n = 300
+    edges = {(rng.randrange(6), rng.randrange(6)) for _ in range(20)} | {(k, (k + 1) % 6) for k in range(6)} | {(k, k - 1) for k in range(6, n)}
+    ranks, out = [1 / n] * n, {}
+    for i, _ in edges:
+        out[i] = out.get(i, 0) + 1
+    for _ in range(100):
+        new = [0.15 / n] * n
+        for i, j in edges:
+            new[j] += 0.85 * ranks[i] / out[i]
+        ranks = new
+    found = sw.pagerank(bools(spark, n, sorted(edges)), tol=1e-10)
+    assert found.to_list() == pytest.approx(ranks, abs=1e-8)
+    sizes = [r[0] for r in rows]
+    assert sizes[0] == sizes[1] == n and max(sizes[3:]) < 10 and len(sizes) > 20
