@@ -191,7 +191,7 @@ OP3_SQL = """
 WITH l AS (
   SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), b AS (
-  SELECT doc_id, line_no, trim(regexp_replace(line, '[ \\t\\r\\f\\v\\x{00A0}]+', ' ', 'g')) AS line FROM l
+  SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\x{00A0}]+', ' ', 'g')) AS line FROM l
 ), w AS (
   SELECT doc_id, line_no, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM b
 ), d AS (

@@ -63,6 +63,13 @@ def test_short_lines_are_compared_exactly(spark):
     assert kept[1, 0] == (False, 0, 0) and kept[2, 1] == (False, 0, 0)
 
 
+def test_letters_of_scripts_without_blanks_are_words(spark):
+    texts = ["这是一个很长的句子没有空格", "这是一个很长的句子没空格", "これはながい文です", "これはながい文でした", "ประโยคยาวไม่มีช่องว่าง", "ประโยคยาวไม่มีช่องวาง", "短い", "短く", "mixed 文 words and 字 here", "mixed 文 words and 空 here", "été à la mer bleue", "été à la mer verte"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.first_doc_id, r.edits) for r in dedup_lines(df).collect() if not r.kept}
+    assert found == {1: (0, 1), 5: (4, 1), 9: (8, 1), 11: (10, 1)}
+
+
 def test_removed_lines(spark):
     df = spark.createDataFrame([(1, "one two three four five\nkept", "k"), (2, "one two three four SIX\nkept", "k"), (None, "x", "k"), (3, None, "k")], "doc_id long, text string, gone string")
     left = {r.doc_id: r.text for r in remove_lines(df.drop("gone"), dedup_lines(df)).collect()}
