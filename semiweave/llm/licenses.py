@@ -197,12 +197,16 @@ def _retrieved(hits: DataFrame, anchors: DataFrame, texts: DataFrame) -> DataFra
     A window and a template agree in a band only if the window holds the
     template's shingle of the least hash, its anchor, so windows around hits
     of anchors are all that can; there the least hash of the whole window is
-    taken and compared.
+    taken and compared. A text's windows are cut out once, each level's by
+    themselves, and a hit meets its windows, not the text.
     """
-    around = hits.join(anchors, ["width", "h"]).join(texts, ["doc_id", "row", "width"])
-    window = "slice(hs, cast(w * greatest(1L, shiftleft(1L, level) div 2) as int) + 1, cast(2 * shiftleft(1L, level) as int))"
-    same = F.expr(f"exists({_WINDOWS}, w -> array_min(transform({window}, x -> xxhash64(band, x))) = low)")
-    return around.where(same).select("doc_id", "row", "template").distinct()
+    met = hits.join(anchors, ["width", "h"]).select("doc_id", "row", "width", "level", "band", "low", "template", F.explode(F.expr(_WINDOWS)).alias("w"))
+    wanted = met.groupBy("doc_id", "row", "width").agg(F.collect_set(F.struct("level", "w")).alias("wanted"))
+    window = "slice(hs, cast(c.w * greatest(1L, shiftleft(1L, c.level) div 2) as int) + 1, cast(2 * shiftleft(1L, c.level) as int))"
+    cut = wanted.join(texts, ["doc_id", "row", "width"]).select("doc_id", "row", "width", F.explode(F.expr(f"transform(wanted, c -> struct(c.level, c.w, {window} as part))")).alias("c"))
+    cut = cut.select("doc_id", "row", "width", "c.level", "c.w", "c.part")
+    same = F.expr("array_min(transform(part, x -> xxhash64(band, x))) = low")
+    return met.join(cut, ["doc_id", "row", "width", "level", "w"]).where(same).select("doc_id", "row", "template").distinct()
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame | Sequence[tuple[str, str, str]] = TEMPLATES, *, containment: float = 0.8, probability: float = 0.9999) -> DataFrame:
