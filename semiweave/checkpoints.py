@@ -27,6 +27,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: The scratch folder of each application.
+_scratch: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this application below the checkpoint folder, deleted when the driver's JVM ends.
+
+    What plans still read can lie there, as no plan outlives the driver.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _scratch:
+        path = f"{checkpoint_folder(spark).rstrip('/')}/run-{application}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _scratch[application] = path
+    return _scratch[application]
+
+
+def _run_folder(spark: SparkSession, run: str | None) -> str:
+    """The folder of a named run, which stays, or a new one in the scratch folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run}" if run else f"{scratch(spark)}/rounds-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed and written to the checkpoint folder; plans of a loop start from it.
 
@@ -59,12 +84,13 @@ class Rounds:
     A named run lies in a folder of that name below the checkpoint folder. Where
     it holds complete rounds, as after a lost driver, the loop goes on from the
     last of them; a round that was cut off is written anew. A run without a name
-    gets a folder of its own. remove() deletes all, when the result is written.
+    gets a folder of its own, which goes with the application. remove() deletes
+    all, when the result is written.
     """
 
     def __init__(self, spark: SparkSession, run: str | None = None):
         self.spark = spark
-        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run or uuid.uuid4().hex}"
+        self.folder = _run_folder(spark, run)
         found = _complete(spark, self.folder) if run else []
         self.number = found[-1] if found else -1
 
@@ -87,7 +113,7 @@ class Rounds:
 
 def forget_run(spark: SparkSession, run: str) -> None:
     """Delete what a named run left, when its result is written."""
-    _remove(spark, f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run}")
+    _remove(spark, _run_folder(spark, run))
 
 
 class Layers:
@@ -101,7 +127,7 @@ class Layers:
 
     def __init__(self, spark: SparkSession, run: str | None = None, columns: tuple[str, ...] = ("i", "j", "v")):
         self.spark, self.columns = spark, columns
-        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/rounds-{run or uuid.uuid4().hex}"
+        self.folder = _run_folder(spark, run)
         self.paths = [f"{self.folder}/{n}" for n in _complete(spark, self.folder)] if run else []
         bases = _complete(spark, f"{self.folder}/base") if run else []
         self.rounds = int(self.paths[-1].rpartition("/")[2]) + 1 if self.paths else 0

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import checkpoint_folder
+from .checkpoints import scratch
 from .functions.algebra import MONOIDS, SEMIRINGS, Monoid, Semiring
 from .functions.scalar_ops import UNARY
 from .operators.containers import Matrix, Vector
@@ -105,8 +105,7 @@ def supplier_similarity(spark, sf_dir):
 @register("mxm_stored", f"WITH {G3} SELECT a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM g3 a JOIN g3 b ON a.j = b.j GROUP BY a.i, b.i")
 def mxm_stored(spark, sf_dir):
     """S * S^T of the stored matrix, whose tables join as they lie."""
-    folder = checkpoint_folder(spark).rstrip("/")
-    s = _dense_source(spark, sf_dir).write(f"supplier_part_{uuid.uuid4().hex}", buckets=8, path=folder)
+    s = _dense_source(spark, sf_dir).write(f"supplier_part_{uuid.uuid4().hex}", buckets=8, path=scratch(spark))
     return s.mxm(s, descriptor=Descriptor(inp1=True)).df
 
 

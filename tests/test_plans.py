@@ -385,3 +385,22 @@ def test_ranks_that_have_settled_send_no_more(spark, monkeypatch):
     assert found.to_list() == pytest.approx(ranks, abs=1e-8)
     sizes = [r[0] for r in rows]
     assert sizes[0] == sizes[1] == n and max(sizes[3:]) < 10 and len(sizes) > 20
+
+
+def test_scratch_goes_with_the_application(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.local.dir", {str(tmp_path / "local")!r}).config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from semiweave import checkpoints
+kept, named = checkpoints.Rounds(spark), checkpoints.Rounds(spark, "named")
+for k in range(4):
+    kept.settled(spark.range(k)), named.settled(spark.range(k))
+assert checkpoints._complete(spark, kept.folder) == [2, 3] and kept.last().count() == 3
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, capture_output=True)
+    left = [p.name for p in (tmp_path / "shared").rglob("*") if p.name.startswith(("run-", "rounds-"))]
+    assert left == ["rounds-named"]
