@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,29 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import scratch
 
 #: Bytes of rows that go to a Python worker at once, where the session sets no limit of its own.
 BATCH_BYTES = "16m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent, a local session (as in tests) gets a
-    temporary folder, set once as its checkpoint folder; on a cluster, whose
-    executors would not see it, that is an error.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by bytes too, as ten thousand rows of long texts may be gigabytes."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -42,7 +24,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's scratch folder, which is deleted when the driver ends."""
+    return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
