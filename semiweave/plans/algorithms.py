@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame
@@ -125,42 +126,51 @@ def _circles(parents: DataFrame) -> bool:
     return bool(count)
 
 
-def sssp(adj: Matrix, source: int, *, max_iter: int | None = None, run: str | None = None) -> Vector:
+def sssp(adj: Matrix, source: int, *, max_iter: int | None = None, delta: float | None = None, run: str | None = None) -> Vector:
     """Least path weights from source; unreachable vertices are absent.
 
-    Only vertices improved in the last round offer paths over their edges, until
-    none is. Each vertex keeps the one that its path comes from; a cycle of
-    negative weight makes these go in a circle, which is looked for after 4,
-    8, 16 ... rounds and is an error. With max_iter paths have so many edges at
-    most, and cycles may be part of them. run names a loop that goes on where
-    it was cut off (see Rounds).
+    Only vertices that improved since they last offered paths over their edges
+    do so, until none has. With delta they go by buckets of so much weight: of
+    the lowest bucket with such vertices these offer their light edges, of delta
+    at most, until it has settled, and then once their heavy ones; that offers
+    fewer paths that are improved later, in more rounds. Each vertex keeps the
+    one that its path comes from; a cycle of negative weight makes these go in
+    a circle, which is looked for after 4, 8, 16 ... rounds and is an error.
+    With max_iter, which excludes delta, paths have so many edges at most, and
+    cycles may be part of them. run names a loop that goes on where it was cut
+    off (see Rounds).
     """
     _source(adj, source)
-    spark, limit = adj.spark, adj.nrows if max_iter is None else max_iter
+    if delta is not None and (max_iter is not None or delta <= 0):
+        raise GraphError("invalid_argument", "delta is positive and goes without max_iter")
+    spark, limit = adj.spark, max_iter
     edges = _Edges(adj.cast("fp64").df.select("i", "j", F.col("v").alias("w")))
     rounds = Rounds(spark, run)
-    none, nobody = F.lit(None).cast("double"), F.lit(None).cast("long")
+    none = F.lit(None).cast("double")
     known = rounds.last()
     if known is None:
-        known = rounds.settled(spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"), nobody.alias("parent"), none.alias("old")))
-    better = F.col("old").isNull() | (F.col("v") < F.col("old"))
-    done, look = False, 4
-    for k in range(rounds.number, limit):
-        offers = edges.ahead(known.where(better).select("i", "v")).select(F.col("j").alias("i"), (F.col("v") + F.col("w")).alias("v"), F.col("i").alias("parent"), none.alias("old"))
-        # of equal paths the one that is there stays, as its row has the least flag
-        rows = known.select("i", "v", "parent", F.col("v").alias("old")).union(offers)
-        best = F.min(F.struct("v", F.col("old").isNull().alias("new"), "parent"))
-        known = rounds.settled(rows.groupBy("i").agg(best.alias("best"), F.min("old").alias("old")).select("i", "best.v", "best.parent", "old"))
-        if not known.where(better).limit(1).count():
-            done = True
+        known = rounds.settled(spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"), F.lit(None).cast("long").alias("parent"), none.alias("light"), none.alias("heavy")))
+    waits = {kind: F.col(kind).isNull() | (F.col("v") < F.col(kind)) for kind in ("light", "heavy")}
+    look = 4
+    while limit is None or rounds.number < limit:
+        least = known.agg(*[F.min(F.when(waits[kind], F.col("v"))).alias(kind) for kind in (("light",) if delta is None else waits)]).first()
+        if all(x is None for x in least):
             break
-        if max_iter is None and k + 1 >= look:
-            look = 2 * (k + 1)
+        if max_iter is None and rounds.number >= look:
+            look = 2 * rounds.number
             if _circles(known.select("i", "parent")):
-                break
+                raise GraphError("invalid_argument", "a cycle of negative weight has no least path")
+        kind, sends, usable = "light", waits["light"], F.lit(True)
+        if delta is not None:
+            end = (math.floor(min(x for x in least if x is not None) / delta) + 1) * delta
+            kind = "light" if least["light"] is not None and least["light"] < end else "heavy"
+            sends, usable = waits[kind] & (F.col("v") < end), F.col("w") <= delta if kind == "light" else F.col("w") > delta
+        offers = edges.ahead(known.where(sends).select("i", "v")).where(usable).select(F.col("j").alias("i"), (F.col("v") + F.col("w")).alias("v"), F.col("i").alias("parent"), none.alias("light"), none.alias("heavy"), F.lit(True).alias("new"))
+        stay = known.withColumn(kind, F.when(sends, F.col("v")).otherwise(F.col(kind))).withColumn("new", F.lit(False))
+        # of equal paths the one that is there stays
+        best = stay.unionByName(offers).groupBy("i").agg(F.min(F.struct("v", "new", "parent")).alias("best"), F.min("light").alias("light"), F.min("heavy").alias("heavy"))
+        known = rounds.settled(best.select("i", "best.v", "best.parent", "light", "heavy"))
     edges.df.unpersist()
-    if max_iter is None and not done:
-        raise GraphError("invalid_argument", "a cycle of negative weight has no least path")
     return Vector(known.select("i", "v"), adj.nrows, "fp64")
 
 

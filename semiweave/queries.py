@@ -392,11 +392,16 @@ def bfs_reach(spark, sf_dir):
 _STEPS = ", ".join(f"d{k + 1} AS (SELECT i, MIN(v) AS v FROM (SELECT i, v FROM d{k} UNION ALL SELECT g.j, d{k}.v + g.w FROM d{k} JOIN e g ON d{k}.i = g.i) GROUP BY i)" for k in range(24))
 
 
-@register("sssp", f"WITH {G2}, e AS (SELECT i, j, CAST(1 + (i * 7 + j * 13) % 10 AS DOUBLE) AS w FROM g2), d0 AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS v), {_STEPS} SELECT i, v FROM d24")
-def sssp(spark, sf_dir):
-    g = graphs.user_succession(spark, sf_dir)
-    weighted = Matrix(g.df.select("i", "j", (1 + (F.col("i") * 7 + F.col("j") * 13) % 10).cast("double").alias("v")), *g.shape, "fp64")
-    return algorithms.sssp(weighted, 0).df
+_SSSP = f"WITH {G2}, e AS (SELECT i, j, CAST(1 + (i * 7 + j * 13) % 10 AS DOUBLE) AS w FROM g2), d0 AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS v), {_STEPS} SELECT i, v FROM d24"
+
+
+for _name, _delta in (("sssp", None), ("sssp_buckets", 4.0)):
+
+    @register(_name, _SSSP)
+    def sssp(spark, sf_dir, delta=_delta):
+        g = graphs.user_succession(spark, sf_dir)
+        weighted = Matrix(g.df.select("i", "j", (1 + (F.col("i") * 7 + F.col("j") * 13) % 10).cast("double").alias("v")), *g.shape, "fp64")
+        return algorithms.sssp(weighted, 0, delta=delta).df
 
 
 @register("triangle_count", f"WITH {G4} SELECT COUNT(*) AS triangles FROM g4 a JOIN g4 b ON a.j = b.i JOIN g4 c ON b.j = c.j AND a.i = c.i WHERE a.i > a.j AND b.i > b.j")

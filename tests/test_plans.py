@@ -338,6 +338,29 @@ def test_a_negative_cycle_is_found_within_its_length(spark, monkeypatch):
     assert len(rounds) < 20
 
 
+def test_paths_by_buckets_offer_fewer_edges(spark, monkeypatch):
+    rng, n = random.Random(7), 40
+    edges = {(i, j): (j - i) ** 2 + rng.random() for i in range(n) for j in range(i + 1, min(n, i + 9))}
+    best = {0: 0.0}
+    for i in range(n):
+        for j in range(i + 1, n):
+            if (i, j) in edges:
+                best[j] = min(best.get(j, 1e9), best[i] + edges[i, j])
+    a, offered, ahead = Matrix.from_coo(spark, n, n, [(*e, w) for e, w in edges.items()], "fp64"), [], algorithms._Edges.ahead
+    monkeypatch.setattr(algorithms._Edges, "ahead", lambda self, frontier: offered.append(frontier.count()) or ahead(self, frontier))
+    counts = []
+    for delta in (None, 3.0):
+        offered.clear()
+        assert dict(sw.sssp(a, 0, delta=delta).entries()) == pytest.approx(best)
+        counts.append(sum(offered))
+    # light edges and heavy ones once each, where all else offers again and again
+    assert counts[1] < counts[0]
+    with pytest.raises(GraphError):
+        sw.sssp(a, 0, delta=1.0, max_iter=3)
+    with pytest.raises(GraphError, match="negative"):
+        sw.sssp(Matrix.from_coo(spark, 4, 4, [(0, 1, 1.0), (1, 2, 1.0), (2, 1, -2.0), (2, 3, 1.0)], "fp64"), 0, delta=2.0)
+
+
 def test_paths_go_on_where_they_were_cut_off(spark, monkeypatch):
     from semiweave import checkpoints
 
