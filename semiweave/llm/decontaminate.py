@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
+from .common import SPACELESS, bounded_batches, written
 
 K1, B = 1.2, 0.75
 #: Words of a piece of an item at most. A passage has twice as many and starts
@@ -28,8 +28,6 @@ LONG = 256
 CACHE_ITEMS = 2000
 #: Pieces of a block, which share one upper bound for each term.
 BLOCK = 4
-#: Thai, Lao, Burmese, Khmer, kana and Han, written without spaces: each letter is a word.
-SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f"
 WORD = re.compile(rf"[^\W{SPACELESS}]+|(?=\w)[{SPACELESS}]")
 #: Words of a shingle.
 SHINGLE = 5

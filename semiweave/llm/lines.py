@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import SPACELESS, written
 
 BLANKS = "\t\r\f\x0b\xa0"
-# Scripts that are written without blanks; each of their letters is a word.
-UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 #: Tables of more rows than this, of a few numbers each (20 MB or so), are joined by shuffle, not broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -24,9 +22,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _words() -> Column:
-    letter = "([" + "".join(f"\\p{{Is{script}}}" for script in UNSPACED) + "])"
-    # ASCII lines, which are most, hold none of these letters
-    spaced = F.when(F.octet_length("line") > F.length("line"), F.regexp_replace("line", letter, " $1 ")).otherwise(F.col("line"))
+    # few lines hold any letter behind those of the scripts with blanks, which one look tells
+    others = (F.octet_length("line") > F.length("line")) & F.col("line").rlike("[\u0e00-\U0010ffff]")
+    spaced = F.when(others, F.regexp_replace("line", f"([{SPACELESS}])", " $1 ")).otherwise(F.col("line"))
     return F.array_remove(F.split(F.translate(spaced, BLANKS, " " * len(BLANKS)), " "), "")
 
 
@@ -104,7 +102,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """Which lines of (doc_id, text) repeat an earlier one within one word edit.
 
     Lines are cut at newlines into words at blanks, and each letter of scripts
-    that are written without them (UNSPACED) is a word; an edit inserts, deletes
+    that are written without them (SPACELESS) is a word; an edit inserts, deletes
     or replaces a word. Order is by (doc_id, line_no). A line is kept if no
     earlier line equals it or, for lines of min_words words and more, is one
     edit away from it; of a shorter line an edit leaves so little that it

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACELESS, table
 from .decontaminate import find_leaks
 from .jaccard import jaccard_classes
 from .langid import held_out, identify, train_on
@@ -191,7 +191,7 @@ OP3_SQL = """
 WITH l AS (
   SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), b AS (
-  SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '([\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Thai}\\p{Lao}\\p{Khmer}\\p{Myanmar}])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\x{00A0}]+', ' ', 'g')) AS line FROM l
+  SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '([SPACELESS])', ' \\1 ', 'g'), '[ \\t\\r\\f\\v\\x{00A0}]+', ' ', 'g')) AS line FROM l
 ), w AS (
   SELECT doc_id, line_no, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM b
 ), d AS (
@@ -214,7 +214,7 @@ SELECT w.doc_id, CAST(w.line_no AS INTEGER) AS line_no, NOT COALESCE(f.first < (
        CAST(CASE WHEN f.first < (w.doc_id, w.line_no) THEN f.first[2] END AS INTEGER) AS first_line_no,
        CASE WHEN f.first < (w.doc_id, w.line_no) THEN CASE WHEN f.first = f.pos THEN 0 ELSE 1 END END AS edits
 FROM w LEFT JOIN f ON w.line = f.line AND w.line <> ''
-"""
+""".replace("SPACELESS", SPACELESS)
 
 
 OP5_SQL = """
