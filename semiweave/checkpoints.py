@@ -10,6 +10,7 @@ from functools import reduce as fold
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -134,12 +135,14 @@ class Layers:
         if bases:
             self.paths = [f"{self.folder}/base/{bases[-1]}", *[p for p in self.paths if int(p.rpartition("/")[2]) > bases[-1]]]
         self.count, self.stale, self.rows = len(self.paths), 0, 0
+        self.schemas: dict[str, StructType] = {}
 
     def append(self, df: DataFrame) -> tuple[int, int]:
         """Write df as the next layer: (its rows, those of them where the column improved holds)."""
         path = f"{self.folder}/{self.rounds}"
         df.write.mode("overwrite").parquet(path)
         self.paths.append(path)
+        self.schemas[path] = df.schema
         self.rounds, self.count = self.rounds + 1, self.count + 1
         improved = F.count_if("improved") if "improved" in df.columns else F.lit(0)
         rows, better = self.last().agg(F.count("*"), improved).first()
@@ -147,14 +150,19 @@ class Layers:
         return rows, better
 
     def last(self) -> DataFrame:
-        return self.spark.read.parquet(self.paths[-1])
+        return self._read(self.paths[-1])
+
+    def _read(self, path: str) -> DataFrame:
+        if path not in self.schemas:
+            self.schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[path]).parquet(path)
 
     def all(self) -> DataFrame:
         """The rows (columns) of all layers."""
         return self._rows(self.paths)
 
     def _rows(self, paths: list[str]) -> DataFrame:
-        return fold(DataFrame.union, [self.spark.read.parquet(p).select(*self.columns) for p in paths])
+        return fold(DataFrame.union, [self._read(p).select(*self.columns) for p in paths])
 
     def compact(self, combine: Callable[[DataFrame], DataFrame]) -> None:
         if self.count < 3:

@@ -135,7 +135,8 @@ def sssp(adj: Matrix, source: int, *, max_iter: int | None = None, delta: float
     at most, until it has settled, and then once their heavy ones; that offers
     fewer paths that are improved later, in more rounds. Each vertex keeps the
     one that its path comes from; a cycle of negative weight makes these go in
-    a circle, which is looked for after 4, 8, 16 ... rounds and is an error.
+    a circle, which is looked for after 8, 16, 32 ... rounds where any weight is
+    negative, and is an error.
     With max_iter, which excludes delta, paths have so many edges at most, and
     cycles may be part of them. run names a loop that goes on where it was cut
     off (see Rounds).
@@ -151,12 +152,12 @@ def sssp(adj: Matrix, source: int, *, max_iter: int | None = None, delta: float
     if known is None:
         known = rounds.settled(spark.range(source, source + 1).select(F.col("id").alias("i"), F.lit(0.0).alias("v"), F.lit(None).cast("long").alias("parent"), none.alias("light"), none.alias("heavy")))
     waits = {kind: F.col(kind).isNull() | (F.col("v") < F.col(kind)) for kind in ("light", "heavy")}
-    look = 4
+    look = 8 if max_iter is None and edges.df.where("w < 0").limit(1).count() else None
     while limit is None or rounds.number < limit:
         least = known.agg(*[F.min(F.when(waits[kind], F.col("v"))).alias(kind) for kind in (("light",) if delta is None else waits)]).first()
         if all(x is None for x in least):
             break
-        if max_iter is None and rounds.number >= look:
+        if look and rounds.number >= look:
             look = 2 * rounds.number
             if _circles(known.select("i", "parent")):
                 raise GraphError("invalid_argument", "a cycle of negative weight has no least path")
