@@ -1,5 +1,6 @@
 """Sparse linear algebra over semirings, and graph queries on it, as Spark DataFrames."""
 
+from .checkpoints import forget_run
 from .config import config
 from .errors import GraphError
 from .functions.algebra import MONOIDS, SEMIRINGS, Monoid, Semiring, resolve_monoid, resolve_semiring
@@ -22,5 +23,5 @@ def info() -> dict[str, str]:
 
 __all__ = [
     "BINARY", "MONOIDS", "SEMIRINGS", "UNARY", "BinaryOp", "Descriptor", "GraphError", "Mask", "Matrix", "Monoid", "Relation", "Scalar", "Semiring", "UnaryOp", "Vector",
-    "bfs_levels", "bfs_reach", "config", "connected_components", "degree", "fixed_point", "info", "pagerank", "resolve_monoid", "resolve_semiring", "sssp", "triangle_count",
+    "bfs_levels", "bfs_reach", "config", "connected_components", "degree", "fixed_point", "forget_run", "info", "pagerank", "resolve_monoid", "resolve_semiring", "sssp", "triangle_count",
 ]
