@@ -345,3 +345,20 @@ def test_stored_matrices_join_without_a_shuffle(spark, tmp_path):
     Matrix.drop(spark, name)
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         Matrix.read(spark, name)
+
+
+def test_products_in_row_blocks_shuffle_no_term(spark):
+    rng = random.Random(6)
+    entries = {(rng.randrange(40), rng.randrange(30)): rng.randrange(1, 9) for _ in range(300)}
+    a = matrix(spark, entries, 40, 30, "int64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = a.mxm(a.T, blocks=7).df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # nothing is exchanged above the join of the blocks' sides
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    for blocks in (1, 7, 40, 99):
+        assert got(a.mxm(a.T, blocks=blocks)) == got(a.mxm(a.T)) and got(a.T.mxm(a, "min_plus_fp64", blocks=blocks)) == got(a.T.mxm(a, "min_plus_fp64"))
+    assert Matrix.new(spark, 0, 5).mxm(Matrix.new(spark, 5, 2), blocks=3).nvals() == 0
+    rel = Relation.new(40).with_matrix("p", Matrix(a.df, 40, 40)).with_matrix("q", Matrix(a.T.df, 40, 40))
+    for path in (["p", "q"], ["p", "q", "p"]):
+        assert got(rel.measured(*path).traverse(path, "plus_times", blocks=5)) == got(rel.traverse(path, "plus_times"))
