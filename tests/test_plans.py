@@ -228,6 +228,19 @@ def test_closure_of_a_long_path_takes_few_rounds(spark):
     assert not Relation.new(3).with_matrix("p", falling).closure("p", "min_plus")[1]["converged"]
 
 
+def test_closure_stops_when_the_front_is_empty(spark):
+    from semiweave.plans import relations
+
+    n, made, times = 40, [], relations.Semiring.times
+    relations.Semiring.times = lambda self, a, b: made.append((a, b)) or times(self, a, b)
+    try:
+        found, info = Relation.new(n).with_matrix("p", graphs.chain(spark, n)).closure("p")
+    finally:
+        relations.Semiring.times = times
+    # one product for each round that has a front: paths of 1, 2, 4 ... 32 edges
+    assert found.nvals() == n * (n - 1) // 2 and info["converged"] and len(made) == 6
+
+
 def test_closure_goes_on_where_it_was_cut_off(spark, monkeypatch):
     from semiweave import checkpoints
 
