@@ -362,3 +362,12 @@ def test_products_in_row_blocks_shuffle_no_term(spark):
     rel = Relation.new(40).with_matrix("p", Matrix(a.df, 40, 40)).with_matrix("q", Matrix(a.T.df, 40, 40))
     for path in (["p", "q"], ["p", "q", "p"]):
         assert got(rel.measured(*path).traverse(path, "plus_times", blocks=5)) == got(rel.traverse(path, "plus_times"))
+
+
+def test_sums_in_parts_take_as_many_tasks(spark):
+    rows = spark.createDataFrame([(k % 7, k % 5, k) for k in range(60)], "i long, j long, v long")
+    a, plain = Matrix.from_df(rows, 7, 5, parts=9), Matrix.from_df(rows, 7, 5)
+    added = a.ewise_add(a, "plus", parts=9)
+    assert a.df.rdd.getNumPartitions() == added.df.rdd.getNumPartitions() == 9
+    assert got(a) == got(plain) and got(added) == got(plain.ewise_add(plain))
+    assert got(a.ewise_add(a, "times", parts=9)) == got(plain.ewise_add(plain, "times"))
