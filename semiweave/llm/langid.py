@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -263,6 +264,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _train_there(rows: DataFrame, each: int, least: dict[str, int]) -> Crf | None:
+    """train on the each documents of the least ranks of each language in rows, by one task; None if a language has too few.
+
+    Only the model comes to the driver.
+    """
+
+    def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str, list[tuple[int, str, str]]] = {lang: [] for lang in sorted(least)}
+        for batch in batches:
+            for text, lang, rank, doc_id in zip(*(batch[c] for c in ("text", "lang", "rank", "doc_id"))):
+                by[lang].append((rank, doc_id, text))
+        by = {lang: sorted(x)[:each] for lang, x in by.items()}
+        model = None
+        if all(len(by[lang]) >= n for lang, n in least.items()):
+            m = train([(text, lang) for lang, x in by.items() for _, _, text in x])
+            model = pickle.dumps((m.labels, m.codes, m.lexicon, m.weights, m.moves))
+        yield pd.DataFrame({"model": [model]})
+
+    # the bounded sample is one task's, and an empty one still a task
+    found = rows.repartition(1).mapInPandas(trained, "model binary").first()
+    return None if found is None or found["model"] is None else Crf(*pickle.loads(found["model"]))
+
+
 def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     """Train on documents that aren't held out and have text and lang.
 
@@ -270,7 +294,9 @@ def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     for each lang; a documented bound, which the model's size follows. Texts of
     more than TRAIN_CHARS are not learned from, and of more than TRAIN_LANGS
     languages those of most documents (of equal ones the first by name) are.
+    A task trains, so the driver holds no text.
     """
+    bounded_batches(docs.sparkSession)
     rank = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 40))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(1, TRAIN_CHARS) & ~held_out(F.col("doc_id")))
     most_used = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_LANGS)
@@ -281,10 +307,10 @@ def train_on(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Crf:
     while True:
         # so low a rank that about reach * each documents have it
         most = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 40) * min(1.0, reach * each / n + 1e-9)))])
-        rows = usable.select("text", "lang", rank.alias("rank"), F.col("doc_id").cast("string").alias("doc_id")).where(F.col("rank") <= most[F.col("lang")]).collect()
-        by = {lang: sorted((r.rank, r.doc_id, r.text) for r in rows if r.lang == lang)[:each] for lang in sorted(counts)}
-        if all(len(by[lang]) >= min(each, n) for lang, n in counts.items()):
-            return train([(text, lang) for lang, x in by.items() for _, _, text in x])
+        rows = usable.select("text", "lang", rank.alias("rank"), F.col("doc_id").cast("string").alias("doc_id")).where(F.col("rank") <= most[F.col("lang")])
+        model = _train_there(rows, each, {lang: min(each, n) for lang, n in counts.items()})
+        if model is not None:
+            return model
         reach *= 2
 
 

@@ -113,3 +113,23 @@ def test_texts_of_several_languages_stay(spark):
     kept = keep_identified(mixed, train_on(df))
     assert kept.columns == mixed.columns
     assert sorted(((r.doc_id or 0) for r in kept.collect())) == [0, 1]
+
+
+def test_the_driver_trains_nothing(spark, monkeypatch):
+    import os
+
+    from semiweave.llm import langid
+
+    driver, train = os.getpid(), langid.train
+
+    def elsewhere(docs, **options):
+        assert os.getpid() != driver
+        return train(docs, **options)
+
+    monkeypatch.setattr(langid, "train", elsewhere)
+    rows = [(k, f"the {'cat' if k % 2 else 'dog'} sat number{k} here", "en") if k % 3 else (k, f"der hund sitzt nummer{k} hier", "de") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_on(docs)
+    assert model.labels == ["de", "en"]
+    taken = sorted((lang, text) for k, text, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1)
+    assert set(model.lexicon) == {langid.letters(w) for _, text in taken for w in text.split()}
