@@ -371,3 +371,16 @@ def test_sums_in_parts_take_as_many_tasks(spark):
     assert a.df.rdd.getNumPartitions() == added.df.rdd.getNumPartitions() == 9
     assert got(a) == got(plain) and got(added) == got(plain.ewise_add(plain))
     assert got(a.ewise_add(a, "times", parts=9)) == got(plain.ewise_add(plain, "times"))
+
+
+def test_products_masked_by_equal_labels(spark):
+    from semiweave.operators.masks import EqualLabels
+
+    rng = random.Random(8)
+    a = matrix(spark, {(rng.randrange(40), rng.randrange(30)): rng.randrange(1, 9) for _ in range(300)}, 40, 30, "int64")
+    # rows from 35 on have no label
+    labels = Vector.from_entries(spark, 40, [(k, k % 4) for k in range(35)])
+    whole = got(a.mxm(a.T))
+    assert got(a.mxm(a.T, mask=EqualLabels(labels, labels))) == {(i, j): v for (i, j), v in whole.items() if i < 35 and j < 35 and i % 4 == j % 4}
+    with pytest.raises(GraphError):
+        a.mxm(a.T, mask=EqualLabels(labels, Vector.new(spark, 30)))
