@@ -319,6 +319,28 @@ def test_wedges_of_a_star_are_few(spark):
     assert sw.triangle_count(bools(spark, n, both_ways(edges))) == n - 2
 
 
+def test_triangles_in_blocks_shuffle_no_path(spark, monkeypatch):
+    rng, n = random.Random(5), 40
+    for block_edges in (1_000_000, 13):
+        monkeypatch.setattr(algorithms, "BLOCK_EDGES", block_edges)
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(500)}
+        low = {(i, j) for i, j in edges if i > j}
+        terms = sum((k, j) in edges and (i, j) in low for i, k in low for j in range(n))
+        counted = algorithms.triangle_count_df(bools(spark, n, sorted(edges)))
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("shufflepartitionidpassthrough")]
+        # two joins by the blocks' hash tables, and only the counts are exchanged above them
+        assert above.count("ShuffledHashJoin") == 2 and above.count("Exchange") == above.count("Exchange SinglePartition") + 1 and "Sort" not in above
+        assert counted.first()[0] == terms // 2
+
+
+def test_triangles_of_few_wedges_join_these(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(0, 2), (30, 32)]
+    counted = algorithms.triangle_count_df(bools(spark, 61, both_ways(edges)))
+    assert "shufflepartitionidpassthrough" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert counted.first()[0] == 2
+
+
 def test_directed_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     rounds, heads = [], algorithms.settled
     monkeypatch.setattr(algorithms, "settled", lambda df: rounds.append(1) or heads(df))
