@@ -6,6 +6,7 @@ import random
 import pytest
 
 import semiweave as sw
+from semiweave import queries
 from semiweave.functions import algebra
 from semiweave import Descriptor, GraphError, Mask, Matrix, Monoid, Relation, Scalar, Semiring, Vector
 
@@ -373,6 +374,24 @@ def test_sums_in_parts_take_as_many_tasks(spark):
     assert got(a.ewise_add(a, "times", parts=9)) == got(plain.ewise_add(plain, "times"))
 
 
+@pytest.mark.parametrize("name", ["times_fp64"])
+def test_queries_add_lines_in_parts(spark, tmp_path, monkeypatch, name):
+    lines = [(k % 7, k * k % 5, k % 50, "AR"[k % 3 % 2]) for k in range(60)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for table, n in (("supplier", 7), ("part", 5)):
+        spark.range(n).write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(queries, "PART_LINES", 8)
+    df = queries.QUERIES[f"ewise_add_{name}"](spark, str(tmp_path))
+    # 60 lines in parts of 8, whatever the number of shuffle partitions
+    assert df.rdd.getNumPartitions() == 8
+    m, sides = algebra.MONOIDS[name], {"A": {}, "R": {}}
+    for i, j, v, flag in lines:
+        sides[flag][i, j] = sides[flag].get((i, j), 0) + v
+    value = lambda v: 1 + v % 3 if m.operator == "times" else v % 2 == 0 if m.type == "bool" else v
+    wanted = {p: fold(m.operator, [value(s[p]) for s in sides.values() if p in s]) for p in sides["A"] | sides["R"]}
+    assert {(r.i, r.j): r.v for r in df.collect()} == wanted
+
+
 def test_products_masked_by_equal_labels(spark):
     from semiweave.operators.masks import EqualLabels
 
