@@ -374,7 +374,7 @@ def test_sums_in_parts_take_as_many_tasks(spark):
     assert got(a.ewise_add(a, "times", parts=9)) == got(plain.ewise_add(plain, "times"))
 
 
-@pytest.mark.parametrize("name", ["times_fp64", "land", "lor", "lxor", "max", "max_fp64", "min"])
+@pytest.mark.parametrize("name", ["times_fp64", "land", "lor", "lxor", "max", "max_fp64", "min", "min_fp64"])
 def test_queries_add_lines_in_parts(spark, tmp_path, monkeypatch, name):
     lines = [(k % 7, k * k % 5, k % 50, "AR"[k % 3 % 2]) for k in range(60)]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
