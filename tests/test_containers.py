@@ -392,6 +392,23 @@ def test_queries_add_lines_in_parts(spark, tmp_path, monkeypatch, name):
     assert {(r.i, r.j): r.v for r in df.collect()} == wanted
 
 
+@pytest.mark.parametrize("name", ["times_fp64"])
+def test_rows_of_a_task_do_not_grow_with_the_lines(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(queries, "PART_LINES", 500)
+    largest = []
+    for copies in (1, 8):
+        folder, n = f"{tmp_path}/{copies}", 2000 * copies
+        # each supplier sells each of its parts once
+        spark.range(n).selectExpr("id div 10 AS l_suppkey", "id AS l_partkey", "1.0D + id % 50 AS l_quantity", "if(id % 2 = 0, 'A', 'R') AS l_returnflag").write.parquet(f"{folder}/lineitem.parquet")
+        spark.range(n // 10).write.parquet(f"{folder}/supplier.parquet")
+        spark.range(n).write.parquet(f"{folder}/part.parquet")
+        tasks = queries.QUERIES[f"ewise_add_{name}"](spark, folder).selectExpr("spark_partition_id() AS task").groupBy("task").count()
+        rows = [r["count"] for r in tasks.collect()]
+        assert sum(rows) == n
+        largest.append(max(rows))
+    assert largest[1] < 1.5 * largest[0]
+
+
 def test_products_masked_by_equal_labels(spark):
     from semiweave.operators.masks import EqualLabels
 
