@@ -4,6 +4,7 @@ import operator
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import semiweave as sw
 from semiweave import queries
@@ -365,6 +366,80 @@ def test_products_in_row_blocks_shuffle_no_term(spark):
         assert got(rel.measured(*path).traverse(path, "plus_times", blocks=5)) == got(rel.traverse(path, "plus_times"))
 
 
+def sold_lines(spark, path, copies=1):
+    """Lines of 12 customers that buy 20 parts of 8 suppliers, and so many copies with shifted keys; (customer, part, supplier, quantity)."""
+    rng = random.Random(3)
+    one = [(rng.randrange(12), rng.randrange(20), rng.randrange(8), rng.randrange(1, 50)) for _ in range(600)]
+    lines = [(c + 12 * k, p + 20 * k, s + 8 * k, q) for k in range(copies) for c, p, s, q in one]
+    rows = [(n, p, s, float(q)) for n, (_, p, s, q) in enumerate(lines)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(n, x[0]) for n, x in enumerate(lines)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    for table, key, n in (("customer", "c_custkey", 12), ("part", "p_partkey", 20), ("nation", "n_nationkey", 2)):
+        spark.range(n * copies).toDF(key).write.parquet(f"{path}/{table}.parquet")
+    spark.range(8 * copies).selectExpr("id AS s_suppkey", "id % 2 AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
+    return lines
+
+
+def shuffled(df):
+    """(rows, bytes) of each shuffle that df has made, once for those used again."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "ReusedExchangeExec":
+            return
+        if name == "ShuffleExchangeExec":
+            metrics = node.metrics()
+            found.append((metrics.apply("shuffleRecordsWritten").value(), metrics.apply("shuffleBytesWritten").value()))
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        for below in [inner] if inner is not None else [node.children().apply(k) for k in range(node.children().size())]:
+            walk(below)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def passed_on(lines, pair, least):
+    bought, shipped, out = {}, {}, {}
+    for c, p, s, q in lines:
+        bought[c, p] = bought.get((c, p), 0) + q
+        shipped[p, s] = shipped.get((p, s), 0) + q
+    for (c, p), x in bought.items():
+        for (r, s), y in shipped.items():
+            if p == r:
+                at, v = (c, s), pair(x, y)
+                out[at] = least(out[at], v) if at in out else v
+    return out
+
+
+@pytest.mark.parametrize("name, pair, least", [("widest", min, max)])
+def test_traversed_lines_are_shuffled_once_and_as_lists(spark, tmp_path, monkeypatch, name, pair, least):
+    lines = sold_lines(spark, tmp_path, 3)
+    monkeypatch.setattr(queries, "CUSTOMER_LINES", 150)
+    n = len(lines)
+    df = queries.QUERIES[f"traverse_{name}"](spark, str(tmp_path))
+    made = [rows for rows, _ in shuffled(df)]
+    # bought and shipped lines by part, besides what the join to the orders takes; all else is lists
+    assert sum(rows >= n for rows in made) <= 4 and sum(rows for rows in made if rows < n) < n
+    at_supplier = (12 + 20) * 3
+    assert {(r.i, r.j - at_supplier): r.v for r in df.collect()} == passed_on(lines, pair, least)
+
+
+def test_lists_of_many_indexes_are_cut(spark, monkeypatch):
+    from semiweave.operators import products
+
+    monkeypatch.setattr(products, "LIST_SPAN", 4)
+    rng = random.Random(16)
+    a = matrix(spark, {(rng.randrange(400), rng.randrange(5)): rng.randrange(1, 9) for _ in range(900)}, 400, 5, "int64")
+    lists = products._listed(a.df.select("i", F.col("j").alias("k"), F.col("v").alias("x")), ["k"], "i", "x", 400).collect()
+    assert max(len(r["is"]) for r in lists) <= 7 and sum(len(r["is"]) for r in lists) == a.nvals() and all(len(r["is"]) == len(r["xs"]) for r in lists)
+    for blocks in (1, 3):
+        assert got(a.mxm(a.T, blocks=blocks)) == got(a.mxm(a.T))
+    wide = Matrix(a.df.withColumn("i", F.col("i") * (1 << 32)), 400 << 32, 5)
+    assert {(i >> 32, j >> 32): v for (i, j), v in got(wide.mxm(wide.T, blocks=3)).items()} == got(a.mxm(a.T))
+
+
 def test_sums_in_parts_take_as_many_tasks(spark):
     rows = spark.createDataFrame([(k % 7, k % 5, k) for k in range(60)], "i long, j long, v long")
     a, plain = Matrix.from_df(rows, 7, 5, parts=9), Matrix.from_df(rows, 7, 5)
