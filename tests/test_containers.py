@@ -400,6 +400,17 @@ def shuffled(df):
     return found
 
 
+def similar(lines):
+    sold, out = {}, {}
+    for _, p, s, q in lines:
+        sold.setdefault(p, {})[s] = sold.setdefault(p, {}).get(s, 0) + q
+    for entries in sold.values():
+        for a, x in entries.items():
+            for b, y in entries.items():
+                out[a, b] = out.get((a, b), 0) + x * y
+    return out
+
+
 def passed_on(lines, pair, least):
     bought, shipped, out = {}, {}, {}
     for c, p, s, q in lines:
@@ -413,6 +424,23 @@ def passed_on(lines, pair, least):
     return out
 
 
+def test_stored_buckets_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "PART_LINES", 200)
+    made, write = [], Matrix.write
+    monkeypatch.setattr(Matrix, "write", lambda self, *args, **named: made.append(named["buckets"]) or write(self, *args, **named))
+    for copies in (1, 4):
+        lines = sold_lines(spark, f"{tmp_path}/{copies}", copies)
+        df = queries.QUERIES["mxm_stored"](spark, f"{tmp_path}/{copies}")
+        assert {(r.i, r.j): r.v for r in df.collect()} == similar(lines)
+    assert made == [3, 12]
+    # one file for each bucket
+    a = Matrix.from_coo(spark, 50, 50, [(k, k * k % 50, 1) for k in range(50)])
+    name = f"files_{random.randrange(10**9)}"
+    s = a.write(name, buckets=3, path=f"file://{tmp_path}/files")
+    assert len(s.df.inputFiles()) <= 3 and len(s.stored["j"].inputFiles()) <= 3 and got(s) == got(a)
+    Matrix.drop(spark, name)
+
+
 @pytest.mark.parametrize("name, pair, least", [("widest", min, max)])
 def test_traversed_lines_are_shuffled_once_and_as_lists(spark, tmp_path, monkeypatch, name, pair, least):
     lines = sold_lines(spark, tmp_path, 3)
