@@ -424,6 +424,16 @@ def passed_on(lines, pair, least):
     return out
 
 
+def test_similarity_shuffles_lines_once_and_lists(spark, tmp_path, monkeypatch):
+    lines = sold_lines(spark, tmp_path, 3)
+    monkeypatch.setattr(queries, "SUPPLIER_LINES", 300)
+    df = queries.QUERIES["supplier_similarity"](spark, str(tmp_path))
+    made = [rows for rows, _ in shuffled(df)]
+    # the lines once for both sides, all else as lists of a part's entries
+    assert sum(rows >= len(lines) for rows in made) == 1 and sum(made) < 2 * len(lines)
+    assert {(r.i, r.j): r.v for r in df.collect()} == similar(lines)
+
+
 def test_stored_buckets_grow_with_the_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "PART_LINES", 200)
     made, write = [], Matrix.write
