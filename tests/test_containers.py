@@ -451,7 +451,7 @@ def test_stored_buckets_grow_with_the_lines(spark, tmp_path, monkeypatch):
     Matrix.drop(spark, name)
 
 
-@pytest.mark.parametrize("name, pair, least", [("widest", min, max)])
+@pytest.mark.parametrize("name, pair, least", [("widest", min, max), ("cheapest", lambda x, y: x + y, min)])
 def test_traversed_lines_are_shuffled_once_and_as_lists(spark, tmp_path, monkeypatch, name, pair, least):
     lines = sold_lines(spark, tmp_path, 3)
     monkeypatch.setattr(queries, "CUSTOMER_LINES", 150)
